@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -353,10 +355,46 @@ def fp_per_million(fp: Column, negatives: Column) -> Column:
     return ratio(fp * 1_000_000.0, negatives)
 
 
-def pair_cosine(cells: DataFrame, item: str, feature: str, value: str) -> DataFrame:
-    """(i, j, sim): cosine of every pair of item profiles given as long cells."""
-    norms = cells.groupBy(item).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_n"))
-    unit = cells.join(norms, item).select(item, feature, (F.col(value) / F.greatest("_n", F.lit(1e-12))).alias("_u"))
-    a = unit.select(F.col(item).alias("i"), feature, F.col("_u").alias("a"))
-    b = unit.select(F.col(item).alias("j"), feature, F.col("_u").alias("b"))
-    return a.join(b, feature).groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sim"))
+def pair_cosine(cells: DataFrame, item: str, feature: str, value: str, block_items: int = 256, block_features: int = 50_000) -> DataFrame:
+    """(i, j, sim): cosine of every pair of item profiles given as long cells.
+
+    The result is the whole similarity matrix. Items and features are hashed
+    into blocks; a block of the matrix is the product of two item blocks summed
+    over the feature blocks, so a feature that all items share costs no more
+    than any other and an item of many features is spread over the blocks.
+    Pairs without a common feature are left out.
+    """
+    norms = cells.groupBy(item).agg(F.greatest(F.sqrt(F.sum(F.col(value) * F.col(value))), F.lit(1e-12)).alias("_n"))
+    unit = cells.join(norms, item).select(F.col(item).alias("it"), F.col(feature).alias("ft"), (F.col(value) / F.col("_n")).alias("u"))
+    n_blocks = norms.agg(F.ceil(F.count("*") / block_items).cast("int")).scalar()
+    n_feat = unit.agg(F.ceil(F.approx_count_distinct("ft") / block_features).cast("int")).scalar()
+    unit = unit.withColumns({"_nb": n_blocks, "_nf": n_feat})
+    unit = unit.withColumns({"_b": F.pmod(F.xxhash64("it"), "_nb").cast("int"), "_f": F.pmod(F.xxhash64("ft"), "_nf").cast("int")})
+    met = F.transform(F.sequence(F.lit(0), F.col("_nb") - 1), lambda o: F.struct(F.least(F.col("_b"), o).alias("lo"), F.greatest(F.col("_b"), o).alias("hi")))
+    spread = unit.withColumn("_p", F.explode(met)).select("it", "ft", "u", "_b", "_f", "_p.lo", "_p.hi")
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        a, b = pdf[pdf["_b"] == lo], pdf[pdf["_b"] == hi]
+        ia, ka = np.unique(a["it"].to_numpy(), return_inverse=True)
+        ib, kb = np.unique(b["it"].to_numpy(), return_inverse=True)
+        feats, code = np.unique(pdf["ft"].to_numpy(), return_inverse=True)
+        in_a, in_b = (pdf["_b"] == lo).to_numpy(), (pdf["_b"] == hi).to_numpy()
+        fa, fb, ua, ub = code[in_a], code[in_b], a["u"].to_numpy(), b["u"].to_numpy()
+        sim, hit = np.zeros((len(ia), len(ib))), np.zeros((len(ia), len(ib)))
+        for start in range(0, len(feats), 2048):
+            pa, pb = (fa >= start) & (fa < start + 2048), (fb >= start) & (fb < start + 2048)
+            A, B = np.zeros((len(ia), 2048)), np.zeros((len(ib), 2048))
+            A[ka[pa], fa[pa] - start] = ua[pa]
+            B[kb[pb], fb[pb] - start] = ub[pb]
+            sim += A @ B.T
+            hit += (A != 0).astype(float) @ (B != 0).astype(float).T
+        r, c = np.nonzero(hit)
+        out = pd.DataFrame({"i": ia[r], "j": ib[c], "part": sim[r, c]})
+        if lo != hi:
+            out = pd.concat([out, out.rename(columns={"i": "j", "j": "i"})[["i", "j", "part"]]])
+        return out
+
+    kind = dict(cells.dtypes)[item]
+    parts = spread.groupBy("lo", "hi", "_f").applyInPandas(product, f"i {kind}, j {kind}, part double")
+    return parts.groupBy("i", "j").agg(F.sum("part").alias("sim"))
