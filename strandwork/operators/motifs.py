@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import as_list, ratio
 from ..functions.vectors import l2_normalize
 from .aggregate import pair_cosine
-from .ordering import interpolated_quantiles, lead_values, ordered_scan, rank_rows, top_k
+from .ordering import interpolated_quantiles, lead_values, rank_rows, top_k
+from .pairs import pair_statistics
 from .windows import contiguous_runs, first_seen_order, percentile_rank
 
 N_BINS = 20
@@ -140,10 +140,6 @@ def position_histogram(tokens: DataFrame, seq: str, label: str, pos0: str, lengt
     return every.join(n, [label, seq, "bin"], "left").fillna(0, ["n"])
 
 
-JSD_CELLS = 4096  # value cells of the first pass; ln 2 is the upper bound
-JSD_TOP = float(np.log(2.0)) * (1 + 1e-9)
-
-
 def _jsd_matrix(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     p = p / (p.sum(axis=1, keepdims=True) + 1e-300)
     q = q / (q.sum(axis=1, keepdims=True) + 1e-300)
@@ -156,77 +152,15 @@ def _jsd_matrix(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0.0)
 
 
-def pairwise_jsd(hist: DataFrame, label: str, seq: str, block_rows: int = 512) -> DataFrame:
-    """Per label mean, median and maximum Jensen-Shannon divergence over all
-    pairs of sequences, without writing out a pair.
-
-    Equal histograms are counted once. Blocks of histograms meet as block pairs;
-    a block pair returns sums and a count per value cell. The cells that hold the
-    middle ranks are known after that, and a second pass returns only the values
-    in them, which gives the exact median.
-    """
+def pairwise_jsd(hist: DataFrame, label: str, seq: str) -> DataFrame:
+    """Per label pair count, mean, median and maximum Jensen-Shannon divergence
+    (natural log, at most ln 2) over all pairs of sequences."""
     bins = [F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0)).cast("double") for b in range(N_BINS)]
-    rows = hist.groupBy(label, seq).agg(F.array(*bins).alias("h"))
-    uniq = rows.groupBy(label, "h").agg(F.count("*").alias("m"))
-    blocks = uniq.groupBy(label).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"))
-    base = uniq.join(blocks, label).withColumn("_b", F.pmod(F.xxhash64("h"), "_n").cast("int"))
-    lo_hi = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(F.col("_b"), o).alias("lo"), F.greatest(F.col("_b"), o).alias("hi")))
-    spread = base.withColumn("_p", F.explode(lo_hi)).select(label, "h", "m", "_b", F.col("_p.lo").alias("_lo"), F.col("_p.hi").alias("_hi"))
-
-    def meet(pdf: pd.DataFrame):
-        lo, hi = int(pdf["_lo"].iloc[0]), int(pdf["_hi"].iloc[0])
-        a, b = pdf[pdf["_b"] == lo], pdf[pdf["_b"] == hi]
-        if a.empty or b.empty:
-            return np.zeros(0), np.zeros(0)
-        d = _jsd_matrix(np.stack(a["h"].to_numpy()), np.stack(b["h"].to_numpy()))
-        ma, mb = a["m"].to_numpy(), b["m"].to_numpy()
-        w = ma[:, None] * mb[None, :]
-        if lo == hi:
-            i, j = np.triu_indices(len(a), 1)
-            d = np.concatenate([d[i, j], np.zeros(len(a))])
-            w = np.concatenate([w[i, j], ma * (ma - 1) // 2])
-        keep = w.reshape(-1) > 0
-        return d.reshape(-1)[keep], w.reshape(-1)[keep]
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, w = meet(pdf)
-        cell = np.minimum((d / JSD_TOP * JSD_CELLS).astype("int64"), JSD_CELLS - 1)
-        out = pd.DataFrame({"cell": cell, "c": w, "s": d * w, "mx": d}).groupby("cell", as_index=False).agg({"c": "sum", "s": "sum", "mx": "max"})
-        out[label] = pdf[label].iloc[0]
-        return out[[label, "cell", "c", "s", "mx"]]
-
-    kind = dict(hist.dtypes)[label]
-    groups = spread.groupBy(label, "_lo", "_hi")
-    cells = groups.applyInPandas(summarise, f"{label} {kind}, cell long, c long, s double, mx double")
-    cells = cells.groupBy(label, "cell").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.max("mx").alias("mx"))
-    cum = cells.withColumns({
-        "_hi_rank": F.sum("c").over(Window.partitionBy(label).orderBy("cell")),  # at most JSD_CELLS rows per label
-        "_total": F.sum("c").over(Window.partitionBy(label)),
-    })
-    lo_r, hi_r = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
-    holds = (F.col("_hi_rank") > lo_r) & (F.col("_hi_rank") - F.col("c") <= hi_r)
-    middle = cum.filter(holds).groupBy(label).agg(
-        F.min("cell").alias("_c0"), F.max("cell").alias("_c1"), F.min(F.col("_hi_rank") - F.col("c")).alias("_before"), F.max("_total").alias("_total")
+    rows = hist.groupBy(label, seq).agg(F.array(*bins).alias("vec")).withColumn("top", F.log(F.lit(2.0)))
+    return pair_statistics(rows, label, _jsd_matrix).select(
+        label, "n_pairs", F.col("mean").alias("mean_jsd"), F.col("median").alias("median_jsd"), F.col("max").alias("max_jsd")
     )
 
-    def values(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, w = meet(pdf)
-        cell = np.minimum((d / JSD_TOP * JSD_CELLS).astype("int64"), JSD_CELLS - 1)
-        keep = (cell >= int(pdf["_c0"].iloc[0])) & (cell <= int(pdf["_c1"].iloc[0]))
-        out = pd.DataFrame({"d": d[keep], "c": w[keep]}).groupby("d", as_index=False)["c"].sum()
-        out[label] = pdf[label].iloc[0]
-        return out[[label, "d", "c"]]
-
-    second = spread.join(middle.select(label, "_c0", "_c1"), label).groupBy(label, "_lo", "_hi")
-    near = second.applyInPandas(values, f"{label} {kind}, d double, c long").groupBy(label, "d").agg(F.sum("c").alias("c"))
-    ranked = ordered_scan(near, ["d"], {"_r": F.col("c")}, [label]).join(middle, label)
-    top_rank = F.col("_before") + F.col("_r")
-    at = lambda r: F.max(F.when((top_rank > r) & (top_rank - F.col("c") <= r), F.col("d")))
-    lo2, hi2 = F.floor((F.col("_total") - 1) / 2), F.ceil((F.col("_total") - 1) / 2)
-    med = ranked.groupBy(label).agg(((at(lo2) + at(hi2)) / 2).alias("median_jsd"))
-    mean = cells.groupBy(label).agg(F.sum("c").alias("n_pairs"), (F.sum("s") / F.sum("c")).alias("mean_jsd"), F.max("mx").alias("max_jsd"))
-    return mean.join(med, label)
-
 
 def position_span(tokens: DataFrame, seq: str, label: str, rel: str) -> DataFrame:
     """Per label: span of the per-sequence mean positions, pooled mean and std."""

@@ -72,7 +72,13 @@ def permutation_test(values: DataFrame, category: str, value: str, comparisons:
         pdf = pdf.sort_values("v")
         v, n = pdf["v"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
         rng = np.random.default_rng([seed, cmp_, blk, shard])
-        sums = [float(rng.multivariate_hypergeometric(n, int(m), method="marginals") @ v) for m in mine]
+        if n.sum() <= shard_values:  # random keys, then the first m of each permutation
+            vv = np.repeat(v, n)
+            order = np.argsort(rng.random((runs, len(vv))), axis=1)
+            run = np.concatenate([np.zeros((runs, 1)), np.cumsum(vv[order], axis=1)], axis=1)
+            sums = run[np.arange(runs), mine]
+        else:
+            sums = [float(rng.multivariate_hypergeometric(n, int(m), method="marginals") @ v) for m in mine]
         return pd.DataFrame({"cmp": cmp_, "perm": blk * block + np.arange(runs), "part": sums})
 
     parts = spread.groupBy("cmp", "_blk", "_sh").applyInPandas(draw, "cmp int, perm long, part double")
