@@ -46,9 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    A written table survives the loss of executors, and its plan starts afresh:
+    iterative jobs do not carry the plans, statistics and constraints of their
+    earlier rounds.
+    """
+    path = scratch_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
