@@ -191,11 +191,12 @@ def ranking_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
 
 
 def fold_concat_summary(folds: DataFrame, y: str, preds: dict[str, str], fold: str = "fold") -> DataFrame:
-    """Pooled metrics per model next to the fold mean and std of each metric."""
-    parts = []
-    for model, col in preds.items():
-        pooled = binary_metrics(folds, y, col).withColumn("model", F.lit(model))
-        per_fold = binary_metrics(folds, y, col, [fold])
-        stats = fold_mean_std(per_fold, BINARY_METRICS).withColumn("model", F.lit(model))
-        parts.append(pooled.join(stats, "model"))
-    return reduce(DataFrame.unionByName, parts)
+    """Pooled metrics per model next to the fold mean and std of each metric.
+
+    The rows are read once: counts per (model, fold), then everything else from
+    that small table.
+    """
+    long = folds.select(fold, y, *[F.col(c).cast("int").alias(m) for m, c in preds.items()]).unpivot([fold, y], list(preds), "model", "_pred")
+    per_fold = binary_metrics(long, y, "_pred", ["model", fold])
+    pooled = binary_rates(per_fold.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]))
+    return pooled.join(fold_mean_std(per_fold, BINARY_METRICS, ["model"]), "model")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, sampling
+from ..session import cut_lineage
 
 
 def stage_thresholds(scored: DataFrame, min_recall: float, max_fpr: float, fold: str = "fold") -> DataFrame:
@@ -24,8 +25,9 @@ def stage_thresholds(scored: DataFrame, min_recall: float, max_fpr: float, fold:
 def two_stage_evaluation(scored: DataFrame, ident: str = "id", min_recall: float = 0.95, max_fpr: float = 0.01, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(fold predictions, pooled and per-fold summary) of given stage scores."""
     folded = sampling.stratified_kfold(scored, ident, "y", k)
+    folded = cut_lineage(folded)  # read by the limits and by the predictions
     roles = sampling.calibration_split(folded, ident, "y", 0.2, group=["fold"])
-    limits = stage_thresholds(roles, min_recall, max_fpr)
+    limits = stage_thresholds(cut_lineage(roles), min_recall, max_fpr)
     pred = folded.join(limits, "fold").withColumns(
         {
             "early_pred": (F.col("s1") >= F.col("t1")).cast("int"),
@@ -33,5 +35,6 @@ def two_stage_evaluation(scored: DataFrame, ident: str = "id", min_recall: float
         }
     )
     pred = pred.withColumn("cascade_pred", F.col("early_pred") * F.col("late_pred"))
+    pred = cut_lineage(pred)
     models = {"early": "early_pred", "late": "late_pred", "cascade": "cascade_pred"}
     return pred, evaluation.fold_concat_summary(pred, "y", models)
