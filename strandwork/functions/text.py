@@ -12,7 +12,7 @@ STRICT_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 # Fixed value: every character Python's str.split() treats as whitespace.
-WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+WHITESPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def squeeze_upper(seq: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_list, ratio
-from .ordering import interpolated_quantiles, rank_rows, top_k
+from .ordering import compute_partitions, interpolated_quantiles, rank_rows, top_k
 
 # The quantiles of a distribution summary.
 SUMMARY_QUANTILES = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}
@@ -396,5 +396,5 @@ def pair_cosine(cells: DataFrame, item: str, feature: str, value: str, block_ite
         return out
 
     kind = dict(cells.dtypes)[item]
-    parts = spread.groupBy("lo", "hi", "_f").applyInPandas(product, f"i {kind}, j {kind}, part double")
+    parts = compute_partitions(spread, "lo", "hi", "_f").groupBy("lo", "hi", "_f").applyInPandas(product, f"i {kind}, j {kind}, part double")
     return parts.groupBy("i", "j").agg(F.sum("part").alias("sim"))

@@ -143,15 +143,18 @@ def position_histogram(tokens: DataFrame, seq: str, label: str, pos0: str, lengt
 def _jsd_matrix(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     p = p / (p.sum(axis=1, keepdims=True) + 1e-300)
     q = q / (q.sum(axis=1, keepdims=True) + 1e-300)
-    out = np.zeros((len(p), len(q)))
-    for b in range(p.shape[1]):
-        x, y = p[:, b][:, None], q[:, b][None, :]
-        m = (x + y) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out += np.where(x > 0, 0.5 * x * np.log(x / m), 0.0) + np.where(y > 0, 0.5 * y * np.log(y / m), 0.0)
+    own_p, own_q = _neg_entropy(p), _neg_entropy(q)
+    out = (own_p[:, None] + own_q[None, :]) / 2
+    for b in range(p.shape[1]):  # JSD = H((p + q) / 2) - (H(p) + H(q)) / 2
+        m = (p[:, b][:, None] + q[:, b][None, :]) / 2
+        out -= m * np.log(np.where(m > 0, m, 1.0))
     return np.maximum(out, 0.0)
 
 
+def _neg_entropy(p: np.ndarray) -> np.ndarray:
+    return (p * np.log(np.where(p > 0, p, 1.0))).sum(axis=1)
+
+
 def pairwise_jsd(hist: DataFrame, label: str, seq: str) -> DataFrame:
     """Per label pair count, mean, median and maximum Jensen-Shannon divergence
     (natural log, at most ln 2) over all pairs of sequences."""

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import as_list
 from ..functions.vectors import l2_normalize
-from .ordering import top_k
+from .ordering import compute_partitions, top_k
 
 CENTROID_BYTES_LIMIT = 256 << 20
 
@@ -76,9 +76,9 @@ def blocked_topk(queries: DataFrame, refs: DataFrame, k: int, cells=(), metric:
     types = dict(queries.dtypes), dict(refs.dtypes)
     schema = f"query_id {types[0]['query_id']}, ref_id {types[1]['ref_id']}, sim double"
     best = (
-        left.select(*keys, "query_id", "vec")
+        compute_partitions(left.select(*keys, "query_id", "vec"), *keys)
         .groupBy(*keys)
-        .cogroup(right.select(*keys, "ref_id", "vec").groupBy(*keys))
+        .cogroup(compute_partitions(right.select(*keys, "ref_id", "vec"), *keys).groupBy(*keys))
         .applyInPandas(_block_kernel(k, metric), schema)
     )
     return top_k(best, [F.desc("sim"), "ref_id"], k, "query_id")

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .ordering import compute_partitions
+
 # Widening covariate tolerances, attempts per wanted set.
 TOLERANCES = [0.03, 0.05, 0.08, 0.12, 0.20]
 ATTEMPTS_PER_SET = 8
@@ -90,7 +93,8 @@ def matched_null_sets(positions: DataFrame, item: str, n: int, seed: int = 42, b
                 out.append(pd.DataFrame({item: name, "iter": blk * block + len(out), "position": got[0], "error": got[1]}))
         return pd.concat(out) if out else pd.DataFrame({item: [], "iter": [], "position": [], "error": []})
 
-    sets = spread.groupBy(item, "_blk").applyInPandas(place, f"{item} {kind}, iter long, position long, error double")
+    sets = compute_partitions(spread, item, "_blk").groupBy(item, "_blk").applyInPandas(place, f"{item} {kind}, iter long, position long, error double")
+    sets = cut_lineage(sets)
     made = sets.groupBy(item).agg(F.count_distinct("iter").alias("_made"))
     guard = F.assert_true(F.col("_made") >= min(n, max(n // 2, 50)), F.lit("too few matched sets"))
     return sets.join(made, item).filter(guard.isNull()).drop("_made")

@@ -22,6 +22,15 @@ from ..session import cut_lineage
 SHARD = "_shard"
 
 
+def compute_partitions(df: DataFrame, *keys) -> DataFrame:
+    """Hash-partition by ``keys`` into the configured number of partitions.
+
+    Adaptive execution merges partitions of few bytes; a numeric kernel may need
+    much time for few bytes, so its input asks for a fixed number.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shard_rows(df: DataFrame, order, group=(), shard: Column | None = None) -> DataFrame:
     """Add ``_shard``; see the module text for the two ways."""
     if shard is not None:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import as_list, hash_key, hash_shard, ratio
 from ..functions.stats import chi2_sf_even, log_choose
-from .ordering import rank_rows
+from ..session import cut_lineage
+from .ordering import compute_partitions, rank_rows
 
 
 def fisher_columns(p: str) -> list[Column]:
@@ -42,7 +43,7 @@ def permutation_test(values: DataFrame, category: str, value: str, comparisons:
     and no task holds more than one shard.
     """
     spark = values.sparkSession
-    hist = values.groupBy(category, value).agg(F.count("*").alias("n"))
+    hist = cut_lineage(values.groupBy(category, value).agg(F.count("*").alias("n")))
     pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(comparisons)], "cmp int, category_a string, category_b string")
     sides = pairs.select("cmp", F.explode(F.array(F.struct(F.col("category_a").alias(category), F.lit(1).alias("in_a")), F.struct(F.col("category_b").alias(category), F.lit(0).alias("in_a")))).alias("s")).select("cmp", "s.*")
     member = hist.join(sides, category).groupBy("cmp", F.col(value).cast("double").alias("v")).agg(
@@ -81,7 +82,7 @@ def permutation_test(values: DataFrame, category: str, value: str, comparisons:
             sums = [float(rng.multivariate_hypergeometric(n, int(m), method="marginals") @ v) for m in mine]
         return pd.DataFrame({"cmp": cmp_, "perm": blk * block + np.arange(runs), "part": sums})
 
-    parts = spread.groupBy("cmp", "_blk", "_sh").applyInPandas(draw, "cmp int, perm long, part double")
+    parts = compute_partitions(spread, "cmp", "_blk", "_sh").groupBy("cmp", "_blk", "_sh").applyInPandas(draw, "cmp int, perm long, part double")
     perm = parts.groupBy("cmp", "perm").agg(F.sum("part").alias("s")).join(shards, "cmp")
     diff = F.abs(F.col("s") / F.col("n_a") - (F.col("sum_all") - F.col("s")) / F.col("n_b"))
     mean_a, mean_b = F.col("sum_a") / F.col("n_a"), (F.col("sum_all") - F.col("sum_a")) / F.col("n_b")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import as_list
 from ..functions.stats import significance_stars
 from ..session import cut_lineage
-from .ordering import ordered_scan, rank_rows, top_k
+from .ordering import compute_partitions, ordered_scan, rank_rows, top_k
 
 
 def cumulative_offsets(df: DataFrame, length: str, order: str, shard: Column | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def bounded_chunks(df: DataFrame, order: str, length: str, max_n: int, max_aa: i
         entries = np.arange(min(own, max_n))
         return pd.DataFrame({"entry": idx[0] + entries, "jump": idx[0] + out[entries]})
 
-    jumps = cut_lineage(haloed.groupBy("_blk").applyInPandas(exits, "entry long, jump long"))
+    jumps = cut_lineage(compute_partitions(haloed, "_blk").groupBy("_blk").applyInPandas(exits, "entry long, jump long"))
     reached = jumps.filter("entry = 0").select(F.col("entry").alias("at"))
     n_blocks = max(1, numbered.agg(F.ceil(F.count("*") / block_rows)).first()[0])
     steps, span = jumps, 1
@@ -103,7 +103,7 @@ def bounded_chunks(df: DataFrame, order: str, length: str, max_n: int, max_aa: i
             i = int(nxt[i])
         return pd.DataFrame({"_rn": starts, "_start": 1}).astype("int64")
 
-    starts = haloed.groupBy("_blk").cogroup(entries.groupBy("_blk")).applyInPandas(mark, "_rn long, _start long")
+    starts = compute_partitions(haloed, "_blk").groupBy("_blk").cogroup(compute_partitions(entries, "_blk").groupBy("_blk")).applyInPandas(mark, "_rn long, _start long")
     chunked = numbered.join(starts, "_rn", "left").fillna(0, "_start")
     shard = F.floor(F.col("_rn") / block_rows)
     chunked = ordered_scan(

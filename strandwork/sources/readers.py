@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import as_list
 from ..functions.text import mask_sequence
 from ..operators.ordering import rank_rows
 
@@ -41,35 +40,22 @@ def fasta_scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
     input without records are errors.
     """
     raw = _placed(spark.read.option("lineSep", "\n>").text(path))
-    kept = F.filter(
-        F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x)),
-        lambda x: (x != "") & ~x.startswith(";") & ~x.startswith("#"),
-    )
     first = raw.groupBy("_file", "_block").agg(F.min("_at").alias("_first"))
     rows = raw.join(F.broadcast(first), ["_file", "_block"])  # one row per file split
-    head_chunk = (F.col("_block") == 0) & (F.col("_at") == F.col("_first"))
-    has_mark = F.get("_lines", F.lit(0)).startswith(">")
-    rows = rows.withColumn("_lines", kept)
-    rows = rows.filter(~(head_chunk & (F.size("_lines") == 0)))
-    header_line = F.coalesce(F.get("_lines", F.lit(0)), F.lit(""))
-    # A separator swallowed the mark of every record but the first of a file;
-    # an empty or skipped-looking header line after a mark is still a header.
-    raw_header = F.trim(F.get(F.split("value", "\r?\n"), F.lit(0)))
-    body = F.when(head_chunk, F.slice("_lines", 2, F.greatest(F.size("_lines") - 1, F.lit(0)))).otherwise(
-        F.filter(
-            F.transform(F.slice(F.split("value", "\r?\n"), 2, F.size(F.split("value", "\r?\n"))), lambda x: F.trim(x)),
-            lambda x: (x != "") & ~x.startswith(";") & ~x.startswith("#"),
-        )
+    # The separator swallowed the mark of every record but the first of a file.
+    head = (F.col("_block") == 0) & (F.col("_at") == F.col("_first"))
+    text = F.when(head, F.col("value")).otherwise(F.concat(F.lit(">"), "value"))
+    lines = F.filter(
+        F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)),
+        lambda x: (x != "") & ~x.startswith(";") & ~x.startswith("#"),
     )
+    rows = rows.withColumn("_lines", lines).filter(~(head & (F.size("_lines") == 0)))
+    header = F.col("_lines")[0]
     rows = rows.select(
-        "_file",
-        "_block",
-        "_at",
-        F.when(head_chunk & ~has_mark, F.raise_error(F.lit("sequence line before header")))
-        .when(head_chunk, F.trim(F.expr("substring(_lines[0], 2)")))
-        .otherwise(raw_header)
-        .alias("header"),
-        F.array_join(body, "").alias("sequence"),
+        "_file", "_block", "_at",
+        F.when(header.startswith(">"), F.trim(F.expr("substring(_lines[0], 2)")))
+        .otherwise(F.raise_error(F.lit("sequence line before header"))).alias("header"),
+        F.array_join(F.slice("_lines", F.lit(2), F.size("_lines")), "").alias("sequence"),
     )
     if rows.isEmpty():
         raise ValueError(f"no FASTA records found in {path}")
@@ -195,7 +181,3 @@ def missing_chunks(expected: DataFrame, found: DataFrame) -> DataFrame:
 def union_tables(tables: dict[str, DataFrame], tag: str = "chunk_id") -> DataFrame:
     """Append tables of the same columns with a tag naming their origin."""
     return reduce(DataFrame.unionByName, [t.withColumn(tag, F.lit(k)) for k, t in tables.items()])
-
-
-def as_columns(names) -> list[Column]:
-    return [F.col(n) for n in as_list(names)]
