@@ -9,7 +9,7 @@ from ..functions.text import compact_number, compact_number_bands, mask_sequence
 from ..operators import checks, clean
 from ..operators.aggregate import pair_cosine
 from ..operators.ordering import rank_rows
-from ..session import scratch_folder
+from ..session import cut_lineage, scratch_folder
 from ..sources import readers, writers
 from .registry import query, table
 
@@ -320,7 +320,7 @@ def parse_structured_id_q(spark, d):
 )
 def fasta_scan_q(spark, d):
     path = scratch_folder(spark, "fasta")
-    seqs = sequences(spark, d).filter("seq <> ''").withColumn("header", F.concat(F.col("doc_id").cast("string"), F.lit(" record")))
+    seqs = cut_lineage(sequences(spark, d)).filter("seq <> ''").withColumn("header", F.concat(F.col("doc_id").cast("string"), F.lit(" record")))
     writers.fasta_sink(seqs, path, "header", "seq", order="doc_id")
     return readers.fasta_scan(spark, path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_key, hash_uniform, r6
 from ..operators import joins, windows
+from ..session import cut_lineage
 from .ingest import SEQ_SQL, sequences
 from .registry import query, table
 
@@ -80,7 +81,7 @@ def anti_join_q(spark, d):
 
 
 def offsets(spark, d):
-    lens = sequences(spark, d).select("doc_id", F.length("seq").alias("aa_len"))
+    lens = cut_lineage(sequences(spark, d).select("doc_id", F.length("seq").alias("aa_len")))  # the text is read once
     return windows.cumulative_offsets(lens, "aa_len", "doc_id", by_id("doc_id"))
 
 

@@ -11,12 +11,13 @@ from . import as_col
 STRICT_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-# Fixed value: every character Python's str.split() treats as whitespace.
-WHITESPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+# The characters that Python's str.split() treats as whitespace.
+WHITESPACE_CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WHITESPACE = "".join(map(chr, WHITESPACE_CODES))
 
 
 def squeeze_upper(seq: Column | str) -> Column:
-    return F.upper(F.regexp_replace(as_col(seq), WHITESPACE + "+", ""))
+    return F.upper(F.translate(as_col(seq), WHITESPACE, ""))
 
 
 def mask_sequence(seq: Column | str) -> Column:

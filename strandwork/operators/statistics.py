@@ -16,7 +16,7 @@ from .ordering import compute_partitions, rank_rows
 def fisher_columns(p: str) -> list[Column]:
     """Partial sums of the combined statistic; nulls leave."""
     return [
-        F.sum(F.log(F.greatest(F.col(p), F.lit(1e-300)))).alias(f"_s_{p}"),
+        F.sum(F.when(F.col(p).isNotNull(), F.log(F.greatest(F.col(p), F.lit(1e-300))))).alias(f"_s_{p}"),
         F.count(p).alias(f"_k_{p}"),
     ]
 

@@ -59,7 +59,7 @@ def bounded_chunks(df: DataFrame, order: str, length: str, max_n: int, max_aa: i
     if max_n < 1 or max_aa < 1:
         raise ValueError("max_n and max_aa must be >= 1")
     block_rows = max(block_rows, max_n)
-    numbered = cut_lineage(rank_rows(df, [order], (), "_rn").withColumn("_rn", F.col("_rn") - 1))
+    numbered = cut_lineage(rank_rows(cut_lineage(df), [order], (), "_rn").withColumn("_rn", F.col("_rn") - 1))
     thin = numbered.select("_rn", F.col(length).cast("long").alias("_len"))
     blk = F.floor(F.col("_rn") / block_rows)
     ahead = F.when((F.col("_rn") % block_rows < max_n) & (F.col("_rn") >= block_rows), F.array(blk, blk - 1)).otherwise(F.array(blk))
