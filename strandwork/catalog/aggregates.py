@@ -263,7 +263,7 @@ def reconstruction(spark, d):
     "reconstruction_stats",
     f"""WITH {RECON_SQL}, w AS (SELECT *, row_number() OVER (ORDER BY ev, dim) AS lo, row_number() OVER (ORDER BY ev DESC, dim) AS hi FROM ev)
     SELECT 'worst' AS side, dim::INT AS dim, lo::INT AS rank, round(ev, 6) AS ev, round(mse, 6) AS mse, round(var, 6) AS var FROM w WHERE lo <= 20 UNION ALL
-    SELECT 'best', dim, hi, round(ev, 6), round(mse, 6), round(var, 6) FROM w WHERE hi <= 20""",
+    SELECT 'best', dim::INT, hi::INT, round(ev, 6), round(mse, 6), round(var, 6) FROM w WHERE hi <= 20""",
 )
 def reconstruction_stats_q(spark, d):
     return rounded(aggregate.extreme_dims(reconstruction(spark, d)), "ev", "mse", "var").select("side", "dim", "rank", "ev", "mse", "var")

@@ -111,7 +111,7 @@ def threshold_sweep(df: DataFrame, y: str, score: str, group=(), grid: int | Non
         else:
             frame = df.sparkSession.range(-1, grid).select(F.col("id").alias("_i"))
         cells = frame.join(binned, [*group, "_i"], "left").fillna(0, ["_pos", "_neg"]).withColumn("threshold", F.col("_i") / step)
-    scanned = ordered_scan(cells, [F.desc("threshold")], {"tp": F.col("_pos"), "fp": F.col("_neg")}, group, F.lit(0))
+    scanned = ordered_scan(cells, [F.desc("threshold")], {"tp": F.col("_pos"), "fp": F.col("_neg")}, group, -F.floor(F.col("threshold") * 16))
     tot = cells.groupBy(*group).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     if group:
         both = scanned.join(tot, group)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +14,10 @@ STATE_SCHEMA = "chunk_id string"
 
 def finished_chunks(spark: SparkSession, out: str, stage: str) -> DataFrame:
     """Chunk ids whose stage output is committed."""
-    path = f"{out}/done/stage={stage}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+    try:
+        return spark.read.schema(STATE_SCHEMA).parquet(f"{out}/done/stage={stage}")
+    except AnalysisException:  # no chunk has finished yet
         return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(path)
 
 
 def run_stage(rows: DataFrame, out: str, stage: str, fn: Callable[[DataFrame], DataFrame], force: bool = False, only: str | None = None) -> None:
