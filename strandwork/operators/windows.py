@@ -82,7 +82,8 @@ def bounded_chunks(df: DataFrame, order: str, length: str, max_n: int, max_aa: i
 
     jumps = cut_lineage(compute_partitions(haloed, "_blk").groupBy("_blk").applyInPandas(exits, "entry long, jump long"))
     reached = jumps.filter("entry = 0").select(F.col("entry").alias("at"))
-    n_blocks = max(1, numbered.agg(F.ceil(F.count("*") / block_rows)).first()[0])
+    n_rows = numbered.count()
+    n_blocks = max(1, -(-n_rows // block_rows))
     steps, span = jumps, 1
     while span < n_blocks:
         onward = reached.join(steps, reached["at"] == steps["entry"]).select(F.col("jump").alias("at"))
@@ -91,7 +92,9 @@ def bounded_chunks(df: DataFrame, order: str, length: str, max_n: int, max_aa: i
         steps = cut_lineage(steps.join(nxt, steps["jump"] == nxt["_e2"]).select("entry", F.col("_j2").alias("jump")))
         span *= 2
 
-    entries = reached.filter(F.col("at").isNotNull()).select((F.floor(F.col("at") / block_rows)).alias("_blk"), "at")
+    entries = reached.filter(F.col("at") < n_rows).select(  # the last jump leaves the table
+        F.floor(F.col("at") / block_rows).alias("_blk"), "at"
+    )
 
     def mark(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or entry.empty:
