@@ -6,7 +6,6 @@ so an exact rank inside a class never puts the class into one task.
 
 from __future__ import annotations
 
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
