@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,7 +55,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_lineage`` that nothing reads any more.
+
+    Spark removes the shuffle files of a finished job when the driver forgets
+    its plan, so the driver is asked to collect its garbage as well.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
