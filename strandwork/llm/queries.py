@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode, encode
 from .exact_dedup import exact_groups
 from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
@@ -28,3 +30,13 @@ def op3_exact_dedup(spark, sf_dir):
         F.col("id.doc_id").alias("doc_id"), F.col("keep_id.doc_id").alias("keep_id"),
         F.col("copies").alias("group_size"), "kept", F.col("id.sha").alias("text_sha256"),
     )
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode(docs, ranks, public_tokenizers.PATTERN, keep_text=False)
+    digest = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
+    back = decode(digest, ranks, keep_ids=False)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
