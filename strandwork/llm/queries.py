@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
 from .byte_bpe import decode, encode
 from .exact_dedup import exact_groups
 from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
+from .token_files import read_ids, write_ids
 
 EXACT_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -40,3 +42,10 @@ def op2_byte_bpe(spark, sf_dir):
     digest = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
     back = decode(digest, ranks, keep_ids=False)
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op9_token_files")
+def op9_token_files(spark, sf_dir):
+    path = scratch_folder(spark, "token-files")
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_ids(spark, path, with_ids=False)
