@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
 from .token_files import read_ids, write_ids
+from .toxicity import fit_toxicity, held_out, score_toxicity
 
 EXACT_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -49,3 +50,14 @@ def op9_token_files(spark, sf_dir):
     path = scratch_folder(spark, "token-files")
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return read_ids(spark, path, with_ids=False)
+
+
+TOXIC_FROM = 0.3
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
