@@ -34,6 +34,7 @@ FIT_ROWS = 12_000
 LEXICON_ENTRIES = 5_000
 STEM_LENGTHS = (4, 5, 6)
 LEAST_LOG_ODDS = 3.0
+STEM_LOG_ODDS = 4.5
 
 # Closed word classes of the grammar in English, German, Spanish, French.
 THREATS = "kill destroy hurt beat töten umbringen schlagen matar golpear destruir tuer frapper détruire".split()
@@ -139,6 +140,14 @@ class ToxicityModel:
         return 1.0 / (1.0 + math.exp(-(self.offset + self.slope * min(evidence, 8.0))))
 
 
+def _entries(word: Column) -> Column:
+    """The lexicon entries that a word may match: itself and its beginnings."""
+    return F.filter(F.array(
+        F.when(F.length(word) >= 3, word),
+        *[F.when(F.length(word) >= n, F.concat(F.substring(word, 1, n), F.lit("*"))) for n in STEM_LENGTHS],
+    ), lambda x: x.isNotNull())
+
+
 def held_out(ident: str = "doc_id") -> Column:
     """Rows kept from fitting: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(ident).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -157,14 +166,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text
     known = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     rows = docs.select(F.col(ident).alias("id"), text_of(text).alias("t")).join(F.broadcast(known), "id")  # at most fit_rows rows of two numbers
     rows = rows.groupBy("t").agg(F.max("y").alias("y"))
-    words = F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEM_LENGTHS]
-    terms = rows.select("y", F.explode(F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) >= 3), *stems))).alias("term"))
+    words = F.filter(F.split(F.lower("t"), r"[^\p{L}]+"), lambda w: w != "")
+    terms = rows.select("y", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(words), _entries)))).alias("term"))
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    least = max(8, round(0.008 * toxic))
+    least = max(4, round(0.008 * toxic))
     counts = terms.groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("n")).filter(F.col("pos") >= least)
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("pos") + 0.5) / (total - toxic + 1.0))
-    found = counts.withColumn("w", odds).filter(F.col("w") >= LEAST_LOG_ODDS).orderBy(F.desc(F.col("pos") * F.col("w")), "term").limit(LEXICON_ENTRIES)
+    likely = counts.withColumn("w", odds).filter(F.col("w") >= F.when(F.col("term").endswith("*"), STEM_LOG_ODDS).otherwise(LEAST_LOG_ODDS))
+    # A word of one text and its near copies always follows the same word; an
+    # insult stands in many contexts.
+    follows = rows.filter("y = 1").select(words.alias("ws")).select(F.explode(F.transform("ws", lambda w, i: F.struct(w.alias("w"), F.get("ws", i - 1).alias("prev")))).alias("p"))
+    contexts = follows.select(F.explode(_entries(F.col("p.w"))).alias("term"), F.coalesce("p.prev", F.lit("")).alias("prev"))
+    contexts = contexts.join(likely.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("contexts"))
+    found = likely.join(contexts.filter(F.col("contexts") >= least), "term").orderBy(F.desc(F.col("pos") * F.col("w")), "term").limit(LEXICON_ENTRIES)
     entries = tuple((r.term, min(r.w, 6.0) / 6.0) for r in found.collect())
     raw = ToxicityModel(entries, 0.0, 0.0)
     scored = _evidence(rows, raw, "t", "evidence").groupBy(F.round(F.least("evidence", F.lit(8.0)) * 4).alias("bin"), "y").agg(F.count("*").alias("n"))
