@@ -12,18 +12,15 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .chunks import ChunkCoder
 from .words import text_slices
 
-#: Pieces that a worker remembers; beyond it the memory starts afresh. It bounds
-#: memory and changes no result.
-REMEMBERED_PIECES = 400_000
 #: Leaves that are merged side by side.
 LEAVES_AT_ONCE = 1 << 19
 _NONE = np.iinfo(np.int64).max
@@ -128,74 +125,24 @@ def _vocabulary(raw: bytes) -> Vocabulary:
     return Vocabulary(raw)
 
 
-class _Encoder:
-    """Encodes texts piece by piece and remembers pieces it has met."""
-
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        import regex
-
-        self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.clear()
-
-    def clear(self):
-        self.index: dict[str, int] = {}
-        self.sizes, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.int32)
-
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.index]
-        if not new:
-            return
-        ids, starts, sizes = self.vocabulary.encode_pieces([p.encode() for p in new])
-        self.index.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-        self.sizes, self.starts = np.append(self.sizes, sizes), np.append(self.starts, starts + len(self.flat))
-        self.flat = np.append(self.flat, ids)
+@functools.lru_cache(maxsize=2)
+def _coder(raw: bytes, pattern: str) -> ChunkCoder:
+    import regex
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, where each text ends)."""
-        ids, ends, total = [], [], 0
-        for pieces, last in self._runs(texts):
-            if len(self.index) > REMEMBERED_PIECES:
-                self.clear()
-            every = [p for part in pieces for p in part]
-            self.learn(set(every))
-            place = np.fromiter(map(self.index.__getitem__, every), np.int64, len(every))
-            sizes = self.sizes[place]
-            upto = np.cumsum(sizes)
-            ids.append(self.flat[np.repeat(self.starts[place] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)])
-            at = 0
-            for part, done in zip(pieces, last):
-                at += len(part)
-                if done:
-                    ends.append(total + (upto[at - 1] if at else 0))
-            total += upto[-1] if len(upto) else 0
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array(ends, np.int64)
+    vocabulary, cutter = _vocabulary(raw), regex.compile(pattern)
 
-    def _runs(self, texts: list[str], most: int = 1 << 17) -> Iterator[tuple[list[list[str]], list[bool]]]:
-        """Pieces of one text after another, a bounded number at a time; and whether each text ends there."""
-        pieces, last, held = [], [], 0
+    def code(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, number = [], []
         for text in texts:
-            if len(text) < most:
-                pieces.append(self.pattern.findall(text))
-                last.append(True)
-                held += len(pieces[-1])
-            else:
-                found = (m.group() for m in self.pattern.finditer(text))
-                while part := list(islice(found, most)):
-                    yield [*pieces, part], [*last, False]
-                    pieces, last, held = [], [], 0
-                pieces.append([])
-                last.append(True)
-            if held >= most:
-                yield pieces, last
-                pieces, last, held = [], [], 0
-        if pieces:
-            yield pieces, last
-
+            before = len(pieces)
+            pieces += [m.encode() for m in cutter.findall(text)]
+            number.append(len(pieces) - before)
+        ids, starts, sizes = vocabulary.encode_pieces(pieces)
+        upto = np.cumsum(sizes)
+        order = np.repeat(starts - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)
+        return ids[order], np.diff(np.append(0, upto)[np.append(0, np.cumsum(number))])
 
-@functools.lru_cache(maxsize=2)
-def _encoder(raw: bytes, pattern: str) -> _Encoder:
-    return _Encoder(_vocabulary(raw), pattern)
+    return ChunkCoder(code)
 
 
 def _with_field(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
@@ -222,11 +169,11 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", out:
         schema = T.StructType([f for f in schema.fields if f.name != text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(raw.value, pattern)
+        coder = _coder(raw.value, pattern)
         for batch in batches:
             column = batch.column(text)
-            for a, b, _, _ in text_slices(column):
-                ids, ends = encoder.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
+            for a, b, data, offsets in text_slices(column):
+                ids, ends = coder.encode(data, offsets)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
                 part = batch.slice(a, b - a)
                 columns = {n: part.column(n) for n in schema.names[:-1]}

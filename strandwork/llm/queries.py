@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_folder
 from .byte_bpe import decode, encode
+from .chat_format import canonical_turns, format_chat, read_chat, read_loss_texts
 from .exact_dedup import exact_groups
 from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
@@ -61,3 +62,34 @@ def op6_toxicity(spark, sf_dir):
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sizes AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '#', '')) + length(text) - length(replace(text, '<', '')) AS text_chars,
+         length(role) AS role_chars FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + role_chars + 2 + text_chars + 8) AS BIGINT) AS formatted_chars
+FROM sizes GROUP BY conv_id
+"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def op7_chat_format(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    chats = read_loss_texts(read_chat(format_chat(canonical_turns(rows.unionByName(extra)))))
+    lines = F.transform("turns_read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("loss_texts", "")
+    return chats.select(
+        "conv_id", F.size("turns_read").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
