@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_folder
 from .byte_bpe import decode, encode
 from .chat_format import canonical_turns, format_chat, read_chat, read_loss_texts
+from .decontaminate import benchmark_overlaps
 from .exact_dedup import exact_groups
 from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
@@ -93,3 +94,9 @@ def op7_chat_format(spark, sf_dir):
         "conv_id", F.size("turns_read").cast("long").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark, sf_dir):
+    pairs = benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "matched", "item_size", "shift")
