@@ -12,6 +12,7 @@ from .decontaminate import benchmark_overlaps
 from .exact_dedup import exact_groups
 from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
+from .sharding import assign_shards
 from .substring_dedup import remove_repeats
 from .token_files import read_ids, write_ids
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -107,3 +108,8 @@ def op10_decontaminate(spark, sf_dir):
 def op1_substring_dedup(spark, sf_dir):
     cut = remove_repeats(table(spark, sf_dir, "documents"), words=20)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_sharding")
+def op4_sharding(spark, sf_dir):
+    return assign_shards(table(spark, sf_dir, "documents"), shards=16)
