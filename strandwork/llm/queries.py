@@ -10,6 +10,7 @@ from .byte_bpe import decode, encode
 from .chat_format import canonical_turns, format_chat, read_chat, read_loss_texts
 from .decontaminate import benchmark_overlaps
 from .exact_dedup import exact_groups
+from .jaccard_join import Rule, near_duplicates
 from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
 from .sharding import assign_shards
@@ -113,3 +114,8 @@ def op1_substring_dedup(spark, sf_dir):
 @query("op4_sharding")
 def op4_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"), shards=16)
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), Rule(words=4, num=85, den=100))
