@@ -61,18 +61,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def drop_table(*tables: DataFrame) -> None:
-    """Delete tables of ``cut_lineage`` that nothing reads any more.
-
-    Spark removes the shuffle files of a finished job when the driver forgets
-    its plan, so the driver is asked to collect its garbage as well.
-    """
+    """Delete tables of ``cut_lineage`` that nothing reads any more."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        free_shuffles(tables[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of a finished job when the driver forgets
+    its plan; a long run of jobs asks the driver to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
