@@ -15,6 +15,7 @@ from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
 from .sharding import assign_shards
 from .substring_dedup import remove_repeats
+from .suffix_dedup import remove_byte_repeats
 from .token_files import read_ids, write_ids
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -119,3 +120,9 @@ def op4_sharding(spark, sf_dir):
 @query("op5_jaccard_join")
 def op5_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), Rule(words=4, num=85, den=100))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    cut = remove_byte_repeats(table(spark, sf_dir, "documents"), length=400)
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
