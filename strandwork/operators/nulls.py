@@ -1,100 +1,101 @@
-"""Matched random position sets."""
+"""Random position sets that match a core, as keyed choices among candidate windows.
+
+Every stretch of the core asks for a window of its length among the free
+positions. Candidates carry the tolerance class of their covariate, and a keyed
+hash ranks them per attempt, so a set is a chain of grouped minima and the same
+in any engine.
+"""
 
 from __future__ import annotations
 
-import zlib
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ordering import compute_partitions
 
 # Widening covariate tolerances, attempts per wanted set.
 TOLERANCES = [0.03, 0.05, 0.08, 0.12, 0.20]
 ATTEMPTS_PER_SET = 8
 
 
-class _Placer:
-    """Places segments of the core's lengths outside the core of one structure."""
-
-    def __init__(self, pos: np.ndarray, radial: np.ndarray, core: np.ndarray):
-        base = int(pos.min())
-        size = int(pos.max()) - base + 1
-        free, value = np.zeros(size, bool), np.full(size, np.nan)
-        free[pos - base] = ~core
-        value[pos - base] = radial
-        marks = np.zeros(size + 2, int)
-        marks[pos[core] - base + 1] = 1
-        step = np.diff(marks)
-        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        self.base, self.size = base, size
-        self.specs = []
-        for s, e in zip(starts, ends):
-            n = int(e - s)
-            windows = np.lib.stride_tricks.sliding_window_view(free, n).all(axis=1)
-            at = np.flatnonzero(windows)
-            if not len(at):
-                raise RuntimeError(f"no free segment of length {n}")
-            med = np.median(np.lib.stride_tricks.sliding_window_view(value, n)[at], axis=1)
-            self.specs.append((n, at, np.abs(med - np.median(value[s:e]))))
-
-    def draw(self, rng: np.random.Generator):
-        """(positions, mean covariate error) or None when a segment finds no place."""
-        order = sorted(range(len(self.specs)), key=lambda i: (-self.specs[i][0], rng.random()))
-        used = np.zeros(self.size + 1, int)
-        picked, errors = [], []
-        for i in order:
-            n, at, err = self.specs[i]
-            run = np.concatenate([[0], np.cumsum(used[: self.size])])
-            open_ = run[at + n] == run[at]
-            pool = np.zeros(0, int)
-            for tol in TOLERANCES:
-                pool = np.flatnonzero(open_ & (err <= tol))
-                if len(pool):
-                    break
-            if not len(pool):
-                rest = np.flatnonzero(open_)
-                if not len(rest):
-                    return None
-                pool = rest[np.isclose(err[rest], err[rest].min(), rtol=1e-9, atol=0.0)]
-            j = pool[rng.integers(len(pool))]
-            used[at[j] : at[j] + n] = 1
-            picked.extend(range(at[j], at[j] + n))
-            errors.append(err[j])
-        return np.sort(np.array(picked)) + self.base, float(np.mean(errors))
-
-
-def matched_null_sets(positions: DataFrame, item: str, n: int, seed: int = 42, block: int = 50) -> DataFrame:
+def core_segments(positions: DataFrame, item: str) -> DataFrame:
+    """(item, start, size, centre): stretches of core positions and their median covariate."""
+    nth = F.row_number().over(Window.partitionBy(item).orderBy("pos"))
+    runs = positions.filter("core").withColumn("_run", F.col("pos") - nth)
+    return runs.groupBy(item, "_run").agg(F.min("pos").alias("start"), F.count("*").alias("size"), F.median("radial").alias("centre")).drop("_run")
+
+
+def free_windows(positions: DataFrame, segments: DataFrame, item: str) -> DataFrame:
+    """(item, size, at, middle): windows of a wanted size whose positions are all there and free."""
+    free = positions.filter("not core").select(item, "pos", "radial")
+    asked = free.select(item, F.col("pos").alias("at")).join(segments.select(item, "size").distinct(), item)
+    cells = asked.withColumn("pos", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)))
+    whole = cells.join(free, [item, "pos"]).groupBy(item, "size", "at").agg(F.count("*").alias("_n"), F.median("radial").alias("middle"))
+    return whole.filter("_n = size").drop("_n")
+
+
+def tolerance_class(error: Column) -> Column:
+    """0 for the tightest tolerance that holds, up to their number for none."""
+    held = reduce(lambda out, i: out.when(error <= TOLERANCES[i], i), range(len(TOLERANCES)), F)
+    return held.otherwise(len(TOLERANCES))
+
+
+def _key(item: str, seed: int, *parts: str) -> Column:
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (item, *parts)], F.lit(str(seed))))
+
+
+def _attempts(segments: DataFrame, windows: DataFrame, item: str, first: int, last: int, seed: int, most: int) -> DataFrame:
+    """(item, attempt, used): attempts first..last-1 in which every segment found a place."""
+    tries = segments.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+    # Long segments choose first; the key orders equal lengths anew in each attempt.
+    turn = F.row_number().over(Window.partitionBy(item, "attempt").orderBy(F.desc("size"), _key(item, seed, "attempt", "start")))
+    plan = cut_lineage(tries.withColumn("turn", turn))
+    state = plan.select(item, "attempt").distinct().withColumn("used", F.expr("array()").cast("array<struct<at:bigint,size:bigint,error:double>>"))
+    for k in range(1, most + 1):
+        now = plan.filter(F.col("turn") == k)
+        offers = now.join(windows, [item, "size"]).join(state, [item, "attempt"])
+        offers = offers.filter(~F.exists("used", lambda u: (F.col("at") < u["at"] + u["size"]) & (F.col("at") + F.col("size") > u["at"])))
+        error = F.abs(F.col("middle") - F.col("centre"))
+        offers = offers.withColumns({"error": error, "class": tolerance_class(error)})
+        # Beyond all tolerances only the nearest counts.
+        rank = F.struct("class", F.when(F.col("class") == len(TOLERANCES), F.col("error")).otherwise(0.0).alias("far"), _key(item, seed, "attempt", "start", "at").alias("key"))
+        place = F.struct(F.col("at").cast("long").alias("at"), F.col("size").cast("long").alias("size"), "error")
+        chosen = offers.groupBy(item, "attempt").agg(F.min_by(place, rank).alias("place"))
+        asked = now.select(item, "attempt", F.lit(True).alias("asked"))
+        after = state.join(asked, [item, "attempt"], "left").join(chosen, [item, "attempt"], "left").filter("asked is null or place is not null")
+        state = after.select(item, "attempt", F.when(F.col("place").isNull(), F.col("used")).otherwise(F.concat("used", F.array("place"))).alias("used"))
+        state = cut_lineage(state)
+    return state
+
+
+def matched_null_sets(positions: DataFrame, item: str, n: int, seed: int = 42) -> DataFrame:
     """(item, iter, position, error): n random sets per structure.
 
     ``positions`` is (item, pos, radial, core). A set has segments of the core's
-    lengths outside the core, not overlapping, with a median covariate within
-    widening tolerances, else the nearest. A structure and a block of sets form
-    one task, so the sets of one structure are drawn in parallel. Fewer than
-    max(n/2, 50) sets for a structure is an error.
+    lengths outside the core that do not overlap. Each takes the tightest
+    tolerance of the median covariate that any open window meets, else the
+    nearest window; the hash of (item, attempt, segment, window, seed) decides
+    among equals. The first n attempts that place all segments are the sets, of at
+    most 8n; fewer than max(n/2, 50) sets for a structure is an error.
     """
-    blocks = (n + block - 1) // block
-    kind = dict(positions.dtypes)[item]
-    spread = positions.select(item, "pos", "radial", "core").withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, blk = pdf[item].iloc[0], int(pdf["_blk"].iloc[0])
-        pdf = pdf.sort_values("pos")
-        placer = _Placer(pdf["pos"].to_numpy(), pdf["radial"].to_numpy(), pdf["core"].to_numpy(bool))
-        rng = np.random.default_rng([seed, zlib.crc32(str(name).encode()), blk])
-        want, out, tries = min(block, n - blk * block), [], 0
-        while len(out) < want and tries < ATTEMPTS_PER_SET * want:
-            tries += 1
-            got = placer.draw(rng)
-            if got is not None:
-                out.append(pd.DataFrame({item: name, "iter": blk * block + len(out), "position": got[0], "error": got[1]}))
-        return pd.concat(out) if out else pd.DataFrame({item: [], "iter": [], "position": [], "error": []})
-
-    sets = compute_partitions(spread, item, "_blk").groupBy(item, "_blk").applyInPandas(place, f"{item} {kind}, iter long, position long, error double")
-    sets = cut_lineage(sets)
-    made = sets.groupBy(item).agg(F.count_distinct("iter").alias("_made"))
+    segments = cut_lineage(core_segments(positions, item))
+    windows = cut_lineage(free_windows(positions, segments, item))
+    most = segments.groupBy(item).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    every = segments.select(item).distinct()
+    open_, found = segments, []
+    for turn in range(ATTEMPTS_PER_SET):
+        found.append(_attempts(open_, windows, item, turn * n, (turn + 1) * n, seed, most))
+        made = reduce(DataFrame.unionAll, found).groupBy(item).agg(F.count("*").alias("_made"))
+        short = every.join(made, item, "left").filter(F.coalesce("_made", F.lit(0)) < n).select(item)
+        if short.isEmpty():
+            break
+        open_ = segments.join(short, item, "left_semi")
+    sets = reduce(DataFrame.unionAll, found)
+    sets = sets.withColumn("iter", (F.row_number().over(Window.partitionBy(item).orderBy("attempt")) - 1).cast("long")).filter(F.col("iter") < n)
+    counts = every.join(made, item, "left").withColumn("_made", F.coalesce("_made", F.lit(0)))
     guard = F.assert_true(F.col("_made") >= min(n, max(n // 2, 50)), F.lit("too few matched sets"))
-    return sets.join(made, item).filter(guard.isNull()).drop("_made")
+    sets = counts.filter(guard.isNull()).join(sets, item).withColumn("error", F.aggregate("used", F.lit(0.0), lambda a, u: a + u["error"]) / F.size("used"))
+    cells = sets.withColumn("u", F.explode("used"))
+    return cells.select(item, "iter", F.explode(F.sequence(F.col("u.at"), F.col("u.at") + F.col("u.size") - 1)).alias("position"), "error")
