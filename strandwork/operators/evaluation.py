@@ -11,8 +11,6 @@ from ..functions import as_list, ratio
 from .aggregate import fold_mean_std
 from .ordering import ordered_scan
 
-SWEEP_LIMIT = 4096
-GRID_POINTS = 2001
 
 BINARY_METRICS = ["accuracy", "precision", "recall", "specificity", "fpr", "f1", "balanced_accuracy"]
 
@@ -82,18 +80,17 @@ def _score_counts(df: DataFrame, y: str, score: str, group: list) -> DataFrame:
 def threshold_sweep(df: DataFrame, y: str, score: str, group=(), grid: int | None = None) -> DataFrame:
     """Metrics at each threshold (score >= t).
 
-    Thresholds are the distinct scores when there are at most 4096, else a grid
-    of 2001 points; ``grid`` asks for a grid. Scores are counted first, then the
-    counts are summed from the top, so no row meets more than one threshold.
+    Thresholds are the distinct scores; ``grid`` asks for that many equal steps
+    from 0 to 1 in their place, which bounds the result. Scores are counted first,
+    then the counts are summed from the top, so no row meets more than one threshold.
     """
     group = as_list(group)
     counts = _score_counts(df, y, score, group)
-    if grid is None and counts.select(score).distinct().limit(SWEEP_LIMIT + 1).count() > SWEEP_LIMIT:
-        grid = GRID_POINTS
     if grid is None and group:
-        # the thresholds are shared: every group is read at every distinct score
-        every = counts.select(score).distinct().agg(F.array_sort(F.collect_list(score))).scalar()
-        frame = counts.select(*group).distinct().withColumn(score, F.explode(every))
+        # The thresholds are shared: every group is read at every distinct score.
+        # Groups (folds, models) are few; the list of them rides on each score.
+        every = counts.select(F.struct(*group).alias("_g")).distinct().agg(F.collect_list("_g")).scalar()
+        frame = counts.select(score).distinct().withColumn("_g", F.explode(every)).select("_g.*", score)
         counts = frame.join(counts, [*group, score], "left").fillna(0, ["_pos", "_neg"])
         cells = counts.withColumnRenamed(score, "threshold")
     elif grid is None:

@@ -9,35 +9,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STATE_SCHEMA = "chunk_id string"
+STATE_SCHEMA = "chunk_id string, source string"
+#: The source of rows that carry none.
+NO_SOURCE = "-"
 
 
 def finished_chunks(spark: SparkSession, out: str, stage: str) -> DataFrame:
-    """Chunk ids whose stage output is committed."""
+    """(chunk_id, source): the files of each chunk whose stage output is committed."""
     try:
         return spark.read.schema(STATE_SCHEMA).parquet(f"{out}/done/stage={stage}")
     except AnalysisException:  # no chunk has finished yet
         return spark.createDataFrame([], STATE_SCHEMA)
 
 
+def _remove_chunks(spark: SparkSession, folder: str, chunks: DataFrame) -> None:
+    """Delete the folders of ``chunks``: a chunk without result rows must not keep old ones."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return
+    names = chunks.select("chunk_id").distinct()
+    there = spark.createDataFrame([(f.getPath().getName(),) for f in fs.listStatus(top)], "folder string")
+    escaped = F.concat(F.lit("chunk_id="), F.col("chunk_id"))
+    for row in names.join(there, F.regexp_replace(F.url_decode("folder"), r"\+", " ") == escaped).toLocalIterator():
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.folder}"), True)
+
+
 def run_stage(rows: DataFrame, out: str, stage: str, fn: Callable[[DataFrame], DataFrame], force: bool = False, only: str | None = None) -> None:
     """Compute a stage for the chunks of ``rows`` that are not finished.
 
-    Finished chunks keep their files untouched; ``force`` recomputes them;
-    ``only`` picks one chunk. Each chunk is its own partition folder and is
-    replaced as a whole, so a repeated batch after a crash leaves no double rows.
+    A chunk is finished with the files it was made of (column ``source``, if
+    ``rows`` have it). The same files again leave it untouched; ``force``
+    recomputes it; ``only`` picks one chunk. Rows of a finished chunk from a new
+    file are an error, raised before anything is written: ``run_increment`` gives
+    such a chunk with all of its files. Each chunk is its own partition folder
+    and is replaced as a whole, also by an empty result.
     """
     spark = rows.sparkSession
+    if "source" not in rows.columns:
+        rows = rows.withColumn("source", F.lit(NO_SOURCE))
     todo = rows.filter(F.col("chunk_id") == only) if only else rows
     if not force:
-        todo = todo.join(finished_chunks(spark, out, stage), "chunk_id", "left_anti")
+        done = finished_chunks(spark, out, stage)
+        new = todo.join(done, ["chunk_id", "source"], "left_anti").select("chunk_id").distinct()
+        todo = todo.join(new, "chunk_id", "left_semi")
+        missing = done.join(new, "chunk_id").join(todo.select("chunk_id", "source"), ["chunk_id", "source"], "left_anti")
+        if not missing.isEmpty():
+            raise ValueError("a finished chunk got new rows without its earlier files")
     todo = todo.persist()
     try:
         if todo.isEmpty():
             return
-        result = fn(todo)
+        result = fn(todo.drop("source"))
+        _remove_chunks(spark, f"{out}/data/stage={stage}", todo)
         result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(f"{out}/data/stage={stage}")
-        todo.select("chunk_id").distinct().write.mode("append").parquet(f"{out}/done/stage={stage}")
+        todo.select("chunk_id", "source").distinct().write.mode("append").parquet(f"{out}/done/stage={stage}")
     finally:
         todo.unpersist()
 
@@ -46,14 +72,25 @@ def run_increment(spark: SparkSession, source: str, schema: T.StructType | str,
     """Process all files that arrived since the last run, then stop.
 
     The stream's checkpoint remembers the files read; the done table remembers
-    the chunks finished per stage.
+    the files of each chunk finished per stage. A chunk that gets a further file
+    is computed again from all of its files.
     """
 
+    def read(fresh: DataFrame) -> DataFrame:
+        return fresh.withColumn("source", F.col("_metadata.file_path"))
+
     def batch(rows: DataFrame, _epoch: int) -> None:
         for name, fn in stages.items():
-            run_stage(rows, out, name, fn)
-
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+            earlier = finished_chunks(spark, out, name).join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi")
+            earlier = earlier.join(rows.select("chunk_id", "source").distinct(), ["chunk_id", "source"], "left_anti")
+            files = [r.source for r in earlier.select("source").distinct().collect()]  # files of the touched chunks
+            again = rows
+            if files:
+                old = read(spark.read.schema(schema).parquet(*files)).join(earlier, ["chunk_id", "source"], "left_semi")
+                again = rows.unionByName(old)
+            run_stage(again, out, name, fn)
+
+    stream = read(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source))
     job = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start()
     job.awaitTermination()
 

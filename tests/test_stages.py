@@ -32,13 +32,29 @@ def test_resumable_run(spark, tmp_path):
     got = {r["chunk_id"]: r["s"] for r in increment.stage_output(spark, out, "sum", "s long, chunk_id string").collect()}
     assert got == {"a": 3, "b": 5, "c": 7}
     rows = spark.createDataFrame([("a", 10), ("b", 1)], schema)
-    increment.run_stage(rows, out, "sum", stages["sum"])  # finished: untouched
+    increment.run_increment(spark, src, schema, out, str(tmp_path / "cp2"), stages)  # the same files: untouched
     assert digest(tmp_path / "out" / "data") == after
     increment.run_stage(rows, out, "sum", stages["sum"], force=True, only="a")
     got = {r["chunk_id"]: r["s"] for r in increment.stage_output(spark, out, "sum", "s long, chunk_id string").collect()}
     assert got == {"a": 10, "b": 5, "c": 7}
 
 
+def test_late_rows_and_empty_results(spark, tmp_path):
+    schema = "chunk_id string, v long"
+    src, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    stages = {"sum": lambda df: df.filter("v > 0").groupBy("chunk_id").agg(F.sum("v").alias("s"))}
+    spark.createDataFrame([("a", 1), ("b", 5)], schema).coalesce(1).write.parquet(src)
+    increment.run_increment(spark, src, schema, out, cp, stages)
+    spark.createDataFrame([("a", 2)], schema).coalesce(1).write.mode("append").parquet(src)
+    increment.run_increment(spark, src, schema, out, cp, stages)
+    read = lambda: {r["chunk_id"]: r["s"] for r in increment.stage_output(spark, out, "sum", "s long, chunk_id string").collect()}
+    assert read() == {"a": 3, "b": 5}
+    with pytest.raises(ValueError):  # a new file of a finished chunk, without the others
+        increment.run_stage(spark.createDataFrame([("a", 4, "x")], schema + ", source string"), out, "sum", stages["sum"])
+    increment.run_stage(spark.createDataFrame([("a", -1)], schema), out, "sum", stages["sum"], force=True)
+    assert read() == {"b": 5}
+
+
 def test_gate_statuses(spark):
     rows = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False)], "row_id long, valid boolean")
 
