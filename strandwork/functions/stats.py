@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from . import as_col
 
 
+#: Terms that are summed one by one; longer sums are integrated with as many steps for any length.
+SUMMED_TERMS, STEPS = 64, 1024
+
+
 def chi2_sf_even(x: Column, half_df: Column) -> Column:
-    """Upper tail of chi-square with 2*half_df degrees of freedom.
+    """Upper tail of chi-square with 2*half_df degrees of freedom, in bounded work.
 
-    exp(-x/2) * sum_{i<k} (x/2)^i / i!, every term taken in log space against
-    -x/2 so that large statistics do not underflow term by term.
+    Up to SUMMED_TERMS it is exp(-x/2) * sum_{i<k} (x/2)^i / i!, every term taken in
+    log space. Beyond, the same tail is the integral of a gamma density from x/2,
+    which Simpson's rule takes to about ten digits in STEPS steps.
     """
-    h = x / 2
+    h, k = x / 2, half_df.cast("double")
     terms = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(half_df.cast("int") - 1, F.lit(1))),
+        F.sequence(F.lit(1), F.greatest(F.least(half_df, F.lit(SUMMED_TERMS)).cast("int") - 1, F.lit(1))),
         F.struct((-h).alias("log_term"), F.exp(-h).alias("acc")),
         lambda s, i: F.struct(
             (s["log_term"] + F.log(h) - F.log(i.cast("double"))).alias("log_term"),
@@ -24,7 +29,30 @@ def chi2_sf_even(x: Column, half_df: Column) -> Column:
         ),
         lambda s: s["acc"],
     )
-    return F.when(half_df <= 1, F.exp(-h)).when(h <= 0, F.lit(1.0)).otherwise(F.least(terms, F.lit(1.0)))
+    tail = F.when(h < (k - 1) - 12 * F.sqrt(k), 1.0).otherwise(_gamma_tail(h, k - 1))
+    summed = F.when(half_df <= SUMMED_TERMS, terms).otherwise(tail)
+    return F.when(half_df <= 1, F.exp(-h)).when(h <= 0, F.lit(1.0)).otherwise(F.least(summed, F.lit(1.0)))
+
+
+def _gamma_tail(h: Column, n: Column) -> Column:
+    """Integral of t^n exp(-t) / n! from h, for n of some dozens and more.
+
+    The density is written around its peak at n with Stirling's series, so that no
+    large numbers cancel. The range is as wide as the density falls: some standard
+    deviations, or the decay length where h lies far above the peak.
+    """
+    scale = F.least(F.sqrt(n + 1), F.when(h > n, 1 / (1 - n / h)).otherwise(F.sqrt(n + 1)))
+    width = F.when(h < n, (n - h) + 14 * F.sqrt(n + 1)).otherwise(40 * scale)
+    step = width / STEPS
+    base = -0.5 * F.log(2 * F.lit(3.141592653589793) * n) - 1 / (12 * n) + 1 / (360 * n * n * n)
+
+    def density(i: Column) -> Column:
+        u = (h + step * i - n) / n
+        return F.exp(base - n * (u - F.log1p(u)))
+
+    weight = lambda i: F.when((i == 0) | (i == STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), lambda a, i: a + weight(i) * density(i.cast("double")))
+    return total * step / 3
 
 
 # Lanczos coefficients (g = 7, n = 9) for log-gamma.

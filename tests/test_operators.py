@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandwork.functions.stats import chi2_sf_even
 from strandwork.operators import encoding, graph, joins, neighbours, nulls, sampling, statistics
 from strandwork.operators.aggregate import pair_cosine
 
@@ -141,6 +142,22 @@ def test_core_numbers_against_peeling(spark):
     assert {r["node"]: r["core"] for r in graph.core_numbers(df).collect()} == core
 
 
+def test_chi_square_tail_in_bounded_work(spark):
+    def exact(h, k):
+        total, log_term = 0.0, -h
+        for i in range(k):
+            total += math.exp(log_term)
+            log_term += math.log(h) - math.log(i + 1)
+        return total
+
+    cases = [(float(h), k) for k in (2, 63, 64, 65, 200, 5000) for h in (k * 0.7, k - 1.0, k * 1.0, k + 3 * k**0.5, k * 1.3)]
+    df = spark.createDataFrame([(i, 2 * h, k) for i, (h, k) in enumerate(cases)], "i int, x double, k long")
+    got = {r.i: r.p for r in df.select("i", chi2_sf_even(F.col("x"), F.col("k")).alias("p")).collect()}
+    assert all(got[i] == pytest.approx(min(exact(h, k), 1.0), rel=1e-6, abs=1e-300) for i, (h, k) in enumerate(cases))
+    large = spark.createDataFrame([(6e9, 3_000_000_000)], "x double, k long").select(chi2_sf_even(F.col("x"), F.col("k"))).first()[0]
+    assert large == pytest.approx(0.5, abs=1e-4)
+
+
 def test_identity_clusters(spark):
     rng = np.random.default_rng(8)
     base = ["".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 120)) for _ in range(4)]
