@@ -22,6 +22,9 @@ from ..session import cut_lineage, drop_table
 from .rows import text_of
 
 LAW = "rows"
+#: Rounds in which room counts before the number of members. From then on every
+#: move gathers a group further (the sum of its squared counts rises), so rounds end.
+ROOM_ROUNDS = 6
 
 
 def _quotas(rows: int, shards: int) -> list[int]:
@@ -59,13 +62,17 @@ def propagate(groups: DataFrame, shards: int, quotas: list[int]) -> DataFrame:
     count = F.floor((F.col("upto") - 1 - shard) / shards) - F.floor((begin - 1 - shard) / shards)
     state = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("c", count.cast("long")).filter("c > 0")
     state = cut_lineage(state.select("g", "n", "shard", "c", F.lit(False).alias("done")))
+    turn = 0
     while True:
         load = {r.shard: r.c for r in state.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # one row per shard
         room = [q - load.get(s, 0) for s, q in enumerate(quotas)]
         open_ = state.filter("not done")
         # The members' own votes: the shard that most of them are in, ties by a
-        # hash so that equal votes spread over the shards.
-        vote = F.max(F.struct("c", F.xxhash64("g", "shard").alias("tie"), shard.alias("to"))).alias("v")
+        # hash so that equal votes spread over the shards. At first a shard with
+        # room for all of them goes before, so that small groups leave full shards.
+        fits = (_pick("shard", room) >= F.col("n") - F.col("c")) & F.lit(turn < ROOM_ROUNDS)
+        turn += 1
+        vote = F.max(F.struct(fits.alias("fits"), "c", F.xxhash64("g", "shard").alias("tie"), shard.alias("to"))).alias("v")
         votes = open_.groupBy("g").agg(vote, F.count("*").alias("parts")).filter("parts > 1").select("g", F.col("v.to").alias("to"))
         movers = open_.join(votes, "g").filter("shard <> to")
         wanted = {(r.shard, r.to): r.c for r in movers.groupBy("shard", "to").agg(F.sum("c").alias("c")).collect()}  # at most shards x shards rows
