@@ -54,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     earlier rounds.
     """
     path = scratch_folder(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # scratch is read once or twice; small files count
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
