@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_table
+from ..session import cut_lineage, drop_table, free_shuffles
 from .rows import number_rows, text_of
 from .words import as_long, leftmost_minima, mix, text_slices, window_starts, window_sums, word_hashes
 
@@ -103,6 +103,29 @@ def _next_level(docs: DataFrame, found: DataFrame, first: int, length: int) -> D
     return _with_places(docs, found).mapInArrow(run, "hash long, _row long, place int, side int")
 
 
+def _surroundings(docs: DataFrame, found: DataFrame, first: int, words: int) -> DataFrame:
+    """(hash, hash2, _row, place): the run of words that holds every wanted window
+    around an anchor, where it lies inside the text."""
+    before, length = words - first, 2 * words - first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for hashes, starts, place, sides, of, rows in _gathered(batch):
+                begin = place - before
+                ok = (sides == RIGHT | LEFT) & (begin >= starts[of]) & (begin + length <= starts[of + 1])
+                one, two = (mix(window_sums(hashes, length, f))[begin[ok]] if ok.any() else hashes[:0] for f in (_FACTOR, _FACTOR2))
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(one)), pa.array(as_long(two)), pa.array(rows[of[ok]]), pa.array((place - starts[of])[ok].astype(np.int32))], ["hash", "hash2", "_row", "place"])
+
+    return _with_places(docs, found).mapInArrow(run, "hash long, hash2 long, _row long, place int")
+
+
+def _not_first(windows: DataFrame, at: str) -> DataFrame:
+    """Rows (_row, at) whose two hashes stand on an earlier row, or earlier in the row."""
+    earliest = windows.groupBy("hash", "hash2").agg(F.count("*").alias("_n"), F.min(F.struct("_row", at)).alias("e")).filter("_n > 1").drop("_n")
+    again = windows.join(earliest, ["hash", "hash2"]).filter((F.col("_row") != F.col("e._row")) | (F.col(at) != F.col(f"e.{at}")))
+    return again.select("_row", at)
+
+
 def _last_level(docs: DataFrame, found: DataFrame, first: int, length: int, words: int) -> DataFrame:
     """(hash, hash2, _row, start): windows of ``words`` words around an anchor that
     repeated to ``length`` words on a side that the window holds."""
@@ -123,28 +146,46 @@ def _last_level(docs: DataFrame, found: DataFrame, first: int, length: int, word
     return _with_places(docs, found).mapInArrow(run, "hash long, hash2 long, _row long, start int")
 
 
-def repeated_windows(docs: DataFrame, words: int, first: int = FIRST_WORDS) -> DataFrame:
-    """(_row, start): windows of ``words`` words whose words also start earlier.
+def copied_rows(docs: DataFrame) -> DataFrame:
+    """(_row): rows whose whole text stands in an earlier row."""
+    content = docs.select("_row", F.sha2("text", 256).alias("content"))
+    first = content.groupBy("content").agg(F.min("_row").alias("first"), F.count("*").alias("_n")).filter("_n > 1")
+    return content.join(first, "content").filter("_row > first").select("_row")
+
+
+def repeated_windows(docs: DataFrame, copies: DataFrame, words: int, first: int = FIRST_WORDS) -> DataFrame:
+    """(_row, runs): windows of ``words`` words whose words also start earlier, as
+    runs (start, n) of n windows at consecutive places.
 
     ``docs`` is a written table (_row, text) whose row numbers rise along the
-    order of the documents. Windows are compared by 128 bits.
+    order of the documents. Rows in ``copies`` are left out: each of their windows
+    repeats, and none is the first of its kind. Windows are compared by 128 bits.
     """
-    spent = []
-    found = cut_lineage(_first_level(docs, first, words))
-    spent.append(found)
-    found = cut_lineage(_repeated(found).select("_row", "place", F.lit(RIGHT | LEFT).alias("sides")))
-    spent.append(found)
+    spark = docs.sparkSession
+    windows = cut_lineage(_first_level(docs, first, words).join(copies, "_row", "left_anti"))
+    free_shuffles(spark)
+    found = cut_lineage(_repeated(windows).select("_row", "place", F.lit(RIGHT | LEFT).alias("sides")))
+    drop_table(windows)
     levels = _levels(first, words)
     for length in levels[1:]:
-        drop_table(*spent[:-1])
-        windows = cut_lineage(_next_level(docs, found, first, length))
+        windows, before = cut_lineage(_next_level(docs, found, first, length)), found
+        free_shuffles(spark)
         found = cut_lineage(_repeated(windows).groupBy("_row", "place").agg(F.sum("side").cast("int").alias("sides")))
-        spent = [spent[-1], windows, found]
-    windows = cut_lineage(_last_level(docs, found, first, levels[-1], words))
-    drop_table(*spent)
-    earliest = windows.groupBy("hash", "hash2").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "start")).alias("at")).filter("_n > 1").drop("_n")
-    again = windows.join(earliest, ["hash", "hash2"]).filter((F.col("_row") != F.col("at._row")) | (F.col("start") != F.col("at.start")))
-    return again.select("_row", "start")
+        drop_table(windows, before)
+    # Where all that surrounds an anchor stands earlier, so does every window
+    # around it. Such places are settled as one; the first of them stays, so no
+    # window loses its earliest place.
+    windows = cut_lineage(_surroundings(docs, found, first, words))
+    free_shuffles(spark)
+    whole = cut_lineage(_not_first(windows, "place"))
+    drop_table(windows)
+    windows = cut_lineage(_last_level(docs, found.join(whole, ["_row", "place"], "left_anti"), first, levels[-1], words))
+    drop_table(found)
+    runs = _not_first(windows, "start").select("_row", "start", F.lit(1).alias("n"))
+    runs = runs.unionAll(whole.select("_row", F.col("place") - (words - first), F.lit(words - first + 1)))
+    starts = cut_lineage(runs.groupBy("_row").agg(F.collect_list(F.struct("start", "n")).alias("runs")))  # as long as the text at most
+    drop_table(windows, whole)
+    return starts
 
 
 def remove_repeats(docs: DataFrame, words: int = 20, ident: str = "doc_id", text: str = "text", first: int = FIRST_WORDS) -> DataFrame:
@@ -162,15 +203,18 @@ def remove_repeats(docs: DataFrame, words: int = 20, ident: str = "doc_id", text
     if words < first:
         raise ValueError("the window must hold the first level")
     numbered = number_rows(docs.select(F.col(ident).alias("id"), text_of(text).alias("text")), "_row", "id")
-    again = repeated_windows(numbered.select("_row", "text"), words, first)
-    starts = again.groupBy("_row").agg(F.collect_list("start").alias("starts"))
-    rows = numbered.join(starts, "_row", "left").select("id", "text", "starts")
+    free_shuffles(docs.sparkSession)
+    copies = cut_lineage(copied_rows(numbered))
+    again = repeated_windows(numbered.select("_row", "text"), copies, words, first)
+    marks = again.select("_row", F.col("runs.start").alias("starts"), F.col("runs.n").alias("counts"), F.lit(False).alias("copy"))
+    marks = marks.unionAll(copies.select("_row", F.lit(None).cast("array<int>"), F.lit(None).cast("array<int>"), F.lit(True)))
+    rows = numbered.join(marks, "_row", "left").select("id", "text", "starts", "counts", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                out = [_cut(t.encode(), s, words) for t, s in zip(part.column("text").to_pylist(), part.column("starts").to_pylist())]
+                out = [_cut(t.encode(), s, k, c, words) for t, s, k, c in zip(*(part.column(n).to_pylist() for n in ("text", "starts", "counts", "copy")))]
                 n, removed, spans, kept = zip(*out)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "spans", "kept_text"])
 
@@ -178,16 +222,19 @@ def remove_repeats(docs: DataFrame, words: int = 20, ident: str = "doc_id", text
     return rows.mapInArrow(run, f"id {kind}, n_words long, n_removed long, spans array<array<long>>, kept_text string").withColumnRenamed("id", ident)
 
 
-def _cut(text: bytes, starts: list[int] | None, words: int) -> tuple[int, int, list[list[int]], str]:
+def _cut(text: bytes, starts: list[int] | None, counts: list[int] | None, copy: bool, words: int) -> tuple[int, int, list[list[int]], str]:
     found = text.split()  # bytes split at exactly the six ASCII space characters
+    n = len(found)
+    if copy and n >= words:
+        return n, n, [[0, n]], ""
     if not starts:
-        return len(found), 0, [], b" ".join(found).decode()
-    edge = np.zeros(len(found) + 1, np.int64)
+        return n, 0, [], b" ".join(found).decode()
+    edge = np.zeros(n + 1, np.int64)
     at = np.array(starts)
     np.add.at(edge, at, 1)
-    np.add.at(edge, at + words, -1)
+    np.add.at(edge, at + np.array(counts) - 1 + words, -1)
     gone = np.cumsum(edge)[:-1] > 0
     turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     spans = [[a, b - a] for a, b in zip(turns[::2].tolist(), turns[1::2].tolist())]
     kept = [w for w, g in zip(found, gone.tolist()) if not g]
-    return len(found), len(found) - len(kept), spans, b" ".join(kept).decode()
+    return n, n - len(kept), spans, b" ".join(kept).decode()
