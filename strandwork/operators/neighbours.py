@@ -37,7 +37,10 @@ def _block_kernel(k: int, metric: str):
         s = np.round(_similarity(q, r, metric), 9)
         kk = min(k, s.shape[1])
         kth = np.partition(s, -kk, axis=1)[:, -kk]
-        rows, cols = np.nonzero(s >= kth[:, None])  # ties at rank k stay until ids decide
+        above, level = s > kth[:, None], s == kth[:, None]
+        # Of the ties at rank k the least ids fill the places that are left.
+        level &= np.cumsum(level, axis=1) <= (kk - above.sum(1))[:, None]
+        rows, cols = np.nonzero(above | level)
         return pd.DataFrame(
             {
                 "query_id": left["query_id"].to_numpy()[rows],
@@ -89,45 +92,60 @@ def exact_cosine_topk(queries: DataFrame, refs: DataFrame, k: int, metric: str =
     return blocked_topk(queries, refs, k, (), metric, block_rows)
 
 
-def fit_cells(refs: DataFrame, nlist: int, sample_rows: int = 200_000, seed: int = 42) -> np.ndarray:
-    """Coarse centroids from a bounded training sample of normalised vectors."""
-    n = refs.count()
-    train = refs.select(array_to_vector(l2_normalize("vec")).alias("features"))
-    if n > sample_rows:  # training only; every row is assigned afterwards
-        train = train.sample(fraction=sample_rows / n, seed=seed)
-    model = KMeans(k=nlist, seed=seed, maxIter=10).fit(train)
-    centers = np.asarray(model.clusterCenters())
+def fit_cells(refs: DataFrame, nlist: int, sample_rows: int = 200_000, seed: int = 42, metric: str = "cosine") -> np.ndarray:
+    """Coarse centroids from a training sample of about ``sample_rows`` vectors at most.
+
+    The sample bounds the fit only; every row is assigned afterwards. Vectors are
+    normalised for the cosine metric and no other.
+    """
+    share = min(1.0, sample_rows / max(1, refs.count()))
+    train = refs.sample(fraction=share, seed=seed).select(array_to_vector(l2_normalize("vec") if metric == "cosine" else F.col("vec").cast("array<double>")).alias("features")).persist()
+    try:
+        centers = np.asarray(KMeans(k=nlist, seed=seed, maxIter=10).fit(train).clusterCenters())
+    finally:
+        train.unpersist()
     if centers.nbytes > CENTROID_BYTES_LIMIT:
         raise ValueError("centroid table too large to ship to every task")
     return centers
 
 
-def assign_cells(df: DataFrame, centers: np.ndarray, nprobe: int, ident: str) -> DataFrame:
-    """One row per vector and each of its ``nprobe`` nearest cells."""
+def assign_cells(df: DataFrame, centers: np.ndarray, nprobe: int, ident: str, metric: str = "cosine", slice_rows: int = 256) -> DataFrame:
+    """One row per vector and each of its ``nprobe`` nearest cells; ties go to the lower cell."""
     shared = df.sparkSession.sparkContext.broadcast(centers)
     schema = T.StructType([df.schema[ident], df.schema["vec"], T.StructField("cell", T.IntegerType())])
 
+    def nearest(x, c, half, n):
+        away = np.round(half[None, :] - x @ c.T, 9)
+        some = np.partition(away, n - 1, axis=1)[:, n - 1 :][:, :1]
+        near, level = away < some, away == some
+        level &= np.cumsum(level, axis=1) <= (n - near.sum(1))[:, None]
+        return np.nonzero(near | level)[1].reshape(len(x), n)
+
     def assign(batches):
         c = shared.value
-        half = (c * c).sum(1) / 2
+        half, n = (c * c).sum(1) / 2, min(nprobe, len(c))
         for b in batches:
-            if b.empty:
-                continue
-            x = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            near = np.argsort(half[None, :] - x @ c.T, axis=1, kind="stable")[:, :nprobe]
-            out = b.loc[b.index.repeat(near.shape[1])].reset_index(drop=True)
-            yield out.assign(cell=near.reshape(-1).astype("int32"))
+            for at in range(0, len(b), slice_rows):
+                part = b.iloc[at : at + slice_rows]
+                x = np.stack(part["vec"].to_numpy()).astype(np.float64)
+                if metric == "cosine":
+                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                near = nearest(x, c, half, n)
+                yield part.loc[part.index.repeat(n)].reset_index(drop=True).assign(cell=near.reshape(-1).astype("int32"))
 
     return df.select(ident, "vec").mapInPandas(assign, schema)
 
 
+def search_cells(queries: DataFrame, cells: DataFrame, centers: np.ndarray, k: int, nprobe: int, metric: str = "cosine", block_rows: int = 1024) -> DataFrame:
+    """Top-k over the ``nprobe`` nearest cells of a query, from fitted centroids and the
+    reference table (ref_id, vec, cell) that ``assign_cells`` made once."""
+    return blocked_topk(assign_cells(queries, centers, nprobe, "query_id", metric), cells, k, ["cell"], metric, block_rows)
+
+
 def ivf_search(queries: DataFrame, refs: DataFrame, k: int, nlist: int, nprobe: int, metric: str = "cosine", block_rows: int = 1024) -> DataFrame:
-    """Approximate top-k: only the ``nprobe`` nearest cells of a query are read."""
-    centers = fit_cells(refs, nlist)
-    q = assign_cells(queries, centers, nprobe, "query_id")
-    r = assign_cells(refs, centers, 1, "ref_id")
-    return blocked_topk(q, r, k, ["cell"], metric, block_rows)
+    """Fit, assign and search in one go; keep the centroids and cells to search again."""
+    centers = fit_cells(refs, nlist, metric=metric)
+    return search_cells(queries, assign_cells(refs, centers, 1, "ref_id", metric), centers, k, nprobe, metric, block_rows)
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -136,8 +154,8 @@ def recall_at_k(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def with_ref_labels(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
-    """Add the label of each neighbour; ``labels`` is (ref_id, label)."""
-    return neighbours.join(labels.select("ref_id", "label"), "ref_id")
+    """Add the label of each neighbour, -1 where it has none; ``labels`` is (ref_id, label)."""
+    return neighbours.join(labels.select("ref_id", "label"), "ref_id", "left").fillna(-1, ["label"])
 
 
 def _winner(votes: DataFrame, queries: DataFrame, tie) -> DataFrame:
