@@ -166,6 +166,36 @@ def test_identity_clusters(spark):
     assert {got[i] for i in (0, 4, 8, *range(100, 110))} == {0} and [got[i] for i in (1, 5, 9)] == [1, 1, 1]
 
 
+def test_a_longer_third_sequence_does_not_part_two(spark):
+    rng = np.random.default_rng(10)
+    one = "".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 50))
+    rows = [(1, one), (2, one[:45]), (3, one + "".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 14)))]
+    got = {r[0]: r[1] for r in graph.identity_clusters(spark.createDataFrame(rows, "id long, s string"), "id", "s").collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_representatives_could_not_be_joined(spark):
+    rng = np.random.default_rng(11)
+    base = ["".join(rng.choice(list("ACDE"), 60)) for _ in range(5)]
+    rows = []
+    for i in range(60):
+        s = list(base[i % 5][rng.integers(0, 10) : 60 - rng.integers(0, 20)])
+        for _ in range(rng.integers(0, 8)):
+            s[rng.integers(len(s))] = "F"
+        rows.append((i, "".join(s)))
+    got = {r[0]: r[1] for r in graph.identity_clusters(spark.createDataFrame(rows, "id long, s string"), "id", "s", 0.5, 0.8, 6).collect()}
+    text = dict(rows)
+    kmers = {i: {s[j : j + 6] for j in range(len(s) - 5)} for i, s in rows}
+
+    def links(a, b):
+        a, b = sorted((a, b), key=lambda i: (len(text[i]), -i))
+        return len(text[a]) >= 0.8 * len(text[b]) and len(kmers[a] & kmers[b]) >= 0.5 * len(kmers[a])
+
+    reps = set(got.values())
+    assert all(got[r] == r for r in reps) and len(reps) < 40
+    assert not any(links(a, b) for a, b in itertools.combinations(sorted(reps), 2))
+
+
 def test_null_sets_respect_core(spark):
     pos = [("s", i, (i % 17) / 17, 20 <= i < 25 or 60 <= i < 63) for i in range(1, 121)]
     df = spark.createDataFrame(pos, "item string, pos long, radial double, core boolean")
