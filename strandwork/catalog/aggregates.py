@@ -149,22 +149,25 @@ def permutation_test_q(spark, d):
     return statistics.permutation_test(s, "category", "mean", pairs, 20_000)
 
 
+EVIDENCE_P = [U_SQL.format(id="(l_orderkey * 8 + l_linenumber)", seed=f"e{i}") for i in (1, 2)]
+
+
 @query(
     "evidence_summary",
-    """WITH e AS (SELECT l_returnflag AS grp, l_discount * 2 + 0.001 AS p1, l_tax + 0.01 AS p2, l_quantity AS q, l_extendedprice - 40000 AS delta FROM lineitem)
-    SELECT grp, count(*) AS n, round(avg(q), 6) AS mean_q, round(avg(delta), 4) AS mean_delta, count(*) FILTER (delta > 0) AS n_positive_delta, count(*) FILTER (p1 < 0.05) AS n_significant_p1,
-    count(*) FILTER (p2 < 0.05) AS n_significant_p2, true AS combined_small FROM e GROUP BY grp""",
+    f"""WITH e AS (SELECT l_returnflag AS grp, greatest({EVIDENCE_P[0]}, 1e-300) AS p1, greatest({EVIDENCE_P[1]}, 1e-300) AS p2, l_quantity AS q, l_extendedprice - 40000 AS delta FROM lineitem),
+    g AS (SELECT grp, count(*) AS n, round(avg(q), 6) AS mean_q, round(avg(delta), 4) AS mean_delta, count(*) FILTER (delta > 0) AS n_positive_delta, count(*) FILTER (p1 < 0.05) AS n_significant_p1,
+    count(*) FILTER (p2 < 0.05) AS n_significant_p2, -sum(ln(p1)) AS h1, -sum(ln(p2)) AS h2 FROM e GROUP BY grp),
+    s AS (SELECT grp, sum(exp(-h1 + i * ln(h1) - lgamma(i + 1))) AS f1, sum(exp(-h2 + i * ln(h2) - lgamma(i + 1))) AS f2 FROM g, LATERAL (SELECT unnest(range(n)) AS i) GROUP BY grp)
+    SELECT g.grp, n, mean_q, mean_delta, n_positive_delta, n_significant_p1, n_significant_p2, round(least(f1, 1), 5) AS fisher_p1, round(least(f2, 1), 5) AS fisher_p2 FROM g JOIN s ON s.grp = g.grp""",
 )
 def evidence_summary_q(spark, d):
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     e = table(spark, d, "lineitem").select(
-        F.col("l_returnflag").alias("grp"), (F.col("l_discount") * 2 + 0.001).alias("p1"), (F.col("l_tax") + 0.01).alias("p2"),
+        F.col("l_returnflag").alias("grp"), *[hash_uniform(hash_key(key, f"e{i}")).alias(f"p{i}") for i in (1, 2)],
         F.col("l_quantity").alias("q"), (F.col("l_extendedprice") - 40000).alias("delta"),
     )
     out = aggregate.evidence_summary(e, "grp", ["q", "delta"], ["delta"], ["p1", "p2"])
-    return out.select(
-        "grp", "n", r6("mean_q").alias("mean_q"), F.round("mean_delta", 4).alias("mean_delta"), "n_positive_delta", "n_significant_p1", "n_significant_p2",
-        ((F.col("fisher_p1") < 0.05) & (F.col("fisher_p2") < 0.05)).alias("combined_small"),
-    )
+    return out.withColumns({"mean_q": r6("mean_q"), "mean_delta": F.round("mean_delta", 4), **{c: F.round(c, 5) for c in ("fisher_p1", "fisher_p2")}})
 
 
 # p of one order: hashed uniform; combined per customer (even degrees of freedom:
@@ -342,17 +345,25 @@ ENR_SQL = f"""{MEMBER_SQL}, c AS (SELECT fold, main, count(*) AS obs FROM mem GR
     e AS (SELECT *, group_total::DOUBLE * ecosystem_total / global_total AS expected, obs / group_total AS share FROM t)"""
 
 
+# The fixed Chebyshev fit of erfc that the library uses, written out as SQL.
+ERFC_SQL = "t * exp(-z * z + " + " + t * (".join(str(c) for c in statistics.ERFC) + ")" * len(statistics.ERFC)
+
+
 @query(
     "enrichment",
-    f"""WITH {ENR_SQL}, x AS (SELECT *, (obs::DOUBLE * (global_total - group_total - ecosystem_total + obs) - (group_total - obs)::DOUBLE * (ecosystem_total - obs)) AS dd FROM e)
+    f"""WITH {ENR_SQL}, x AS (SELECT *, (obs::DOUBLE * (global_total - group_total - ecosystem_total + obs) - (group_total - obs)::DOUBLE * (ecosystem_total - obs)) AS dd FROM e),
+    c2 AS (SELECT *, global_total * dd * dd / (group_total::DOUBLE * ecosystem_total * (global_total - group_total) * (global_total - ecosystem_total)) AS chi2 FROM x),
+    z AS (SELECT *, sqrt(chi2 / 2) AS z, 1 / (1 + 0.5 * sqrt(chi2 / 2)) AS t FROM c2), p AS (SELECT *, least({ERFC_SQL}, 1.0) AS p_value FROM z),
+    r AS (SELECT *, row_number() OVER (ORDER BY p_value, fold || '|' || main) AS rk, count(*) OVER () AS m FROM p),
+    q AS (SELECT *, min(least(1.0, p_value * m / rk)) OVER (ORDER BY rk DESC) AS q_value FROM r)
     SELECT fold, main, obs, group_total, ecosystem_total, global_total, round(expected, 6) AS expected, round(share, 6) AS share_in_group, round(obs / expected, 6) AS fold_enrichment, round(log2(obs / expected), 6) AS log2_enrichment,
-    round(global_total * dd * dd / (group_total::DOUBLE * ecosystem_total * (global_total - group_total) * (global_total - ecosystem_total)), 6) AS chi2, false AS significant, round(log2(obs / expected), 6) AS plot_log2 FROM x""",
+    round(chi2, 6) AS chi2, round(p_value, 6) AS p_value, round(q_value, 6) AS q_value, q_value < 0.01 AND abs(log2(obs / expected)) >= 0.5 AS significant, round(log2(obs / expected), 6) AS plot_log2 FROM q""",
 )
 def enrichment_q(spark, d):
     counts = members(spark, d).groupBy("fold", "main").agg(F.count("*").alias("obs"))
     e = statistics.enrichment(counts, "fold", "main", "obs").withColumn("ident", F.concat_ws("|", "fold", "main"))
     q = statistics.enrichment_flags(windows.bh_adjust(e, "p_value", "ident"))
-    return rounded(q.drop("ident", "p_value", "q_value"), "expected", "share_in_group", "fold_enrichment", "log2_enrichment", "chi2", "plot_log2")
+    return rounded(q.drop("ident"), "expected", "share_in_group", "fold_enrichment", "log2_enrichment", "chi2", "p_value", "q_value", "plot_log2")
 
 
 @query(

@@ -115,15 +115,17 @@ def empirical_z_p(observed: DataFrame, nulls: DataFrame, keys, higher: bool = Tr
     )
 
 
+# Coefficients of the Chebyshev fit of erfc.
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+
+
 def chi2_sf_one(x: Column) -> Column:
     """Upper tail of chi-square with one degree of freedom (erfc of sqrt(x/2),
     rational approximation of relative error under 1.2e-7)."""
     z = F.sqrt(x / 2)
     t = 1.0 / (1.0 + 0.5 * z)
-    # Coefficients of the Chebyshev fit of erfc.
-    coef = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
-    poly = F.lit(coef[-1])
-    for c in reversed(coef[:-1]):
+    poly = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
         poly = F.lit(c) + t * poly
     return t * F.exp(-z * z + poly)
 
