@@ -1,7 +1,7 @@
 """Suffix-array dedup over bytes: maximal repeats from a common-prefix interval tree.
 
-A string of the wanted length has an anchor, its ``ANCHOR`` bytes of least hash,
-and equal strings have equal anchors. Suffixes that start at an anchor that
+A string of the wanted length has an anchor, the quarter of it of least hash, and
+equal strings have equal anchors. Suffixes that start at an anchor that
 stands in several places are sorted with their common-prefix lengths; a scan with
 a stack gives the tree of common-prefix intervals. Going up the tree from a
 suffix, the prefix that it shares gets shorter and the suffixes that share it
@@ -28,6 +28,8 @@ from ..session import cut_lineage, drop_table, free_shuffles
 from .rows import number_rows, text_of
 from .words import _BYTE, as_long, mix, powers, text_slices, window_starts, window_sums
 
+#: Least bytes of an anchor; a longer string has one of a quarter of its length, so
+#: that a common line is not an anchor.
 ANCHOR = 32
 #: Different surroundings up to which a group is sorted by one task; larger groups are split.
 GROUP_SUFFIXES = 4096
@@ -45,9 +47,14 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return values
 
 
+def anchor_bytes(length: int) -> int:
+    return max(ANCHOR, length // 4)
+
+
 def _anchor_level(docs: DataFrame, length: int) -> DataFrame:
     """(hash, _row, at): the anchors of all strings of ``length`` bytes."""
-    width = length - ANCHOR + 1
+    size = anchor_bytes(length)
+    width = length - size + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,7 +62,7 @@ def _anchor_level(docs: DataFrame, length: int) -> DataFrame:
             for a, _, data, offsets in text_slices(batch.column("text")):
                 if len(data) < length:
                     continue
-                short = mix(window_sums(_BYTE[data], ANCHOR, _FACTOR))
+                short = mix(window_sums(_BYTE[data], size, _FACTOR))
                 least = _slide(short, width, np.minimum)
                 least[~window_starts(offsets, length, len(least))] = 0
                 # A place is an anchor if it holds the least hash of some string around it.
@@ -130,6 +137,22 @@ def _suffixes(docs: DataFrame, cells: DataFrame, length: int) -> DataFrame:
     return _with_cells(docs, cells).mapInArrow(run, f"key long, left binary, right binary, {_CELL}")
 
 
+def _cut_out(docs: DataFrame, cells: DataFrame, length: int) -> DataFrame:
+    """(_row, base, text, at, low, high): each cell with its surroundings as a text of
+    its own, which starts ``base`` bytes into the row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, offsets, rows, of, place, low, high in _cells_of(batch):
+                left, _, _, right = _bounds(offsets, of, place, low, high, length)
+                raw = data.tobytes()
+                texts = [raw[a:b] for a, b in zip(left.tolist(), right.tolist())]
+                numbers = [pa.array(x.astype(np.int32)) for x in (left - offsets[of], place - left, low, high)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[of]), numbers[0], pa.array(texts, pa.binary()), *numbers[1:]], ["_row", "base", "text", "at", "low", "high"])
+
+    return _with_cells(docs, cells).mapInArrow(run, "_row long, base int, text binary, at int, low int, high int")
+
+
 def common_prefixes(strings: list[bytes]) -> np.ndarray:
     """Length of the common prefix of every string with the next."""
     n = len(strings)
@@ -271,34 +294,50 @@ def repeat_spans(docs: DataFrame, length: int, group_suffixes: int = GROUP_SUFFI
     anchors = cut_lineage(_anchor_level(docs, length))
     free_shuffles(spark)
     many = anchors.groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("hash")
-    spans, cells = [], cut_lineage(anchors.join(many, "hash", "left_semi").select("_row", "at", F.lit(0).alias("low"), F.lit(length - ANCHOR + 1).alias("high")))
+    spans, cells = [], cut_lineage(anchors.join(many, "hash", "left_semi").select("_row", "at", F.lit(0).alias("low"), F.lit(length - anchor_bytes(length) + 1).alias("high")))
     drop_table(anchors)
+    pieces = None  # cells of large groups, cut out of their texts
     while True:
         met = cut_lineage(_meet(docs, cells, length))
         free_shuffles(spark)
         alike = cut_lineage(met.groupBy("key", "around").agg(F.count("*").alias("n"), F.min(F.struct("_row", "at", "low", "high")).alias("first")))
         # Equal surroundings: every string of the cell repeats, whatever else there is.
         twins = met.join(alike.filter("n > 1").select("key", "around"), ["key", "around"], "left_semi")
-        spans.append(cut_lineage(twins.select("_row", (F.col("at") - F.col("high") + 1).alias("begin"), (F.col("at") + length - F.col("low")).alias("end"))))
+        twins = twins.select("_row", (F.col("at") - F.col("high") + 1).alias("begin"), (F.col("at") + length - F.col("low")).alias("end"))
         # Others are compared with one suffix of each kind of surroundings.
         sizes = alike.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
         left = cut_lineage(alike.join(sizes.select("key", "kinds"), "key").select("kinds", "first.*"))
+        covered = cut_lineage(_at_home(twins, pieces))
         drop_table(met, alike, cells)
-        small = left.filter(F.col("kinds") <= group_suffixes)
-        spans.append(cut_lineage(_tree_spans(_suffixes(docs, small, length), length)))
-        half = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        trees = _tree_spans(_suffixes(docs, left.filter(F.col("kinds") <= group_suffixes), length), length)
+        spans += [covered, cut_lineage(_at_home(trees, pieces))]
+        free_shuffles(spark)
         large = left.filter((F.col("kinds") > group_suffixes) & (F.col("high") - F.col("low") > 1))
+        if large.limit(1).count() == 0:
+            drop_table(left)
+            break
+        if pieces is None:
+            pieces = cut_lineage(_cut_out(docs, large, length).withColumn("piece", F.monotonically_increasing_id()))
+            docs = pieces.select(F.col("piece").alias("_row"), "text")
+            large = pieces.select(F.col("piece").alias("_row"), "at", "low", "high")
+        half = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("low").alias("low"), half.alias("high")), F.struct(half.alias("low"), F.col("high").alias("high"))))
         cells = cut_lineage(large.select("_row", "at", halves.alias("c")).select("_row", "at", "c.low", "c.high"))
         drop_table(left)
-        if cells.limit(1).count() == 0:
-            break
     out = spans[0]
     for s in spans[1:]:
         out = out.unionAll(s)
     return out
 
 
+def _at_home(spans: DataFrame, pieces: DataFrame | None) -> DataFrame:
+    """Spans of pieces as spans of the rows that they were cut out of."""
+    if pieces is None:
+        return spans
+    named = spans.withColumnRenamed("_row", "piece").join(pieces.select("piece", "_row", "base"), "piece")
+    return named.select("_row", (F.col("begin") + F.col("base")).alias("begin"), (F.col("end") + F.col("base")).alias("end"))
+
+
 def remove_byte_repeats(docs: DataFrame, length: int = 400, ident: str = "doc_id", text: str = "text", group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """(ident, n_bytes, n_removed, spans, kept): one row per input row.
 
