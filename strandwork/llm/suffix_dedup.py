@@ -287,11 +287,12 @@ def _tree_spans(suffixes: DataFrame, length: int) -> DataFrame:
     return ordered.select("key", "left", "right", "_row", "at", "low", "high").mapInArrow(run, "_row long, begin int, end int")
 
 
-def repeat_spans(docs: DataFrame, length: int, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+def repeat_spans(docs: DataFrame, without: DataFrame, length: int, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """(_row, begin, end): bytes covered by strings of ``length`` bytes that also
-    start elsewhere, for a written table (_row, text). Spans overlap."""
+    start elsewhere, for a written table (_row, text) without the rows in
+    ``without``. Spans overlap."""
     spark = docs.sparkSession
-    anchors = cut_lineage(_anchor_level(docs, length))
+    anchors = cut_lineage(_anchor_level(docs, length).join(without, "_row", "left_anti"))
     free_shuffles(spark)
     many = anchors.groupBy("hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("hash")
     spans, cells = [], cut_lineage(anchors.join(many, "hash", "left_semi").select("_row", "at", F.lit(0).alias("low"), F.lit(length - anchor_bytes(length) + 1).alias("high")))
@@ -356,8 +357,7 @@ def remove_byte_repeats(docs: DataFrame, length: int = 400, ident: str = "doc_id
     groups = content.groupBy("content").agg(F.min("_row").alias("first"), F.count("*").alias("n")).filter("n > 1")
     twins = cut_lineage(content.join(groups, "content").select("_row", "first"))
     # One of equal texts stands for all; it is gone in full itself, but others meet it.
-    single = cut_lineage(numbered.select("_row", "text").join(twins.filter("_row <> first").select("_row"), "_row", "left_anti")) if twins.limit(1).count() else numbered.select("_row", "text")
-    spans = repeat_spans(single, length, group_suffixes)
+    spans = repeat_spans(numbered.select("_row", "text"), twins.filter("_row <> first").select("_row"), length, group_suffixes)
     lists = spans.groupBy("_row").agg(F.collect_list(F.struct("begin", "end")).alias("c")).select("_row", F.col("c.begin").alias("begins"), F.col("c.end").alias("ends"))
     rows = numbered.join(twins.select("_row", F.lit(True).alias("twin")), "_row", "left").join(lists, "_row", "left")
 
