@@ -6,15 +6,16 @@ of that size; two of them meet where one subset is the same. Heavy sets are
 found by scanning inverted lists. The boundary is the size at which listing
 subsets costs more rows than the lists, for the sizes at hand.
 
-The lists are not those of single shingles: a common passage would give a list of
-a third of all documents. A set is dealt by hash over more parts than a similar
-set can differ in, so one part at least is equal in both, and the list key is the
-content of a part. A passage shared by many texts falls into parts with
-shingles that they do not share.
+A list of a common passage would hold a third of all documents, so lists are kept
+for the rarest shingles only. Counting all shingles of all documents would be as
+wrong a price: first the shingles of least hash, a share of each set that is
+larger than what similar sets may differ in, tell which sets have enough in
+common with others at all; shingles are counted among those sets alone.
 
 Texts with equal sets are one class. Inside a list, classes are first compared
-with one hub; only pairs that hubs have not joined are compared with each other,
-so a group of many near copies never is expanded into all of its pairs.
+with a hub; of those that hubs have not joined, only sets that share one of their
+rarest shingles are compared, so a group of many near copies never is expanded
+into all of its pairs.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, drop_table
+from ..session import cut_lineage, drop_table, free_shuffles
 from .components import components
 from .rows import free_name, number_rows, text_of
 from .words import as_long, mix, text_slices, window_sums, word_hashes
@@ -38,7 +39,7 @@ _FACTOR = 0xD1342543DE82EF95
 _SALT, _SUM, _PART = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 #: Sizes up to which subsets are considered at all; the boundary lies below.
 MOST_LIGHT = 32
-#: Rows that a list key costs against a subset: it also meets false candidates.
+#: Cost of a list entry against a subset: it also meets false candidates.
 SCAN_COST = 4
 #: Rounds in which lists are compared with a hub before the rest is compared in full.
 HUB_ROUNDS = 3
@@ -65,17 +66,14 @@ class Rule:
         """Overlaps that a set of n must share with light partners."""
         return sorted({self.overlap(n, m) for m in range(max(1, self.least(n)), min(self.most(n), light) + 1)} - {0})
 
-    def classes(self, most: int) -> list[int]:
-        """First sizes of the size classes up to ``most``; a class spans about (den / num)^2."""
-        out = [1]
-        while out[-1] <= most:
-            out.append(max(out[-1] + 1, out[-1] * self.den**2 // self.num**2 + 1))
-        return out
+    def prefix(self, n: int) -> tuple[int, int]:
+        """(shingles of least hash to look at, how many of them must be in other sets).
 
-    def parts(self, last: int) -> tuple[int, int]:
-        """(parts, most parts that may differ) of a class whose largest size is ``last``."""
-        far = (self.den - self.num) * (last + self.most(last)) // (self.den + self.num)
-        return far + 2 + far // 12, far
+        A set may differ from a similar one in n - least(n) shingles; whatever is
+        looked at beyond that has to be shared.
+        """
+        need = max(1, n // 10)
+        return n - self.least(n) + need, need
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, rule: Rule) -> list[np.ndarray]:
@@ -116,7 +114,7 @@ def boundary(sizes: dict[int, int], rule: Rule) -> int:
             if n <= light:
                 total += count * sum(comb(n, c) for c in rule.subset_sizes(n, light))
             if rule.most(n) > light:
-                total += count * SCAN_COST * rule.parts(n)[0]
+                total += count * SCAN_COST * rule.prefix(n)[0]
         return total
 
     return min(range(MOST_LIGHT + 1), key=lambda b: (cost(b), b))
@@ -128,118 +126,157 @@ def _subset_keys(values: np.ndarray, rule: Rule, light: int) -> list[int]:
     each = [int(x) for x in mix(values ^ _SUM)]
     for size in rule.subset_sizes(n, light):
         if size <= n:
-            out += [(full - sum(left) + size * int(_PART)) % (1 << 64) for left in combinations(each, n - size)]
+            out += [(full - sum(left)) * int(_SUM) + size * int(_PART) & (1 << 64) - 1 for left in combinations(each, n - size)]
     return out
 
 
-def _part_keys(sets: list[np.ndarray], chosen: np.ndarray, group: np.ndarray, firsts: list[int], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(set number, key) of the parts of the sets ``chosen``, each cut for its size class in ``group``."""
-    if not len(chosen):
-        return chosen, np.zeros(0, np.uint64)
-    plan = np.array([rule.parts(b - 1) for b in firsts[1:]], np.int64)
-    sizes = np.array([len(sets[i]) for i in chosen], np.int64)
-    values, of = np.concatenate([sets[i] for i in chosen]), np.repeat(np.arange(len(chosen)), sizes)
-    parts, far = plan[group, 0], plan[group, 1]
-    base = np.cumsum(parts) - parts
-    slot = base[of] + (mix(values ^ _SALT) % parts[of].astype(np.uint64)).astype(np.int64)
-    total = int(parts.sum())
-    sums = np.zeros(total, np.uint64)
-    np.add.at(sums, slot, mix(values ^ _SUM))
-    held = np.bincount(slot, minlength=total)
-    owner = np.repeat(np.arange(len(chosen)), parts)
-    # Parts of one shingle or none say little. As long as fewer of them than of
-    # the equal parts are sure, another equal part remains, and they are left out.
-    thin = held < 2
-    some = np.bincount(owner[thin], minlength=len(chosen)) >= parts - far
-    keep = ~thin | some[owner]
-    number = np.arange(total) - base[owner]
-    keys = mix(sums + number.astype(np.uint64) * _PART + mix((group[owner] + 1).astype(np.uint64)))
-    return chosen[owner[keep]], keys[keep]
-
-
-def _keys(docs: DataFrame, rule: Rule, light: int, most: int) -> DataFrame:
-    """(key, _row): where the set of every row may meet a similar one."""
-    firsts = rule.classes(most)
+def _keys(docs: DataFrame, rule: Rule, light: int) -> DataFrame:
+    """(key, _row, need): subsets of light sets (need 0), shingles of least hash of heavy ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("_row").to_numpy()
+            rows = batch.column("_row").to_pylist()
             for a, _, data, offsets in text_slices(batch.column("text")):
-                sets = shingle_sets(data, offsets, rule)
-                n = np.array([len(s) for s in sets], np.int64)
-                who, keys = [], []
-                for i in np.flatnonzero((n > 0) & (n <= light)):
-                    found = _subset_keys(sets[i], rule, light)
-                    keys.append(np.array(found, np.uint64))
-                    who.append(np.full(len(found), i))
-                heavy = np.flatnonzero(rule.den * n // rule.num > light)
-                own = np.searchsorted(firsts, n[heavy], "right") - 1
-                lower = np.searchsorted(firsts, -(-rule.num * n[heavy] // rule.den), "right") - 1
-                for at, group in ((heavy, own), (heavy[lower < own], lower[lower < own])):
-                    w, k = _part_keys(sets, at, group, firsts, rule)
-                    who.append(w)
-                    keys.append(k)
-                who, keys = np.concatenate(who), np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(keys)), pa.array(rows[a + who])], ["key", "_row"])
-
-    return docs.mapInArrow(run, "key long, _row long")
+                keys, who, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+                for i, values in enumerate(shingle_sets(data, offsets, rule)):
+                    n = len(values)
+                    found = _subset_keys(values, rule, light) if 0 < n <= light else []
+                    if found:
+                        keys.append(np.array(found, np.uint64))
+                        who.append(np.full(len(found), rows[a + i]))
+                        needs.append(np.zeros(len(found), np.int32))
+                    if n and rule.most(n) > light:
+                        size, need = rule.prefix(n)
+                        keys.append(values[:size])  # values are sorted hashes
+                        who.append(np.full(len(keys[-1]), rows[a + i]))
+                        needs.append(np.full(len(keys[-1]), need, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(keys))), pa.array(np.concatenate(who)), pa.array(np.concatenate(needs))], ["key", "_row", "need"])
+
+    return docs.mapInArrow(run, "key long, _row long, need int")
+
+
+def odd_sketch(values: np.ndarray) -> bytes:
+    """Parities of the number of shingles per bucket, about one bucket a shingle.
+
+    Two sets differ in at least as many shingles as their sketches do in bits.
+    """
+    bits = max(64, 1 << (len(values) - 1).bit_length())
+    buckets = (values % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(buckets, minlength=bits) & 1).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """The bits in which two sketches differ; the longer one is folded to the shorter."""
+    one, two = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(one) > len(two):
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    while len(two) > len(one):
+        two = two[: len(two) // 2] ^ two[len(two) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
 
 
 def _candidate_sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(_row, set): the sorted shingle hashes as bytes."""
+    """(_row, n, sketch, set): the sorted shingle hashes as bytes, and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
-                found = [s.tobytes() for s in shingle_sets(data, offsets, rule)]
-                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(a, b - a), pa.array(found, pa.binary())], ["_row", "set"])
+                found = shingle_sets(data, offsets, rule)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("_row").slice(a, b - a), pa.array([len(s) for s in found], pa.int64()),
+                    pa.array([odd_sketch(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary()),
+                ], ["_row", "n", "sketch", "set"])
+
+    return docs.select("_row", "text").mapInArrow(run, "_row long, n long, sketch binary, set binary")
+
 
-    return docs.select("_row", "text").mapInArrow(run, "_row long, set binary")
+def _sided(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with the columns of both sides. The hub's side comes last: it is
+    read once for all of its partners."""
+    for side in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("_row").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs.select("a", "b", *[f"{c}_{side}" for c in columns for side in ("a", "b")])
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) that sizes and sketches do not rule out; no linked pair is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
+            far = (least_difference(x, y) for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()))
+            keep = pa.array([d <= i + j - 2 * rule.overlap(i, j) for i, j, d in zip(n, m, far)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    sided = _sided(pairs, sets, ["n", "sketch"])
+    near = F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num
+    return sided.filter(near).mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, shared, n, m) of the pairs that link, by their whole sets."""
-    one = sets.select(F.col("_row").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("_row").alias("b"), F.col("set").alias("set_b"))
-    # The hub's side comes last: it is read once for all of its partners.
-    both = pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in (2, 3))
+                x, y = (np.frombuffer(batch.column(k)[i].as_buffer(), np.uint64) for k in ("set_a", "set_b"))
                 n, m = len(x), len(y)
-                if rule.den * min(n, m) < rule.num * max(n, m):
-                    continue
                 both = np.concatenate([x, y])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 if rule.den * shared >= rule.num * (n + m - shared):
-                    out.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), shared, n, m))
+                    out.append((batch.column("a")[i].as_py(), batch.column("b")[i].as_py(), shared, n, m))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "shared", "n", "m"])
 
-    return both.mapInArrow(run, "a long, b long, shared long, n long, m long")
+    possible = cut_lineage(_possible(pairs, sets, rule))
+    return _sided(possible, sets, ["set"]).mapInArrow(run, "a long, b long, shared long, n long, m long")
 
 
-def _links(lists: DataFrame, sets: DataFrame, rule: Rule, every: bool = False) -> DataFrame | None:
-    """(a, b) links between classes: enough to join all that are linked, or with ``every`` all of them."""
-    links, tested = [], []
+def _links(lists: DataFrame, sets: DataFrame, rule: Rule, every: bool = False) -> list[DataFrame]:
+    """Links (a, b) between classes: enough to join all that are linked, or with ``every`` all of them."""
+    links: list[DataFrame] = []
     for turn in range(0 if every else HUB_ROUNDS):
         left = _open_lists(lists, links)
         hub = left.groupBy("key").agg(F.min_by("_row", F.xxhash64("_row", F.lit(turn))).alias("a"))
-        pairs = left.join(hub, "key").filter("_row <> a").select(F.col("a"), F.col("_row").alias("b")).distinct()
-        found = cut_lineage(_verified(pairs, sets, rule).select("a", "b"))
-        links.append(found)
-        tested.append(pairs)
+        pairs = left.join(hub, "key").filter("_row <> a").select("a", F.col("_row").alias("b")).distinct()
+        links.append(cut_lineage(_verified(pairs, sets, rule).select("a", "b")))
+        free_shuffles(lists.sparkSession)
     left = _open_lists(lists, links)
     one, two = left.select("key", F.col("_row").alias("a"), F.col("comp").alias("ca")), left.select("key", F.col("_row").alias("b"), F.col("comp").alias("cb"))
     rest = one.join(two, "key").filter("a < b" if every else "a < b and ca <> cb").select("a", "b").distinct()
     links.append(cut_lineage(_verified(rest, sets, rule).select("a", "b")))
+    free_shuffles(lists.sparkSession)
     return links
 
 
+def _rarest(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(key, _row): inverted lists of the rarest shingles of ``sets`` (_row, set).
+
+    A set of n links only if it shares ``rule.least(n)`` shingles, so one of its
+    n - least + 1 rarest is shared, and of both sets it is among the rarest. What
+    is found in one set alone stands first and never meets anything: a text
+    with many words of its own has no list left to be scanned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                values = np.frombuffer(batch.column("set")[i].as_buffer(), np.int64)
+                n, row = len(values), batch.column("_row")[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(values), *(pa.array(np.full(n, x, np.int64)) for x in (row, n))], ["key", "_row", "n"])
+
+    cells = sets.select("_row", "set").mapInArrow(run, "key long, _row long, n long").repartition("key")
+    often = cells.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = cells.join(often, "key")
+    per_row = Window.partitionBy("_row")  # one text's own shingles
+    alone = F.col("n") - F.count("*").over(per_row)
+    budget = F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1 - alone
+    placed = shared.withColumns({"place": F.row_number().over(per_row.orderBy("df", "key")), "budget": budget})
+    return placed.filter("place <= budget").select("key", "_row")
+
+
 def _open_lists(lists: DataFrame, links: list[DataFrame]) -> DataFrame:
     """(key, _row, comp) of the lists that still hold more than one component."""
     if not links:
@@ -265,14 +302,21 @@ def _classes(numbered: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, lis
     drop_table(digests)
     first = member.filter("rep = _row and n > 0")
     small = {r.n: r.c for r in first.filter(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}  # one row per small size
-    most = first.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    texts = numbered.select("_row", "text").join(first.select("_row"), "_row", "left_semi")
-    keys = _keys(texts, rule, boundary(small, rule), most)
+    others = member.filter("rep <> _row or n = 0").select("_row")  # few where copies are few
+    texts = numbered.select("_row", "text").join(others, "_row", "left_anti")
     # One shuffle of the keys serves both the counting and the choice.
-    counted = keys.distinct().repartition("key")
-    many = counted.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    lists = cut_lineage(counted.join(many, "key", "left_semi"))
-    sets = cut_lineage(_candidate_sets(numbered.join(lists.select("_row").distinct(), "_row", "left_semi"), rule))
+    keys = _keys(texts, rule, boundary(small, rule)).repartition("key")
+    many = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    met = cut_lineage(keys.join(many, "key", "left_semi"))
+    free_shuffles(numbered.sparkSession)
+    light = met.filter("need = 0").select("key", "_row")
+    heavy = met.filter("need > 0").groupBy("_row").agg(F.count("*").alias("c"), F.first("need").alias("need")).filter("c >= need").select("_row", F.lit(True).alias("heavy"))
+    both = heavy.unionAll(light.select("_row", F.lit(False))).groupBy("_row").agg(F.max("heavy").alias("heavy"))
+    kept = numbered.select("_row", "text").join(both, "_row").select("_row", "text", "heavy")
+    sets = cut_lineage(_candidate_sets(kept, rule))
+    free_shuffles(numbered.sparkSession)
+    lists = cut_lineage(_rarest(sets.join(heavy.select("_row"), "_row", "left_semi"), rule).unionAll(light))
+    drop_table(met)
     return member, lists, sets
 
 
@@ -287,6 +331,7 @@ def jaccard_components(docs: DataFrame, rule: Rule, row: str = "_row") -> DataFr
     numbered = docs.select(F.col(row).alias("_row"), text_of("text").alias("text"))
     member, lists, sets = _classes(numbered, rule)
     links = _links(lists, sets, rule)
+    drop_table(lists, sets)
     comp = components(_union(links))
     out = member.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     return out.select(F.col("_row").alias(row), "n", F.coalesce("comp", "rep").alias("comp"))
