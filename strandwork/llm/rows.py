@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, free_shuffles
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -31,4 +31,6 @@ def number_rows(df: DataFrame, row: str = "_row", ident: str = "doc_id", text: s
     """
     order = [F.col(ident).asc_nulls_first(), F.xxhash64(text_of(text))]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut_lineage(ranged.withColumn(row, F.monotonically_increasing_id()))
+    out = cut_lineage(ranged.withColumn(row, F.monotonically_increasing_id()))
+    free_shuffles(df.sparkSession)
+    return out
