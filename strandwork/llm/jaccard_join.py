@@ -41,6 +41,8 @@ _SALT, _SUM, _PART = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD6
 MOST_LIGHT = 32
 #: Cost of a list entry against a subset: it also meets false candidates.
 SCAN_COST = 4
+#: Row numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 #: Rounds in which lists are compared with a hub before the rest is compared in full.
 HUB_ROUNDS = 3
 
@@ -294,6 +296,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _near_at_hand(rows: DataFrame) -> DataFrame:
+    """Row numbers as the small side of a join: sent to every task up to
+    BROADCAST_ROWS of eight bytes, which spares the texts a shuffle; shuffled beyond."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def _classes(numbered: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """((_row, n, rep) of all rows, lists (key, _row) of the classes' first rows, their sets)."""
     digests = cut_lineage(_set_digests(numbered, rule))
@@ -302,21 +310,20 @@ def _classes(numbered: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, lis
     drop_table(digests)
     first = member.filter("rep = _row and n > 0")
     small = {r.n: r.c for r in first.filter(F.col("n") <= MOST_LIGHT).groupBy("n").agg(F.count("*").alias("c")).collect()}  # one row per small size
-    others = member.filter("rep <> _row or n = 0").select("_row")  # few where copies are few
-    texts = numbered.select("_row", "text").join(others, "_row", "left_anti")
+    others = member.filter("rep <> _row or n = 0").select("_row")
+    texts = numbered.select("_row", "text").join(_near_at_hand(others), "_row", "left_anti")
     # One shuffle of the keys serves both the counting and the choice.
-    keys = _keys(texts, rule, boundary(small, rule)).repartition("key")
-    many = keys.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    met = cut_lineage(keys.join(many, "key", "left_semi"))
+    count = F.count("*").over(Window.partitionBy("key"))
+    met = cut_lineage(_keys(texts, rule, boundary(small, rule)).withColumn("_n", count).filter("_n > 1").drop("_n"))
     free_shuffles(numbered.sparkSession)
     light = met.filter("need = 0").select("key", "_row")
-    heavy = met.filter("need > 0").groupBy("_row").agg(F.count("*").alias("c"), F.first("need").alias("need")).filter("c >= need").select("_row", F.lit(True).alias("heavy"))
-    both = heavy.unionAll(light.select("_row", F.lit(False))).groupBy("_row").agg(F.max("heavy").alias("heavy"))
-    kept = numbered.select("_row", "text").join(both, "_row").select("_row", "text", "heavy")
-    sets = cut_lineage(_candidate_sets(kept, rule))
+    heavy = met.filter("need > 0").groupBy("_row").agg(F.count("*").alias("c"), F.first("need").alias("need")).filter("c >= need")
+    heavy = cut_lineage(heavy.select("_row"))
+    both = cut_lineage(heavy.unionAll(light.select("_row")).distinct())
+    sets = cut_lineage(_candidate_sets(numbered.select("_row", "text").join(_near_at_hand(both), "_row", "left_semi"), rule))
     free_shuffles(numbered.sparkSession)
-    lists = cut_lineage(_rarest(sets.join(heavy.select("_row"), "_row", "left_semi"), rule).unionAll(light))
-    drop_table(met)
+    lists = cut_lineage(_rarest(sets.join(_near_at_hand(heavy), "_row", "left_semi"), rule).unionAll(light))
+    drop_table(met, heavy, both)
     return member, lists, sets
 
 
