@@ -42,6 +42,31 @@ def tolerance_class(error: Column) -> Column:
     return held.otherwise(len(TOLERANCES))
 
 
+def open_offers(segments: DataFrame, windows: DataFrame, item: str) -> DataFrame:
+    """(item, start, at, error, class, far): windows that a segment can take at all.
+
+    The other segments of an item block at most (their size + own size - 1)
+    windows each. Where more windows than these are of better classes, one of
+    them stays free in every attempt, and no window of this class is chosen.
+    Beyond all tolerances the same holds of nearer windows.
+    """
+    last = len(TOLERANCES)
+    sums = segments.groupBy(item).agg(F.sum("size").alias("_all"), F.count("*").alias("_n"))
+    block = (F.col("_all") - F.col("size") + (F.col("_n") - 1) * (F.col("size") - 1)).alias("_block")
+    asked = cut_lineage(segments.join(sums, item).select(item, "start", "size", "centre", block))
+    error = F.abs(F.col("middle") - F.col("centre"))
+    every = asked.join(windows, [item, "size"]).select(item, "start", "at", error.alias("error"), tolerance_class(error).alias("class"), "_block")
+    counts = every.groupBy(item, "start", "_block", "class").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(item, "start").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = counts.withColumn("_before", before).filter("_before <= _block").select(item, "start", "class")  # at most six rows a segment
+    kept = every.join(held, [item, "start", "class"])
+    near = kept.filter(F.col("class") < last).select(item, "start", "at", "error", "class", F.lit(0.0).alias("far"))
+    most = asked.agg(F.coalesce(F.max("_block"), F.lit(0))).first()[0]
+    nearest = F.rank().over(Window.partitionBy(item, "start").orderBy("error"))
+    far = kept.filter(F.col("class") == last).withColumn("_r", nearest).filter(F.col("_r") <= int(most) + 1)
+    return near.unionAll(far.select(item, "start", "at", "error", "class", F.col("error").alias("far")))
+
+
 def _key(item: str, seed: int, *parts: str) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in (item, *parts)], F.lit(str(seed))))
 
@@ -55,12 +80,10 @@ def _attempts(segments: DataFrame, windows: DataFrame, item: str, first: int, la
     state = plan.select(item, "attempt").distinct().withColumn("used", F.expr("array()").cast("array<struct<at:bigint,size:bigint,error:double>>"))
     for k in range(1, most + 1):
         now = plan.filter(F.col("turn") == k)
-        offers = now.join(windows, [item, "size"]).join(state, [item, "attempt"])
+        offers = now.join(windows, [item, "start"]).join(state, [item, "attempt"])
         offers = offers.filter(~F.exists("used", lambda u: (F.col("at") < u["at"] + u["size"]) & (F.col("at") + F.col("size") > u["at"])))
-        error = F.abs(F.col("middle") - F.col("centre"))
-        offers = offers.withColumns({"error": error, "class": tolerance_class(error)})
         # Beyond all tolerances only the nearest counts.
-        rank = F.struct("class", F.when(F.col("class") == len(TOLERANCES), F.col("error")).otherwise(0.0).alias("far"), _key(item, seed, "attempt", "start", "at").alias("key"))
+        rank = F.struct("class", "far", _key(item, seed, "attempt", "start", "at").alias("key"))
         place = F.struct(F.col("at").cast("long").alias("at"), F.col("size").cast("long").alias("size"), "error")
         chosen = offers.groupBy(item, "attempt").agg(F.min_by(place, rank).alias("place"))
         asked = now.select(item, "attempt", F.lit(True).alias("asked"))
@@ -81,7 +104,7 @@ def matched_null_sets(positions: DataFrame, item: str, n: int, seed: int = 42) -
     most 8n; fewer than max(n/2, 50) sets for a structure is an error.
     """
     segments = cut_lineage(core_segments(positions, item))
-    windows = cut_lineage(free_windows(positions, segments, item))
+    windows = cut_lineage(open_offers(segments, free_windows(positions, segments, item), item))
     most = segments.groupBy(item).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     every = segments.select(item).distinct()
     open_, found = segments, []

@@ -1,5 +1,6 @@
 """Votes, sampling, statistics, graphs and models against brute force."""
 
+import hashlib
 import itertools
 import math
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandwork.catalog import graphs
 from strandwork.functions.stats import chi2_sf_even
 from strandwork.operators import encoding, graph, joins, neighbours, nulls, sampling, statistics
 from strandwork.operators.aggregate import pair_cosine
@@ -205,6 +207,32 @@ def test_null_sets_respect_core(spark):
     assert sets.groupby("iter")["position"].nunique().eq(8).all()
 
 
+def test_null_sets_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    core = set(range(20, 25)) | set(range(60, 63)) | set(range(80, 83))
+    # Of item b hardly a window is near: its segments compete for the nearest ones.
+    radial = {k: {i: float(rng.normal(0 if k == "a" else 5 * (i not in core), spread)) for i in range(1, 101)} for k, spread in (("a", 0.2), ("b", 0.01))}
+    df = spark.createDataFrame([(k, i, x, i in core) for k, r in radial.items() for i, x in r.items()], "item string, pos long, radial double, core boolean")
+    got = nulls.matched_null_sets(df, "item", 100).toPandas().groupby(["item", "iter"])["position"].apply(set).to_dict()
+    digest = lambda *x: hashlib.md5("|".join(map(str, (*x, 42))).encode()).hexdigest()
+    for k, r in radial.items():
+        for attempt in range(100):
+            used = set()
+            for start, size in sorted([(20, 5), (60, 3), (80, 3)], key=lambda s: (-s[1], digest(k, attempt, s[0]))):
+                centre, offers = np.median([r[start + j] for j in range(size)]), []
+                for at in range(1, 102 - size):
+                    if not set(range(at, at + size)) & (core | used):
+                        error = abs(np.median([r[at + j] for j in range(size)]) - centre)
+                        level = next((n for n, t in enumerate(nulls.TOLERANCES) if error <= t), len(nulls.TOLERANCES))
+                        offers.append((level, error if level == len(nulls.TOLERANCES) else 0, digest(k, attempt, start, at), at))
+                used |= set(range(min(offers)[3], min(offers)[3] + size))
+            assert got[k, attempt] == used
+
+
+def test_null_query_draws_the_reference_count():
+    assert graphs.NULL_SETS >= 300 and f"range(0, {graphs.NULL_SETS})" in graphs.NULL_SQL
+
+
 def test_pair_cosine_over_blocks(spark):
     rng = np.random.default_rng(9)
     m = rng.random((30, 12)) * (rng.random((30, 12)) < 0.4)
