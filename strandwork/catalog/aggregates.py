@@ -389,26 +389,27 @@ def fold_summary_q(spark, d):
     return rounded(ecosystem.fold_summary(reps, "fold", excluded=["PROMO"]), "hit_rate", "redundancy", "log_members", "log_hits")
 
 
-SAMPLES = [10, 100, 1000, 5000]
-RARE_SQL = f"{MEMBER_SQL}, s AS (SELECT cluster, count(*) AS m FROM mem GROUP BY 1), n AS (SELECT sum(m)::BIGINT AS n, count(*) AS c FROM s)"
+RARE_SQL = f"""{MEMBER_SQL}, s AS (SELECT cluster, count(*) AS m FROM mem GROUP BY 1), n AS (SELECT sum(m)::BIGINT AS n, count(*) AS c FROM s),
+    g AS (SELECT k * (10 ** e)::BIGINT AS z FROM unnest([1, 2, 3, 5, 8]) a(k), range(18) b(e) UNION SELECT n FROM n)"""
 
 
 @query(
     "rarefaction",
     f"""WITH {RARE_SQL} SELECT z::BIGINT AS sample_size, c AS total_clusters, round(sum(1 - CASE WHEN n - m < z THEN 0 ELSE exp(lgamma(n - m + 1) - lgamma(n - m - z + 1) - lgamma(n + 1) + lgamma(n - z + 1)) END), 3) AS expected_clusters,
     round(sum(1 - CASE WHEN n - m < z THEN 0 ELSE exp(lgamma(n - m + 1) - lgamma(n - m - z + 1) - lgamma(n + 1) + lgamma(n - z + 1)) END) / c, 6) AS fraction
-    FROM s, n, unnest({SAMPLES}) t(z) WHERE z <= n GROUP BY z, c""",
+    FROM s, n, g WHERE z <= n GROUP BY z, c""",
 )
 def rarefaction_q(spark, d):
     sizes = aggregate.cluster_sizes(members(spark, d), "cluster")
-    out = statistics.rarefaction_expected(sizes, SAMPLES)
+    total = sizes.agg(F.sum("members")).first()[0] or 0
+    out = statistics.rarefaction_expected(sizes, statistics.sample_grid(total))
     return out.withColumns({"expected_clusters": F.round("expected_clusters", 3), "fraction": r6("fraction")})
 
 
 @query("rarefaction_repeats")
 def rarefaction_repeats_q(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat_ws("|", "source", "lang").alias("cluster"))
-    return statistics.rarefaction_repeats(docs, "doc_id", "cluster", [5, 20, 80, 200], repeats=500)
+    return statistics.rarefaction_repeats(docs, "doc_id", "cluster", statistics.sample_grid(docs.count()), repeats=500)
 
 
 @query(

@@ -166,6 +166,16 @@ def enrichment_flags(df: DataFrame, q: str = "q_value", log2: str = "log2_enrich
     )
 
 
+def sample_grid(total: int) -> list[int]:
+    """Sample sizes in near even log steps (1, 2, 3, 5, 8 by powers of ten) up to ``total``, which is the last."""
+    steps = [k * 10**e for e in range(len(str(total))) for k in (1, 2, 3, 5, 8)]
+    return [s for s in steps if s < total] + [total] * (total > 0)
+
+
+def _explode_sizes(samples: list[int]) -> Column:
+    return F.explode(F.array(*[F.lit(int(s)).cast("long") for s in samples]).cast("array<bigint>"))
+
+
 def rarefaction_expected(sizes: DataFrame, samples: list[int]) -> DataFrame:
     """(sample_size, expected distinct clusters) in closed form.
 
@@ -175,7 +185,7 @@ def rarefaction_expected(sizes: DataFrame, samples: list[int]) -> DataFrame:
     """
     by_size = sizes.groupBy(F.col("members").alias("_m")).agg(F.count("*").alias("_c"))
     total = by_size.agg(F.sum(F.col("_m") * F.col("_c")).alias("t")).scalar()
-    grid = by_size.withColumn("_N", total).withColumn("sample_size", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in samples])))
+    grid = by_size.withColumn("_N", total).withColumn("sample_size", _explode_sizes(samples))
     grid = grid.filter(F.col("sample_size") <= F.col("_N"))
     N, m, n = F.col("_N"), F.col("_m"), F.col("sample_size")
     miss = F.when(N - m < n, F.lit(0.0)).otherwise(F.exp(log_choose(N - m, n) - log_choose(N, n)))
@@ -195,7 +205,7 @@ def rarefaction_repeats(members: DataFrame, ident: str, cluster: str, samples: l
     rows = rows.withColumn("_key", hash_key(F.concat_ws("|", F.col(ident).cast("string"), F.col("_rep").cast("string")), seed))
     ranked = rank_rows(rows, ["_key", ident], ["_rep"], "_rn", hash_shard(F.col("_key")))
     seen = ranked.groupBy("_rep", cluster).agg(F.min("_rn").alias("_first"))
-    grid = seen.withColumn("sample_size", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in samples])))
+    grid = seen.withColumn("sample_size", _explode_sizes(samples))
     found = grid.groupBy("_rep", "sample_size").agg(F.count_if(F.col("_first") <= F.col("sample_size")).alias("_d"))
     return found.groupBy("sample_size").agg(  # one row per repeat
         F.avg("_d").alias("mean_clusters"), F.percentile("_d", 0.025).alias("lo"), F.percentile("_d", 0.975).alias("hi")

@@ -3,12 +3,13 @@
 import hashlib
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.catalog import graphs
+from strandwork.catalog import aggregates, graphs
 from strandwork.functions.stats import chi2_sf_even
 from strandwork.operators import encoding, graph, joins, neighbours, nulls, sampling, statistics
 from strandwork.operators.aggregate import pair_cosine
@@ -119,6 +120,23 @@ def test_rarefaction_forms_agree(spark):
         assert drawn[n]["mean_clusters"] == pytest.approx(exact[n], abs=0.4) and drawn[n]["lo"] <= drawn[n]["mean_clusters"] <= drawn[n]["hi"]
 
 
+def test_rarefaction_queries_reach_all_rows(spark, tmp_path):
+    assert statistics.sample_grid(0) == [] and statistics.sample_grid(1) == [1] and statistics.sample_grid(10) == [1, 2, 3, 5, 8, 10]
+    assert statistics.sample_grid(6_000_007)[-3:] == [3_000_000, 5_000_000, 6_000_007]
+    docs = spark.range(270).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 7).alias("source"), F.lit("en").alias("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["sample_size"]: r for r in aggregates.rarefaction_repeats_q(spark, str(tmp_path)).collect()}
+    assert max(got) == 270 and got[270]["lo"] == got[270]["hi"] == 7
+    sizes = docs.groupBy("source").agg(F.count("*").alias("members"))
+    assert statistics.rarefaction_expected(sizes.limit(0), []).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables")
+def test_rarefaction_ends_at_all_clusters(spark):
+    last = aggregates.rarefaction_q(spark, "/root/testdata/sf0.001").orderBy(F.desc("sample_size")).first()
+    assert last["sample_size"] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() and last["fraction"] == 1
+
+
 def test_planted_communities(spark):
     rng = np.random.default_rng(6)
     edges = [(i, j, 1.0) for i in range(60) for j in range(i + 1, 60) if rng.random() < (0.5 if i // 20 == j // 20 else 0.02)]
