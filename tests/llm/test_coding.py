@@ -222,6 +222,34 @@ def test_decontamination(spark, monkeypatch, broadcast):
     assert benchmark_overlaps(df, it.limit(0)).count() == 0 and benchmark_overlaps(df.limit(0), it).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_of_excerpts_and_moved_words(spark, monkeypatch, broadcast):
+    from strandwork.llm import decontaminate
+
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 0)
+    item = {n: [f"w{n}x{k}" for k in range(n)] for n in (59, 40, 16)}
+    gap = [f"z{k}" for k in range(9)]
+    cases = [
+        (59, item[59][7:52], 45),  # an excerpt
+        (59, item[59][20:33], 13),
+        (59, item[59][20:32], None),
+        (59, item[59][5:11] + ["z"] + item[59][12:20], 14),  # 14 of 15, of which the first 6 are fewer than the miss costs
+        (59, item[59][:9] + ["z", "z"] + item[59][11:14], 12),
+        (40, item[40][:20] + ["z"] + item[40][20:], 40),  # a word put in
+        (40, item[40][:20] + item[40][21:], 39),  # a word left out
+        (16, item[16][:6] + ["z"] + item[16][6:], 16),  # the shorter part has no seed
+        (16, item[16][:8] + gap[:8] + item[16][8:], 16),
+        (16, item[16][:8] + gap + item[16][8:], None),
+        (16, item[16][8:] + item[16][:8], None),  # not in order
+    ]
+    docs = spark.createDataFrame([(i, " ".join(["head", *w, "tail"])) for i, (_, w, _) in enumerate(cases)], "doc_id long, text string")
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in item.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in benchmark_overlaps(docs, items).collect()}
+    assert got == {(i, n): m for i, (n, _, m) in enumerate(cases) if m}
+    assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == {i for i, (_, _, m) in enumerate(cases) if not m}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables")
 def test_pipeline_stages_take_effect(spark):
     sf = "/root/testdata/sf0.001"
