@@ -51,10 +51,11 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class ChunkCoder:
-    """``code`` turns a list of texts into (ids of all, number of ids of each)."""
+    """``code`` turns a list of texts into (ids of all, number of ids of each);
+    ``cuts`` finds the starts of chunks that it may code one by one."""
 
-    def __init__(self, code: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.code = code
+    def __init__(self, code: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cuts: Callable[[np.ndarray, np.ndarray], np.ndarray] = chunk_starts):
+        self.code, self.cuts = code, cuts
         self.clear()
 
     def clear(self) -> None:
@@ -64,7 +65,7 @@ class ChunkCoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids up to the end of each text)."""
-        starts = chunk_starts(data, offsets)
+        starts = self.cuts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(data))

@@ -18,7 +18,9 @@ Spark's writer commits whole files, so a task that runs again leaves no halves.
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -114,28 +116,57 @@ def unpack(words: np.ndarray, blocks: np.ndarray, escapes: np.ndarray, n: int) -
     return out
 
 
-@functools.lru_cache(maxsize=2)
-def _library_coder(config: str) -> ChunkCoder:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task is one thread
-    from tokenizers import Tokenizer
+class LibraryCoder:
+    """A byte-level tokenizer of the tokenizers library behind remembered chunks.
+
+    Names of special tokens in a text become their one id, as the library does by
+    default, or with ``plain`` are ordinary text. A chunk may cut such a name, so
+    texts that hold one are coded whole.
+    """
+
+    def __init__(self, config: str, plain: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task is one thread
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(config)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        self.library = Tokenizer.from_str(config)
+        self.library.encode_special_tokens = plain
+        self.names = [] if plain else [t["content"].encode() for t in json.loads(config)["added_tokens"]]
+        self.chunks = ChunkCoder(self._code)
 
-    def code(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
 
-    return ChunkCoder(code)
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids up to the end of each text)."""
+        raw = data.tobytes() if self.names else b""
+        whole = sorted({int(np.searchsorted(offsets, m.start(), "right")) - 1 for name in self.names if name in raw for m in re.finditer(re.escape(name), raw)})
+        if not whole:
+            return self.chunks.encode(data, offsets)
+        lengths = np.diff(offsets)
+        kept = np.ones(len(lengths), bool)
+        kept[whole] = False
+        rest, upto = self.chunks.encode(data[np.repeat(kept, lengths)], np.append(0, np.cumsum(lengths * kept)))
+        ids, sizes = self._code([raw[offsets[i] : offsets[i + 1]].decode() for i in whole])
+        parts = np.split(rest, upto[:-1])
+        for i, own in zip(whole, np.split(ids, np.cumsum(sizes)[:-1])):
+            parts[i] = own
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+
+@functools.lru_cache(maxsize=2)
+def library_coder(config: str, plain: bool = False) -> LibraryCoder:
+    return LibraryCoder(config, plain)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, ident: str = "doc_id", text: str = "text") -> None:
     """Encode every whole text, append ``end_id`` and write the files at ``path``.
 
     ``tokenizer_file`` is a byte-level tokenizer of the tokenizers library; its
-    fixed-size description is read on the driver and sent once. Null texts are
-    empty and give the end id alone. Null ids come first; rows of one id follow
+    fixed-size description is read on the driver and sent once. Names of special
+    tokens in a text become their ids, as in the library. Null texts are empty and
+    give the end id alone. Null ids come first; rows of one id follow
     the hash of their text. An empty table gives no chunk.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -145,7 +176,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, iden
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, chunk = _library_coder(config.value), 0
+        coder, chunk = library_coder(config.value), 0
         for batch in batches:
             part, column, ids = batch.column("part"), batch.column("t"), batch.column("id")
             for a, b, data, offsets in text_slices(column):

@@ -87,7 +87,7 @@ def test_token_files(spark, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    texts = HARD + noisy(3, 100)
+    texts = HARD + ["a  <|endoftext|>b <|endoftext|>", "<|endoftext|>", "<|endoftext"] + noisy(3, 100)
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "null id", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, PART string").repartition(5)
     token_files.write_ids(df, str(tmp_path / "ids"), path, end_id=2)
