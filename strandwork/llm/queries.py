@@ -16,6 +16,7 @@ from .rows import text_of
 from .sharding import assign_shards
 from .substring_dedup import remove_repeats
 from .suffix_dedup import remove_byte_repeats
+from .token_alignment import align_tokens, group_digests, link_scores
 from .token_files import read_ids, write_ids
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -126,3 +127,9 @@ def op5_jaccard_join(spark, sf_dir):
 def op8_suffix_dedup(spark, sf_dir):
     cut = remove_byte_repeats(table(spark, sf_dir, "documents"), length=400)
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    aligned = align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return link_scores(group_digests(aligned)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
