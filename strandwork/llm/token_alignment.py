@@ -31,6 +31,8 @@ from .words import text_slices
 
 #: Kinds of linked id pairs that are broadcast at most, of about 20 bytes each.
 BROADCAST_PAIRS = 2_000_000
+#: Tokens of A whose groups are written out side by side.
+TOKENS_AT_ONCE = 1 << 19
 _SPACE = 0x20
 
 
@@ -230,6 +232,16 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about TOKENS_AT_ONCE tokens, one row at least: a batch of rows has no size."""
+    upto = np.append(0, np.cumsum(batch.column("ids_a").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + TOKENS_AT_ONCE, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def group_digests(aligned: DataFrame, ident: str = "doc_id") -> DataFrame:
     """(ident, n_a, n_b, n_groups, groups_sha256, pairs, times) of ``align_tokens``.
 
@@ -239,7 +251,7 @@ def group_digests(aligned: DataFrame, ident: str = "doc_id") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (own for whole in batches for own in _runs(whole)):
             (a, to_a), (b, to_b), (up_a, groups), (up_b, _) = (_flat(batch.column(c)) for c in ("ids_a", "ids_b", "upto_a", "upto_b"))
             n_groups = np.diff(groups, prepend=0)
             upto_a, upto_b = (up + np.repeat(np.append(0, to[:-1]), n_groups) for up, to in ((up_a, to_a), (up_b, to_b)))
