@@ -15,9 +15,10 @@ from .lexical_search import search
 from .registry import ORACLES, QUERIES, query, table
 from .rows import text_of
 from .sharding import assign_shards
+from .source_mixing import cycled_weights, mix_documents, sized_rows, taken_words
 from .substring_dedup import remove_repeats
 from .suffix_dedup import remove_byte_repeats
-from .token_alignment import align_tokens, group_digests, link_scores
+from .token_alignment import alignment_digests, link_scores
 from .token_files import read_ids, write_ids
 from .toxicity import fit_toxicity, held_out, score_toxicity
 
@@ -132,8 +133,8 @@ def op8_suffix_dedup(spark, sf_dir):
 
 @query("op12_token_alignment")
 def op12_token_alignment(spark, sf_dir):
-    aligned = align_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    return link_scores(group_digests(aligned)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    digests = alignment_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return link_scores(digests).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 SEARCH_SQL = r"""
@@ -156,3 +157,28 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
 @query("op13_lexical_search", SEARCH_SQL)
 def op13_lexical_search(spark, sf_dir):
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+MIX_SQL = r"""
+WITH rows AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(doc_id || '|0') AS h FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight,
+         CAST(3 * sum(size) AS DOUBLE) AS cap FROM rows GROUP BY source),
+levels AS (
+  SELECT (sum(source_size) OVER () - (sum(cap) OVER w - cap)) / (sum(weight) OVER () - (sum(weight) OVER w - weight)) AS level
+  FROM sources WINDOW w AS (ORDER BY cap / weight, source NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+targets AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM levels) * weight) AS target FROM sources),
+laid AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM rows),
+wanted AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS w FROM targets)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0 ELSE (w // source_size) * size + greatest(0, least(size, w % source_size - before)) END AS BIGINT) AS taken
+FROM laid JOIN wanted ON laid.source IS NOT DISTINCT FROM wanted.source
+"""
+
+
+@query("op11_source_mixing", MIX_SQL)
+def op11_source_mixing(spark, sf_dir):
+    rows = sized_rows(table(spark, sf_dir, "documents"))
+    # Weights 1, 2, 3: light sources fade out, heavy ones fade in.
+    mix, targets = mix_documents(rows, cycled_weights(rows, (1, 2, 3), rise=(1.5, 1.0, 0.5)), most=3)
+    return taken_words(rows, mix, targets).withColumnRenamed("id", "doc_id")
