@@ -54,8 +54,8 @@ class ChunkCoder:
     """``code`` turns a list of texts into (ids of all, number of ids of each);
     ``cuts`` finds the starts of chunks that it may code one by one."""
 
-    def __init__(self, code: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cuts: Callable[[np.ndarray, np.ndarray], np.ndarray] = chunk_starts):
-        self.code, self.cuts = code, cuts
+    def __init__(self, code: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cuts: Callable[[np.ndarray, np.ndarray], np.ndarray] = chunk_starts, remembered: int = REMEMBERED):
+        self.code, self.cuts, self.remembered = code, cuts, remembered
         self.clear()
 
     def clear(self) -> None:
@@ -76,7 +76,7 @@ class ChunkCoder:
         key = mix((total[ends] - total[starts]) * powers(n, pow(_MULTIPLIER, -1, 1 << 64))[starts])
         check = (other[ends] - other[starts]) ^ (ends - starts).astype(np.uint64)
         own, first, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.place) > REMEMBERED:
+        if len(self.place) > self.remembered:
             self.clear()
         at = np.fromiter((self.place.get(k, -1) for k in own.tolist()), np.int64, len(own))
         new = np.flatnonzero(at < 0)

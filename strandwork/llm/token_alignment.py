@@ -17,6 +17,7 @@ import functools
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from .words import text_slices
 
 #: Kinds of linked id pairs that are broadcast at most, of about 20 bytes each.
 BROADCAST_PAIRS = 2_000_000
+#: Chunks that a worker remembers for either tokenizer.
+REMEMBERED = 200_000
 #: Tokens of A whose groups are written out side by side.
 TOKENS_AT_ONCE = 1 << 19
 _SPACE = 0x20
@@ -57,13 +60,17 @@ class CheckedCoder:
         self.tokens = tokens
         self.lengths = np.array([*map(len, tokens), 0], np.int64)  # the last is that of -1
         self.code = code
-        self.chunks = ChunkCoder(self._checked, **cuts)
+        self.chunks = ChunkCoder(self._checked, remembered=REMEMBERED, **cuts)
         self.encode = self.chunks.encode
 
     def _checked(self, texts: list[str]) -> Coded:
         ids, sizes = self.code(texts)
+        raw = [t.encode() for t in texts]
+        ends = np.append(0, np.cumsum(self.lengths[ids]))[np.cumsum(sizes)]
+        if (ends == np.cumsum([*map(len, raw)])).all() and b"".join(map(self.tokens.__getitem__, ids.tolist())) == b"".join(raw):
+            return ids, sizes
         found = np.split(ids, np.cumsum(sizes)[:-1])
-        found = [own if b"".join([self.tokens[i] for i in own.tolist()]) == t.encode() else np.array([-1], ids.dtype) for t, own in zip(texts, found)]
+        found = [own if b"".join([self.tokens[i] for i in own.tolist()]) == t else np.array([-1], ids.dtype) for t, own in zip(raw, found)]
         return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
 
 
@@ -108,7 +115,7 @@ def piece_coder(model: bytes) -> CheckedCoder:
         # The library puts the leading space back; of no text at all it makes no token.
         found = [ids if len(t) > 1 else alone for t, ids in zip(texts, library.encode([t[1:] for t in texts], num_threads=1))]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     crossing = any("▁" in p.lstrip("▁") for p in pieces)
     return CheckedCoder(code, tokens, cuts=text_starts if crossing else space_starts)
@@ -187,6 +194,15 @@ def align_tokens(docs: DataFrame, byte_level_file: str, piece_file: str, ident:
     empty table gives an empty table; other columns are not read. The vocabulary
     files are of fixed size, read on the driver and sent once.
     """
+    rows, kind, run = _aligner(docs, byte_level_file, piece_file, ident, text)
+    return rows.mapInArrow(run, f"id {kind}, {_ALIGNED}").withColumnRenamed("id", ident)
+
+
+_ALIGNED = ", ".join(f"{c} array<int>" for c in ("ids_a", "ids_b", "upto_a", "upto_b"))
+
+
+def _aligner(docs: DataFrame, byte_level_file: str, piece_file: str, ident: str, text: str) -> tuple[DataFrame, str, Callable]:
+    """(rows (id, text), type of the id, function over their batches)."""
     with open(byte_level_file, encoding="utf-8") as f, open(piece_file, "rb") as g:
         sent = docs.sparkSession.sparkContext.broadcast((f.read(), g.read()))
 
@@ -217,8 +233,7 @@ def align_tokens(docs: DataFrame, byte_level_file: str, piece_file: str, ident:
                 ], ["id", "ids_a", "ids_b", "upto_a", "upto_b"])
 
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    four = ", ".join(f"{c} array<int>" for c in ("ids_a", "ids_b", "upto_a", "upto_b"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {four}").withColumnRenamed("id", ident)
+    return rows, rows.schema["id"].dataType.simpleString(), run
 
 
 @functools.lru_cache(maxsize=8)
@@ -242,6 +257,42 @@ def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
+_DIGESTS = "n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<int>"
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (own for whole in batches for own in _runs(whole)):
+        (a, to_a), (b, to_b), (up_a, groups), (up_b, _) = (_flat(batch.column(c)) for c in ("ids_a", "ids_b", "upto_a", "upto_b"))
+        n_groups = np.diff(groups, prepend=0)
+        upto_a, upto_b = (up + np.repeat(np.append(0, to[:-1]), n_groups) for up, to in ((up_a, to_a), (up_b, to_b)))
+        size_a, size_b = (1 << max(10, int(x.max(initial=0)).bit_length()) for x in (a, b))
+        # A token of A stands behind the tokens of B of earlier groups, one of B behind those of A of its own too.
+        merged = np.empty(len(a) + len(b), object)
+        place = np.arange(len(a)) + np.repeat(np.append(0, upto_b)[: len(upto_b)], np.diff(upto_a, prepend=0))
+        merged[place] = _numbers(size_a, b",")[a]
+        merged[place[upto_a - 1]] = _numbers(size_a, b"|")[a[upto_a - 1]]
+        place = np.arange(len(b)) + np.repeat(upto_a, np.diff(upto_b, prepend=0))
+        merged[place] = _numbers(size_b, b",")[b]
+        merged[place[upto_b - 1]] = _numbers(size_b, b";")[b[upto_b - 1]]
+        ends = (to_a + to_b).tolist()
+        shas = [hashlib.sha256(b"".join(merged[x:y].tolist())[:-1]).hexdigest() if y > x else "" for x, y in zip([0, *ends], ends)]
+        doc = np.repeat(np.arange(batch.num_rows), n_groups)
+        key = (doc << 40) | (a[upto_a - 1] << 20) | b[upto_b - 1] if size_a <= 1 << 20 and size_b <= 1 << 20 and batch.num_rows < 1 << 23 else None
+        if key is None:
+            both = np.stack([doc, a[upto_a - 1], b[upto_b - 1]], 1)
+            rows, times = np.unique(both, axis=0, return_counts=True)
+            who, links = rows[:, 0], rows[:, 1] << 32 | rows[:, 2]
+        else:
+            key, times = np.unique(key, return_counts=True)
+            who, links = key >> 40, (key >> 20 & 0xFFFFF) << 32 | key & 0xFFFFF
+        upto = np.searchsorted(who, np.arange(batch.num_rows), "right")
+        offsets = pa.array(np.append(0, upto), pa.int32())
+        yield pa.RecordBatch.from_arrays([
+            batch.column("id"), *(pa.array(np.diff(x, prepend=0)) for x in (to_a, to_b, groups)), pa.array(shas, pa.string()),
+            pa.ListArray.from_arrays(offsets, pa.array(links)), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
+        ], ["id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
+
+
 def group_digests(aligned: DataFrame, ident: str = "doc_id") -> DataFrame:
     """(ident, n_a, n_b, n_groups, groups_sha256, pairs, times) of ``align_tokens``.
 
@@ -249,42 +300,14 @@ def group_digests(aligned: DataFrame, ident: str = "doc_id") -> DataFrame:
     without tokens. ``pairs`` holds the distinct linked ids ``a << 32 | b`` of the
     document, those that end together, and ``times`` how often each is linked.
     """
+    rows = aligned.select(F.col(ident).alias("id"), "ids_a", "ids_b", "upto_a", "upto_b")
+    return rows.mapInArrow(_digest, f"id {rows.schema['id'].dataType.simpleString()}, {_DIGESTS}").withColumnRenamed("id", ident)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (own for whole in batches for own in _runs(whole)):
-            (a, to_a), (b, to_b), (up_a, groups), (up_b, _) = (_flat(batch.column(c)) for c in ("ids_a", "ids_b", "upto_a", "upto_b"))
-            n_groups = np.diff(groups, prepend=0)
-            upto_a, upto_b = (up + np.repeat(np.append(0, to[:-1]), n_groups) for up, to in ((up_a, to_a), (up_b, to_b)))
-            size_a, size_b = (1 << max(10, int(x.max(initial=0)).bit_length()) for x in (a, b))
-            # A token of A stands behind the tokens of B of earlier groups, one of B behind those of A of its own too.
-            merged = np.empty(len(a) + len(b), object)
-            place = np.arange(len(a)) + np.repeat(np.append(0, upto_b)[: len(upto_b)], np.diff(upto_a, prepend=0))
-            merged[place] = _numbers(size_a, b",")[a]
-            merged[place[upto_a - 1]] = _numbers(size_a, b"|")[a[upto_a - 1]]
-            place = np.arange(len(b)) + np.repeat(upto_a, np.diff(upto_b, prepend=0))
-            merged[place] = _numbers(size_b, b",")[b]
-            merged[place[upto_b - 1]] = _numbers(size_b, b";")[b[upto_b - 1]]
-            ends = (to_a + to_b).tolist()
-            shas = [hashlib.sha256(b"".join(merged[x:y].tolist())[:-1]).hexdigest() if y > x else "" for x, y in zip([0, *ends], ends)]
-            doc = np.repeat(np.arange(batch.num_rows), n_groups)
-            key = (doc << 40) | (a[upto_a - 1] << 20) | b[upto_b - 1] if size_a <= 1 << 20 and size_b <= 1 << 20 and batch.num_rows < 1 << 23 else None
-            if key is None:
-                both = np.stack([doc, a[upto_a - 1], b[upto_b - 1]], 1)
-                rows, times = np.unique(both, axis=0, return_counts=True)
-                who, links = rows[:, 0], rows[:, 1] << 32 | rows[:, 2]
-            else:
-                key, times = np.unique(key, return_counts=True)
-                who, links = key >> 40, (key >> 20 & 0xFFFFF) << 32 | key & 0xFFFFF
-            upto = np.searchsorted(who, np.arange(batch.num_rows), "right")
-            offsets = pa.array(np.append(0, upto), pa.int32())
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id"), *(pa.array(np.diff(x, prepend=0)) for x in (to_a, to_b, groups)), pa.array(shas, pa.string()),
-                pa.ListArray.from_arrays(offsets, pa.array(links)), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
-            ], ["id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs", "times"])
 
-    rows = aligned.select(F.col(ident).alias("id"), "ids_a", "ids_b", "upto_a", "upto_b")
-    out = f"id {rows.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<int>"
-    return rows.mapInArrow(run, out).withColumnRenamed("id", ident)
+def alignment_digests(docs: DataFrame, byte_level_file: str, piece_file: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``group_digests`` of ``align_tokens``, with both in one Python worker."""
+    rows, kind, run = _aligner(docs, byte_level_file, piece_file, ident, text)
+    return rows.mapInArrow(lambda batches: _digest(run(batches)), f"id {kind}, {_DIGESTS}").withColumnRenamed("id", ident)
 
 
 def pair_counts(digests: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ from .rows import text_of
 from .words import text_slices
 
 BLOCK = 128
+#: Texts that the tokenizers library codes in one call.
+TEXTS_AT_ONCE = 4096
 # Fixed values of the coding: ids per word and bits per id, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 60])
@@ -134,9 +137,10 @@ class LibraryCoder:
         self.chunks = ChunkCoder(self._code)
 
     def _code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        # The library's own record of a text is far larger than its ids.
+        found = [e.ids for at in range(0, len(texts), TEXTS_AT_ONCE) for e in self.library.encode_batch_fast(texts[at : at + TEXTS_AT_ONCE], add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum())), sizes
+        return np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids up to the end of each text)."""

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from strandwork.llm.token_alignment import align_tokens, byte_of_letter, common_ends, gallop, group_digests, link_scores
+from strandwork.llm.token_alignment import align_tokens, alignment_digests, byte_of_letter, common_ends, gallop, group_digests, link_scores
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -50,7 +50,9 @@ def test_alignment_equals_the_libraries(spark):
     texts = TEXTS + ["".join(rng.choice("ab cé1,.'\n  漢-") for _ in range(rng.randint(1, 80))) for _ in range(200)]
     rows = [(i if i else None, t, "x", "y") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id int, text string, IDS_A string, _row string").repartition(3)
-    found = link_scores(group_digests(align_tokens(df, BYTES, PIECES))).collect()
+    digests = group_digests(align_tokens(df, BYTES, PIECES))
+    found = link_scores(digests).collect()
+    assert sorted(map(str, digests.collect())) == sorted(map(str, alignment_digests(df, BYTES, PIECES).collect()))
     got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in found}
     want = expected(texts)
     assert len(found) == len(texts)
