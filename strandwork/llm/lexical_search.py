@@ -218,7 +218,7 @@ def _scored(counts: DataFrame, plans: list, weights: np.ndarray, place: dict[str
         atom = np.full(len(place), -1)
         atom[[place[t] for t in p.terms]] = p.atom_of
         plan = Plan([[]] * (max(p.atom_of) + 1), p.left, p.right, [])
-        local.append((atom, len(plan.atoms), np.array(p.left, int), np.array(p.right, int), plan.levels(), np.array(p.nodes), np.append(0, p.upto[:-1]), np.array(p.item_rows)))
+        local.append((atom, len(plan.atoms), np.array(p.left, int), np.array(p.right, int), plan.levels(), np.array(p.nodes, int), np.append(0, np.array(p.upto[:-1], int)), np.array(p.item_rows)))
     sent = counts.sparkSession.sparkContext.broadcast((local, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def _scored(counts: DataFrame, plans: list, weights: np.ndarray, place: dict[str
         for batch in batches:
             ids = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False)
             known = batch.column("id").is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
-            size = np.array([50 + 50 * n * docs // terms for n in batch.column("n").to_pylist()])  # of any size
+            size = np.array([50 + 50 * n * docs // terms for n in batch.column("n").to_pylist()], np.int64)  # products of any size
             upto = np.append(0, np.cumsum(batch.column("found").value_lengths().to_numpy(zero_copy_only=False)))
             found, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("found", "tf"))
             doc = np.repeat(np.arange(len(ids)), np.diff(upto))
