@@ -43,8 +43,8 @@ MOST_LIGHT = 32
 SCAN_COST = 4
 #: Row numbers that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
-#: Rounds in which lists are compared with a hub before the rest is compared in full.
-HUB_ROUNDS = 3
+#: Hubs go on while they join more than one in so many sets that they meet.
+FRUITFUL = 20
 
 
 @dataclass(frozen=True)
@@ -237,29 +237,52 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _links(lists: DataFrame, sets: DataFrame, rule: Rule, every: bool = False) -> list[DataFrame]:
-    """Links (a, b) between classes: enough to join all that are linked, or with ``every`` all of them."""
+    """Links (a, b) between classes: enough to join all that are linked, or with ``every`` all of them.
+
+    Two sets that meet in a list with the slack used up do not link there, if that is
+    the first shingle they share; so one of them has slack left, and lists of sets
+    without are not looked at. In a round every set meets one hub. Rounds go on while
+    hubs join many of those they meet; what is left is compared in full, each pair
+    once, at the first shingle that both look at.
+    """
     links: list[DataFrame] = []
-    for turn in range(0 if every else HUB_ROUNDS):
+    turn, fruitful = 0, not every
+    while fruitful:
         left = _open_lists(lists, links)
-        hub = left.groupBy("key").agg(F.min_by("_row", F.xxhash64("_row", F.lit(turn))).alias("a"))
-        pairs = left.join(hub, "key").filter("_row <> a").select("a", F.col("_row").alias("b")).distinct()
-        links.append(cut_lineage(_verified(pairs, sets, rule).select("a", "b")))
+        salted = F.xxhash64("_row", F.lit(turn))
+        hub = left.filter("slack >= 0").groupBy("key").agg(F.min_by(F.struct("_row", "comp", "slack"), salted).alias("hub"))
+        met = left.join(hub, "key").filter("comp <> hub.comp and slack + hub.slack >= 0")
+        pairs = cut_lineage(met.groupBy(F.col("_row").alias("b")).agg(F.min_by("hub._row", F.xxhash64("hub._row", F.lit(turn))).alias("a")).select("a", "b"))
+        found = cut_lineage(_verified(pairs, sets, rule).select("a", "b"))
+        fruitful = found.count() * FRUITFUL > pairs.count()
+        links.append(found)
         free_shuffles(lists.sparkSession)
+        turn += 1
     left = _open_lists(lists, links)
-    one, two = left.select("key", F.col("_row").alias("a"), F.col("comp").alias("ca")), left.select("key", F.col("_row").alias("b"), F.col("comp").alias("cb"))
-    rest = one.join(two, "key").filter("a < b" if every else "a < b and ca <> cb").select("a", "b").distinct()
+    earlier = F.collect_list("key").over(Window.partitionBy("_row").orderBy("place", "key").rowsBetween(Window.unboundedPreceding, -1))
+    left = cut_lineage(left.withColumn("earlier", earlier))  # one set's own shingles, as many as it looks at
+    one = left.filter("slack >= 0").select("key", *[F.col(c).alias(f"{c}_a") for c in ("_row", "comp", "slack", "earlier")])
+    two = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("_row", "comp", "slack", "earlier")])
+    once = F.expr("slack_a + slack_b >= 0 and (slack_b < 0 or _row_a < _row_b) and not arrays_overlap(earlier_a, earlier_b)")
+    apart = F.col("_row_a") != F.col("_row_b") if every else F.col("comp_a") != F.col("comp_b")
+    rest = one.join(two, (one["key"] == two["key"]) & apart & once)
+    rest = rest.select(F.least("_row_a", "_row_b").alias("a"), F.greatest("_row_a", "_row_b").alias("b")).distinct()
     links.append(cut_lineage(_verified(rest, sets, rule).select("a", "b")))
     free_shuffles(lists.sparkSession)
     return links
 
 
 def _rarest(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(key, _row): inverted lists of the rarest shingles of ``sets`` (_row, set).
+    """(key, _row, place, slack): inverted lists of the rarest shingles of ``sets`` (_row, set).
 
     A set of n links only if it shares ``rule.least(n)`` shingles, so one of its
     n - least + 1 rarest is shared, and of both sets it is among the rarest. What
     is found in one set alone stands first and never meets anything: a text
     with many words of its own has no list left to be scanned.
+
+    If two sets share no rarer shingle, all that stands before this one in either is
+    part of their difference, and so is bounded by ``slack``: two sets link only
+    where theirs add up to 0 or more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,16 +299,18 @@ def _rarest(sets: DataFrame, rule: Rule) -> DataFrame:
     alone = F.col("n") - F.count("*").over(per_row)
     budget = F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1 - alone
     placed = shared.withColumns({"place": F.row_number().over(per_row.orderBy("df", "key")), "budget": budget})
-    return placed.filter("place <= budget").select("key", "_row")
+    before = F.col("place") - 1 + F.col("n") - F.count("*").over(per_row)
+    slack = F.col("n") * (rule.den - rule.num) - before * (rule.num + rule.den)
+    return placed.withColumn("slack", slack).filter("place <= budget").select("key", "_row", "place", "slack")
 
 
 def _open_lists(lists: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """(key, _row, comp) of the lists that still hold more than one component."""
+    """(key, _row, place, slack, comp) of the lists that may still join two components."""
     if not links:
-        return lists.withColumn("comp", F.col("_row"))
+        links = [lists.select(F.col("_row").alias("a"), F.col("_row").alias("b")).limit(0)]
     comp = components(_union(links)).select(F.col("node").alias("_row"), "comp")
-    named = lists.join(comp, "_row", "left").select("key", "_row", F.coalesce("comp", "_row").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    named = lists.join(comp, "_row", "left").select("key", "_row", "place", "slack", F.coalesce("comp", "_row").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("slack").alias("most")).filter("lo <> hi and most >= 0").select("key")
     return cut_lineage(named.join(mixed, "key", "left_semi"))
 
 
@@ -316,7 +341,7 @@ def _classes(numbered: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, lis
     count = F.count("*").over(Window.partitionBy("key"))
     met = cut_lineage(_keys(texts, rule, boundary(small, rule)).withColumn("_n", count).filter("_n > 1").drop("_n"))
     free_shuffles(numbered.sparkSession)
-    light = met.filter("need = 0").select("key", "_row")
+    light = met.filter("need = 0").select("key", "_row", F.lit(0).alias("place"), F.lit(0).cast("long").alias("slack"))  # a shared subset is all they must share
     heavy = met.filter("need > 0").groupBy("_row").agg(F.count("*").alias("c"), F.first("need").alias("need")).filter("c >= need")
     heavy = cut_lineage(heavy.select("_row"))
     both = cut_lineage(heavy.unionAll(light.select("_row")).distinct())

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.llm import suffix_dedup
+from strandwork.llm import jaccard_join, suffix_dedup
 from strandwork.llm.exact_dedup import drop_exact_copies, exact_groups
 from strandwork.llm.jaccard_join import Rule, boundary, drop_near_duplicates, jaccard_pairs, least_difference, near_duplicates, odd_sketch
 from strandwork.llm.rows import number_rows
@@ -184,3 +184,20 @@ def test_hot_group_has_no_pair_blow_up(spark):
     df = spark.createDataFrame(rows, SCHEMA).repartition(8)
     got = near_duplicates(df, Rule(1, 9, 10)).agg(F.count_distinct("component_id"), F.count("*")).first()
     assert tuple(got) == (1, 300)
+
+
+def test_candidates_grow_with_the_rows(spark, monkeypatch):
+    """Texts that share a long passage and do not link: twice the texts, about twice the pairs."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(80))
+    met = []
+    real = jaccard_join._verified
+    monkeypatch.setattr(jaccard_join, "_verified", lambda pairs, sets, rule: met.append(pairs.count()) or real(pairs, sets, rule))
+    counts = []
+    for n in (150, 300):
+        met.clear()
+        texts = [(i, passage + " " + " ".join(f"u{i}_{j}" for j in range(rng.randint(8, 13)))) for i in range(n)]
+        got = near_duplicates(spark.createDataFrame(texts, SCHEMA), Rule(4, 85, 100))
+        assert got.filter("component_id <> doc_id").count() == 0
+        counts.append(sum(met))
+    assert counts[1] <= 2.5 * counts[0] + 50
