@@ -194,26 +194,43 @@ def test_a_longer_third_sequence_does_not_part_two(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
-def test_representatives_could_not_be_joined(spark):
+def test_members_fit_their_own_representative(spark):
+    rng = np.random.default_rng(12)
+    w = "".join(rng.choice(list("ACDEFGHIKLMNPQRSTVWY"), 100))
+    rows = [(1, w), (2, w[:90]), (3, w[:80]), (4, w[:64]), (5, None), (6, ""), (7, "AC")]
+    got = {r[0]: r[1] for r in graph.identity_clusters(spark.createDataFrame(rows, "id long, s string"), "id", "s").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: None, 6: 6, 7: 7}
+
+
+def serial_clusters(rows, share, coverage, k):
+    first = {}
+    for i, s in rows:
+        first[s] = min(i, first.get(s, i))
+    kmers = {s: {s[j : j + k] for j in range(len(s) - k + 1)} if len(s) > k else {s} for s in first}
+    reps, out = [], {}
+    for s in sorted(first, key=lambda s: (-len(s), first[s])):
+        out[s] = next((first[r] for r in reps if len(s) >= len(r) * coverage and len(kmers[s] & kmers[r]) >= len(kmers[s]) * share), None)
+        if out[s] is None:
+            reps.append(s)
+            out[s] = first[s]
+    return {i: out[s] for i, s in rows}
+
+
+@pytest.mark.parametrize("productive", [10, 1])  # 1: open candidates are compared after the first round
+def test_clusters_equal_the_serial_choice(spark, monkeypatch, productive):
+    monkeypatch.setattr(graph, "PRODUCTIVE", productive)
     rng = np.random.default_rng(11)
     base = ["".join(rng.choice(list("ACDE"), 60)) for _ in range(5)]
     rows = []
-    for i in range(60):
+    for i in range(100):
         s = list(base[i % 5][rng.integers(0, 10) : 60 - rng.integers(0, 20)])
         for _ in range(rng.integers(0, 8)):
             s[rng.integers(len(s))] = "F"
         rows.append((i, "".join(s)))
-    got = {r[0]: r[1] for r in graph.identity_clusters(spark.createDataFrame(rows, "id long, s string"), "id", "s", 0.5, 0.8, 6).collect()}
-    text = dict(rows)
-    kmers = {i: {s[j : j + 6] for j in range(len(s) - 5)} for i, s in rows}
-
-    def links(a, b):
-        a, b = sorted((a, b), key=lambda i: (len(text[i]), -i))
-        return len(text[a]) >= 0.8 * len(text[b]) and len(kmers[a] & kmers[b]) >= 0.5 * len(kmers[a])
-
-    reps = set(got.values())
-    assert all(got[r] == r for r in reps) and len(reps) < 40
-    assert not any(links(a, b) for a, b in itertools.combinations(sorted(reps), 2))
+    for share, coverage, k in ((0.5, 0.8, 6), (0.8, 0.9, 3)):
+        got = {r[0]: r[1] for r in graph.identity_clusters(spark.createDataFrame(rows, "id long, s string"), "id", "s", share, coverage, k).collect()}
+        want = serial_clusters(rows, share, coverage, k)
+        assert got == want and 5 < len(set(want.values())) < 90
 
 
 def test_null_sets_respect_core(spark):
