@@ -1,7 +1,15 @@
-"""Resumable chunk runs as a file-source stream."""
+"""Resumable chunk runs as a file-source stream.
+
+The output of a run is a folder of its own, and a run counts from the moment its
+record, one file, is renamed into the commit folder. A record names the chunks, the
+files each was made of, and the run that holds their rows. Readers follow the
+last finished record of each chunk, so a run that fails, at any point, leaves what was
+there before.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,30 +17,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STATE_SCHEMA = "chunk_id string, source string"
+RECORD_SCHEMA = "chunk_id string, source string, run string, finished boolean, version long"
 #: The source of rows that carry none.
 NO_SOURCE = "-"
+#: Current chunks that are broadcast to readers at most.
+BROADCAST_CHUNKS = 100_000
+
+
+def _records(spark: SparkSession, out: str, stage: str) -> DataFrame:
+    try:
+        return spark.read.schema(RECORD_SCHEMA).parquet(f"{out}/commits/stage={stage}")
+    except AnalysisException:  # nothing has been recorded yet
+        return spark.createDataFrame([], RECORD_SCHEMA)
+
+
+def _last(records: DataFrame) -> DataFrame:
+    """The rows of each chunk's newest record."""
+    newest = records.groupBy("chunk_id").agg(F.max("version").alias("version"))
+    return records.join(newest, ["chunk_id", "version"], "left_semi")
+
+
+def known_chunks(spark: SparkSession, out: str, stage: str) -> DataFrame:
+    """(chunk_id, source, finished): the files each chunk was last computed from, and
+    whether that ended. A forced run that failed leaves its chunks unfinished."""
+    return _last(_records(spark, out, stage)).select("chunk_id", "source", "finished")
 
 
 def finished_chunks(spark: SparkSession, out: str, stage: str) -> DataFrame:
     """(chunk_id, source): the files of each chunk whose stage output is committed."""
-    try:
-        return spark.read.schema(STATE_SCHEMA).parquet(f"{out}/done/stage={stage}")
-    except AnalysisException:  # no chunk has finished yet
-        return spark.createDataFrame([], STATE_SCHEMA)
+    return known_chunks(spark, out, stage).filter("finished").select("chunk_id", "source")
 
 
-def _remove_chunks(spark: SparkSession, folder: str, chunks: DataFrame) -> None:
-    """Delete the folders of ``chunks``: a chunk without result rows must not keep old ones."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return
-    names = chunks.select("chunk_id").distinct()
-    there = spark.createDataFrame([(f.getPath().getName(),) for f in fs.listStatus(top)], "folder string")
-    escaped = F.concat(F.lit("chunk_id="), F.col("chunk_id"))
-    for row in names.join(there, F.regexp_replace(F.url_decode("folder"), r"\+", " ") == escaped).toLocalIterator():
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{row.folder}"), True)
+def _record(spark: SparkSession, out: str, stage: str, chunks: DataFrame, run: str, finished: bool) -> None:
+    """Make ``chunks`` (chunk_id, source) the newest state of their chunks: one file, renamed as a whole."""
+    version = (_records(spark, out, stage).agg(F.max("version")).first()[0] or 0) + 1
+    rows = chunks.select("chunk_id", "source", F.lit(run).alias("run"), F.lit(finished).alias("finished"), F.lit(version).cast("long").alias("version"))
+    rows.coalesce(1).write.mode("append").parquet(f"{out}/commits/stage={stage}")
 
 
 def run_stage(rows: DataFrame, out: str, stage: str, fn: Callable[[DataFrame], DataFrame], force: bool = False, only: str | None = None) -> None:
@@ -40,30 +60,34 @@ def run_stage(rows: DataFrame, out: str, stage: str, fn: Callable[[DataFrame], D
 
     A chunk is finished with the files it was made of (column ``source``, if
     ``rows`` have it). The same files again leave it untouched; ``force``
-    recomputes it; ``only`` picks one chunk. Rows of a finished chunk from a new
+    recomputes it; ``only`` picks one chunk. Rows of a known chunk from a new
     file are an error, raised before anything is written: ``run_increment`` gives
-    such a chunk with all of its files. Each chunk is its own partition folder
-    and is replaced as a whole, also by an empty result.
+    such a chunk with all of its files. A chunk is replaced as a whole, also by an
+    empty result, when the record of the run is there. If a forced run fails, the
+    former rows stay readable and the chunk is unfinished, so the next run takes it.
     """
     spark = rows.sparkSession
     if "source" not in rows.columns:
         rows = rows.withColumn("source", F.lit(NO_SOURCE))
     todo = rows.filter(F.col("chunk_id") == only) if only else rows
     if not force:
-        done = finished_chunks(spark, out, stage)
+        known = known_chunks(spark, out, stage)
+        done = known.filter("finished")
         new = todo.join(done, ["chunk_id", "source"], "left_anti").select("chunk_id").distinct()
         todo = todo.join(new, "chunk_id", "left_semi")
-        missing = done.join(new, "chunk_id").join(todo.select("chunk_id", "source"), ["chunk_id", "source"], "left_anti")
+        missing = known.join(new, "chunk_id").join(todo.select("chunk_id", "source"), ["chunk_id", "source"], "left_anti")
         if not missing.isEmpty():
-            raise ValueError("a finished chunk got new rows without its earlier files")
+            raise ValueError("a known chunk got new rows without its earlier files")
     todo = todo.persist()
     try:
         if todo.isEmpty():
             return
-        result = fn(todo.drop("source"))
-        _remove_chunks(spark, f"{out}/data/stage={stage}", todo)
-        result.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(f"{out}/data/stage={stage}")
-        todo.select("chunk_id", "source").distinct().write.mode("append").parquet(f"{out}/done/stage={stage}")
+        run = uuid.uuid4().hex
+        chunks = todo.select("chunk_id", "source").distinct()
+        if force:  # what is asked for again is not finished any more
+            _record(spark, out, stage, chunks, run, finished=False)
+        fn(todo.drop("source")).write.partitionBy("chunk_id").parquet(f"{out}/data/stage={stage}/run={run}")
+        _record(spark, out, stage, chunks, run, finished=True)
     finally:
         todo.unpersist()
 
@@ -81,7 +105,7 @@ def run_increment(spark: SparkSession, source: str, schema: T.StructType | str,
 
     def batch(rows: DataFrame, _epoch: int) -> None:
         for name, fn in stages.items():
-            earlier = finished_chunks(spark, out, name).join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi")
+            earlier = known_chunks(spark, out, name).filter(F.col("source") != NO_SOURCE).join(rows.select("chunk_id").distinct(), "chunk_id", "left_semi")
             earlier = earlier.join(rows.select("chunk_id", "source").distinct(), ["chunk_id", "source"], "left_anti")
             files = [r.source for r in earlier.select("source").distinct().collect()]  # files of the touched chunks
             again = rows
@@ -96,4 +120,19 @@ def run_increment(spark: SparkSession, source: str, schema: T.StructType | str,
 
 
 def stage_output(spark: SparkSession, out: str, stage: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{out}/data/stage={stage}")
+    """The committed rows of every chunk. Folders that no record leads to are not read."""
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    current = _last(_records(spark, out, stage).filter("finished")).select("chunk_id", "run").distinct()
+    near = F.broadcast(current) if current.limit(BROADCAST_CHUNKS + 1).count() <= BROADCAST_CHUNKS else current
+    rows = spark.read.schema(T.StructType([*fields.fields, T.StructField("run", T.StringType())])).parquet(f"{out}/data/stage={stage}")
+    return rows.join(near, ["chunk_id", "run"], "left_semi").select(*fields.names)
+
+
+def remove_old_runs(spark: SparkSession, out: str, stage: str) -> None:
+    """Delete the folders of runs that no chunk is read from. Not while a run is going on."""
+    kept = {r.run for r in _last(_records(spark, out, stage).filter("finished")).select("run").distinct().collect()}  # one name a run
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/data/stage={stage}")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(top) if fs.exists(top) else []:
+        if status.getPath().getName().removeprefix("run=") not in kept:
+            fs.delete(status.getPath(), True)

@@ -55,6 +55,23 @@ def test_late_rows_and_empty_results(spark, tmp_path):
     assert read() == {"b": 5}
 
 
+def test_a_failing_forced_run_keeps_the_former_output(spark, tmp_path):
+    schema, out = "chunk_id string, v long", str(tmp_path / "out")
+    total = lambda df: df.groupBy("chunk_id").agg(F.sum("v").alias("s"))
+    read = lambda: {r["chunk_id"]: r["s"] for r in increment.stage_output(spark, out, "sum", "s long, chunk_id string").collect()}
+    rows = spark.createDataFrame([("a", 1), ("b/ c", 5)], schema)
+    increment.run_stage(rows, out, "sum", total)
+    fails = lambda df: total(df).withColumn("s", F.when(F.col("chunk_id") == "b/ c", F.raise_error(F.lit("stop"))).otherwise(F.col("s")).cast("long"))
+    with pytest.raises(Exception, match="stop"):
+        increment.run_stage(rows, out, "sum", fails, force=True)
+    assert read() == {"a": 1, "b/ c": 5}
+    assert increment.finished_chunks(spark, out, "sum").count() == 0
+    increment.run_stage(spark.createDataFrame([("a", 10), ("b/ c", 7)], schema), out, "sum", total)  # a plain run takes them up
+    assert read() == {"a": 10, "b/ c": 7} and increment.finished_chunks(spark, out, "sum").count() == 2
+    increment.remove_old_runs(spark, out, "sum")
+    assert read() == {"a": 10, "b/ c": 7} and len(list((tmp_path / "out" / "data" / "stage=sum").glob("run=*"))) == 1
+
+
 def test_gate_statuses(spark):
     rows = spark.createDataFrame([(1, True), (2, True), (3, True), (4, False)], "row_id long, valid boolean")
 
