@@ -147,6 +147,48 @@ def test_planted_communities(spark):
     assert got >= want - 0.02 and parts.count() == 60
 
 
+def test_communities_settle_and_are_connected(spark):
+    """A chain of cliques, a star and two loose pairs: no vertex can gain by moving."""
+    edges = {}
+    for c in range(8):
+        for i in range(5):
+            for j in range(i + 1, 5):
+                edges[c * 5 + i, c * 5 + j] = 1.0
+        if c:
+            edges[c * 5 - 1, c * 5] = 0.5
+    edges |= {(100, 100 + i): 1.0 for i in range(1, 9)} | {(200, 201): 1.0, (300, 301): 2.0}
+    e = spark.createDataFrame([(*k, w) for k, w in edges.items()], "src long, dst long, weight double")
+    of = {r.vertex: r.community for r in graph.community_detection(e).collect()}
+    assert all(len({of[c * 5 + i] for i in range(5)}) == 1 for c in range(8))
+    assert len({of[100 + i] for i in range(9)}) == 1 and of[200] == of[201] and of[300] == of[301]
+    near, k = {}, {}
+    for (a, b), w in edges.items():
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, {})[y] = w
+            k[x] = k.get(x, 0) + w
+    m2, tot = sum(k.values()), {}
+    for v, c in of.items():
+        tot[c] = tot.get(c, 0) + k[v]
+        reached, todo = {v}, [v]  # its community hangs together
+        while todo:
+            new = {u for u in near[todo.pop()] if of[u] == c} - reached
+            reached |= new
+            todo += new
+        assert reached == {u for u in of if of[u] == c}
+    for v, c in of.items():
+        to = {d: sum(w for u, w in near[v].items() if of[u] == d) for d in {of[u] for u in near[v]} | {c}}
+        for d, w in to.items():
+            gain = 0 if d == c else 2 * (w - to[c] - k[v] * (tot[d] - tot[c] + k[v]) / m2) / m2
+            assert gain <= graph.SETTLED
+
+
+def test_communities_without_edges(spark):
+    none = spark.createDataFrame([], "src long, dst long, weight double")
+    assert graph.community_detection(none).count() == 0
+    zero = spark.createDataFrame([(1, 2, 0.0)], "src long, dst long, weight double")
+    assert {tuple(r) for r in graph.community_detection(zero).collect()} == {(1, 1), (2, 2)}
+
+
 def test_core_numbers_against_peeling(spark):
     rng = np.random.default_rng(7)
     edges = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 40, (160, 2)) if a != b}
