@@ -142,11 +142,42 @@ def mean_matrix_pivot_q(spark, d):
     return wide.select("cluster", *[r6(F.col(f"`{i}`")).alias(f"n{i}") for i in range(25)])
 
 
-@query("permutation_test")
+def shuffle_sql(name: str, n: str) -> str:
+    """List of the shuffle's keys for the key text ``name`` over ``n`` ranks, one struct a round."""
+    word = "('0x' || substring(h, {}, 8))::BIGINT"
+    return (f"(SELECT list({{'m': {word.format(1)} % {n}, 'f': 1 + {word.format(9)} % {statistics.SHUFFLE_PRIME - 1}, 'd': {word.format(17)} % {statistics.SHUFFLE_PRIME}}} ORDER BY i) "
+            f"FROM (SELECT i, md5({name} || '|' || i) AS h FROM range({statistics.SHUFFLE_ROUNDS}) t(i)))")
+
+
+def shuffled_sql(table: str, columns: str) -> str:
+    """``table`` with (x, n, keys) after all rounds of the keyed shuffle; rounds are nested queries."""
+    image = "((keys[{i}].m - x + n) % n)"
+    out = f"(SELECT {columns}, n, keys, x FROM {table})"
+    for i in range(1, statistics.SHUFFLE_ROUNDS + 1):
+        y = f"((keys[{i}].f * greatest(x, {image.format(i=i)}) + keys[{i}].d) % {statistics.SHUFFLE_PRIME})"
+        out = f"(SELECT {columns}, n, keys, CASE WHEN ((({y} * {y} % {statistics.SHUFFLE_PRIME}) >> {statistics.SHUFFLE_BIT}) & 1) = 1 THEN {image.format(i=i)} ELSE x END AS x FROM {out})"
+    return out
+
+
+PERMUTATIONS = 20_000
+PERM_SQL = f"""WITH {CPS_SQL}, val AS (SELECT CASE WHEN same_cluster THEN 'within_cluster' WHEN same_group THEN 'between_clusters_same_group' ELSE 'between_groups' END AS category, raw_mean AS v FROM cps),
+    pr AS (SELECT * FROM (VALUES (0, 'within_cluster', 'between_clusters_same_group'), (1, 'within_cluster', 'between_groups'), (2, 'between_clusters_same_group', 'between_groups')) t(cmp, category_a, category_b)),
+    mem AS (SELECT cmp, v, category = category_a AS in_a, row_number() OVER (PARTITION BY cmp ORDER BY v) - 1 AS x FROM val JOIN pr ON category IN (category_a, category_b)),
+    tot AS (SELECT cmp, count(*) AS n, count(*) FILTER (in_a) AS n_a, count(*) FILTER (NOT in_a) AS n_b, coalesce(sum(v) FILTER (in_a), 0) AS sum_a, sum(v) AS sum_all FROM mem GROUP BY cmp HAVING n_a > 0 AND n_b > 0),
+    ky AS (SELECT cmp, perm, n, {shuffle_sql("'42|' || cmp || '|' || perm", 'n')} AS keys FROM tot, range({PERMUTATIONS}) p(perm)),
+    go AS (SELECT mem.cmp, perm, v, x, n, keys FROM mem JOIN ky ON ky.cmp = mem.cmp),
+    sm AS (SELECT s.cmp, perm, sum(v) FILTER (x < n_a) AS s FROM {shuffled_sql('go', 'cmp, perm, v')} s JOIN tot ON tot.cmp = s.cmp GROUP BY s.cmp, perm),
+    ht AS (SELECT sm.cmp, count(*) FILTER (abs(s / n_a - (sum_all - s) / n_b) >= abs(sum_a / n_a - (sum_all - sum_a) / n_b) - 1e-12) AS hits FROM sm JOIN tot ON tot.cmp = sm.cmp GROUP BY sm.cmp)
+    SELECT category_a, category_b, n_a, n_b, round(sum_a / n_a, 6) AS mean_a, round((sum_all - sum_a) / n_b, 6) AS mean_b, round(sum_a / n_a - (sum_all - sum_a) / n_b, 6) AS observed_mean_diff,
+    round((hits + 1) / {PERMUTATIONS + 1.0}, 8) AS p_value FROM pr JOIN tot ON tot.cmp = pr.cmp JOIN ht ON ht.cmp = pr.cmp"""
+
+
+@query("permutation_test", PERM_SQL)
 def permutation_test_q(spark, d):
     s = pair_summary(spark, d).withColumn("category", aggregate.relation_category(F.col("same_cluster"), F.col("same_group")))
     pairs = [("within_cluster", "between_clusters_same_group"), ("within_cluster", "between_groups"), ("between_clusters_same_group", "between_groups")]
-    return statistics.permutation_test(s, "category", "mean", pairs, 20_000)
+    out = statistics.permutation_test(s, "category", "mean", pairs, PERMUTATIONS)
+    return rounded(out, "mean_a", "mean_b", "observed_mean_diff").withColumn("p_value", F.round("p_value", 8))
 
 
 EVIDENCE_P = [U_SQL.format(id="(l_orderkey * 8 + l_linenumber)", seed=f"e{i}") for i in (1, 2)]
@@ -406,10 +437,21 @@ def rarefaction_q(spark, d):
     return out.withColumns({"expected_clusters": F.round("expected_clusters", 3), "fraction": r6("fraction")})
 
 
-@query("rarefaction_repeats")
+REPEATS = 500
+REPEAT_SQL = f"""WITH mem AS (SELECT concat_ws('|', source, lang) AS cluster FROM documents), n AS (SELECT count(*) AS n FROM mem),
+    g AS (SELECT k * (10 ** e)::BIGINT AS z FROM unnest([1, 2, 3, 5, 8]) a(k), range(18) b(e) UNION SELECT n FROM n),
+    rk AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS x FROM mem), ky AS (SELECT rep, n, {shuffle_sql("'42|' || rep", 'n')} AS keys FROM n, range(1, {REPEATS + 1}) r(rep)),
+    go AS (SELECT rep, cluster, x, n, keys FROM rk, ky), fs AS (SELECT rep, cluster, min(x) + 1 AS first FROM {shuffled_sql('go', 'rep, cluster')} GROUP BY rep, cluster),
+    fd AS (SELECT rep, z, count(*) FILTER (first <= z) AS d FROM fs, g, n WHERE z <= n.n GROUP BY rep, z)
+    SELECT z::BIGINT AS sample_size, round(avg(d), 6) AS mean_clusters, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM fd GROUP BY z"""
+
+
+@query("rarefaction_repeats", REPEAT_SQL)
 def rarefaction_repeats_q(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("|", "source", "lang").alias("cluster"))
-    return statistics.rarefaction_repeats(docs, "doc_id", "cluster", statistics.sample_grid(docs.count()), repeats=500)
+    docs = table(spark, d, "documents").select(F.concat_ws("|", "source", "lang").alias("cluster"))
+    sizes = aggregate.cluster_sizes(docs, "cluster")
+    total = sizes.agg(F.sum("members")).first()[0] or 0
+    return rounded(statistics.rarefaction_repeats(sizes, statistics.sample_grid(total), REPEATS), "mean_clusters", "lo", "hi")
 
 
 @query(

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import as_list, hash_key, hash_shard, ratio
+from ..functions import as_list, ratio
 from ..functions.stats import chi2_sf_even, log_choose
 from ..session import cut_lineage
-from .ordering import compute_partitions, rank_rows
+from .ordering import compute_partitions, ordered_scan
 
 
 def fisher_columns(p: str) -> list[Column]:
@@ -32,62 +34,86 @@ def fisher_combine(df: DataFrame, p: str, group=()) -> DataFrame:
     return out.select(*as_list(group), F.col(f"_k_{p}").alias("n_tests"), fisher_value(p).alias("p_combined"))
 
 
-def permutation_test(values: DataFrame, category: str, value: str, comparisons: list[tuple[str, str]], n_perm: int, seed: int = 42, block: int = 500, shard_values: int = 50_000) -> DataFrame:
+# Fixed values of the keyed shuffle: rounds, the prime of its bits, the bit that decides.
+SHUFFLE_ROUNDS, SHUFFLE_PRIME, SHUFFLE_BIT = 24, 2**31 - 1, 15
+#: Ranks and shuffles that one call of a kernel holds.
+PIECE_RANKS, SHUFFLES_AT_ONCE = 2048, 250
+
+
+def shuffle_keys(names: list[str], n: int) -> np.ndarray:
+    """(round, 3, shuffle): mirror, factor and addend of every round, from md5 of ``name|round``."""
+    out = np.empty((SHUFFLE_ROUNDS, 3, len(names)), np.int64)
+    for i in range(SHUFFLE_ROUNDS):
+        digests = [hashlib.md5(f"{name}|{i}".encode()).hexdigest() for name in names]
+        one, two, three = (np.array([int(d[j : j + 8], 16) for d in digests], np.int64) for j in (0, 8, 16))
+        out[i] = one % n, 1 + two % (SHUFFLE_PRIME - 1), three % SHUFFLE_PRIME
+    return out
+
+
+def shuffled_ranks(ranks: np.ndarray, n: int, keys: np.ndarray) -> np.ndarray:
+    """(shuffle, rank): where each of the ranks 0 .. n - 1 goes in each shuffle.
+
+    A swap-or-not shuffle: in a round a rank and its mirror image change places or
+    not, by a bit of the larger of the two. Every shuffle is a bijection for any n, and
+    the place of a rank is known without looking at the others, so no task needs
+    them together.
+    """
+    x = np.broadcast_to(ranks, (keys.shape[2], len(ranks))).copy()
+    for mirror, factor, addend in keys[:, :, :, None]:
+        image = (mirror - x) % n
+        y = (factor * np.maximum(x, image) + addend) % SHUFFLE_PRIME
+        x = np.where(y * y % SHUFFLE_PRIME >> SHUFFLE_BIT & 1 == 1, image, x)
+    return x
+
+
+def _rank_pieces(hist: DataFrame, keys: list[str], order: list[str], count: str) -> DataFrame:
+    """Runs of equal rows as pieces of at most PIECE_RANKS ranks: columns ``_from``, ``_upto``, ``_piece``."""
+    scanned = ordered_scan(hist, order, {"_end": F.col(count)}, keys).withColumn("_start", F.col("_end") - F.col(count))
+    first, last = F.floor(F.col("_start") / PIECE_RANKS), F.floor((F.col("_end") - 1) / PIECE_RANKS)
+    cut = scanned.filter(F.col(count) > 0).withColumn("_piece", F.explode(F.sequence(first, last)))
+    return cut.withColumns({"_from": F.greatest("_start", F.col("_piece") * PIECE_RANKS), "_upto": F.least("_end", (F.col("_piece") + 1) * PIECE_RANKS)}).drop("_start", "_end")
+
+
+def permutation_test(values: DataFrame, category: str, value: str, comparisons: list[tuple[str, str]], n_perm: int, seed: int = 42) -> DataFrame:
     """Two-sided label-shuffle test of a difference in means.
 
-    p = (count + 1) / (N + 1) with ``>=`` on absolute differences. A shuffled
-    group of n_a rows is a draw without replacement from the pooled values. The
-    pooled value histogram is cut into shards; for every permutation the n_a
-    places are first dealt to the shards (the same seeded draw in each task) and
-    each shard then draws its own part, so the result is an exact permutation
-    and no task holds more than one shard.
+    p = (count + 1) / (N + 1) with ``>=`` on absolute differences. The pooled values
+    of a comparison are ranked; a shuffle sends every rank to a place of its own, and
+    the first n_a places are the shuffled group. Places are computed rank by rank
+    from keys of (seed, comparison, shuffle), so pieces of ranks are summed apart, whatever their
+    number, and one seed gives one answer. Null values leave; a comparison without
+    rows on one side has no result.
     """
     spark = values.sparkSession
-    hist = cut_lineage(values.groupBy(category, value).agg(F.count("*").alias("n")))
+    hist = cut_lineage(values.filter(F.col(value).isNotNull()).groupBy(category, value).agg(F.count("*").alias("n")))
     pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(comparisons)], "cmp int, category_a string, category_b string")
     sides = pairs.select("cmp", F.explode(F.array(F.struct(F.col("category_a").alias(category), F.lit(1).alias("in_a")), F.struct(F.col("category_b").alias(category), F.lit(0).alias("in_a")))).alias("s")).select("cmp", "s.*")
-    member = hist.join(sides, category).groupBy("cmp", F.col(value).cast("double").alias("v")).agg(
+    member = cut_lineage(hist.join(sides, category).groupBy("cmp", F.col(value).cast("double").alias("v")).agg(
         F.sum("n").alias("n"), F.sum(F.col("n") * F.col("in_a")).alias("n_in_a")
-    )
-    shards = member.groupBy("cmp").agg(
-        F.ceil(F.count("*") / shard_values).cast("int").alias("_ns"),
+    ))
+    totals = member.groupBy("cmp").agg(
         F.sum("n_in_a").alias("n_a"), (F.sum("n") - F.sum("n_in_a")).alias("n_b"),
         F.sum(F.col("v") * F.col("n_in_a")).alias("sum_a"), F.sum(F.col("v") * F.col("n")).alias("sum_all"),
     )
-    member = member.join(shards.select("cmp", "_ns", "n_a"), "cmp").withColumn("_sh", F.pmod(F.xxhash64("v"), "_ns").cast("int"))
-    loads = member.groupBy("cmp", "_sh").agg(F.sum("n").alias("_m"))
-    listed = F.array_sort(F.collect_list(F.struct("_sh", "_m")))  # one entry per shard
-    loads = loads.groupBy("cmp").agg(listed.alias("_l")).select(
-        "cmp", F.transform("_l", lambda x: x["_sh"]).alias("_ids"), F.transform("_l", lambda x: x["_m"]).alias("_sizes")
-    )
-    blocks = (n_perm + block - 1) // block
-    spread = member.join(loads, "cmp").withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        cmp_, blk, shard, n_a = int(one["cmp"]), int(one["_blk"]), int(one["_sh"]), int(one["n_a"])
-        runs = min(block, n_perm - blk * block)
-        ids, sizes = list(one["_ids"]), np.asarray(one["_sizes"], dtype=np.int64)
-        dealt = np.random.default_rng([seed, cmp_, blk]).multivariate_hypergeometric(sizes, n_a, size=runs, method="marginals")
-        mine = dealt[:, ids.index(shard)]
-        pdf = pdf.sort_values("v")
-        v, n = pdf["v"].to_numpy(), pdf["n"].to_numpy().astype(np.int64)
-        rng = np.random.default_rng([seed, cmp_, blk, shard])
-        if n.sum() <= shard_values:  # random keys, then the first m of each permutation
-            vv = np.repeat(v, n)
-            order = np.argsort(rng.random((runs, len(vv))), axis=1)
-            run = np.concatenate([np.zeros((runs, 1)), np.cumsum(vv[order], axis=1)], axis=1)
-            sums = run[np.arange(runs), mine]
-        else:
-            sums = [float(rng.multivariate_hypergeometric(n, int(m), method="marginals") @ v) for m in mine]
-        return pd.DataFrame({"cmp": cmp_, "perm": blk * block + np.arange(runs), "part": sums})
-
-    parts = compute_partitions(spread, "cmp", "_blk", "_sh").groupBy("cmp", "_blk", "_sh").applyInPandas(draw, "cmp int, perm long, part double")
-    perm = parts.groupBy("cmp", "perm").agg(F.sum("part").alias("s")).join(shards, "cmp")
+    totals = cut_lineage(totals.filter("n_a > 0 and n_b > 0"))
+    pieces = _rank_pieces(member.join(totals.select("cmp", "n_a", (F.col("n_a") + F.col("n_b")).alias("_n")), "cmp"), ["cmp"], ["v"], "n")
+    spread = pieces.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // SHUFFLES_AT_ONCE))))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        cmp_, blk, n, n_a = (int(pdf[c].iloc[0]) for c in ("cmp", "_blk", "_n", "n_a"))
+        perms = np.arange(blk * SHUFFLES_AT_ONCE, min((blk + 1) * SHUFFLES_AT_ONCE, n_perm))
+        pdf = pdf.sort_values("_from")
+        ranks = np.concatenate([np.arange(a, b) for a, b in zip(pdf["_from"], pdf["_upto"])])
+        v = np.repeat(pdf["v"].to_numpy(), (pdf["_upto"] - pdf["_from"]).to_numpy())
+        places = shuffled_ranks(ranks, n, shuffle_keys([f"{seed}|{cmp_}|{p}" for p in perms], n))
+        return pd.DataFrame({"cmp": cmp_, "perm": perms, "part": (places < n_a) @ v})
+
+    parts = compute_partitions(spread, "cmp", "_blk", "_piece").groupBy("cmp", "_blk", "_piece").applyInPandas(sums, "cmp int, perm long, part double")
+    perm = parts.groupBy("cmp", "perm").agg(F.sum("part").alias("s")).join(totals, "cmp")
     diff = F.abs(F.col("s") / F.col("n_a") - (F.col("sum_all") - F.col("s")) / F.col("n_b"))
     mean_a, mean_b = F.col("sum_a") / F.col("n_a"), (F.col("sum_all") - F.col("sum_a")) / F.col("n_b")
     hits = perm.groupBy("cmp").agg(F.count_if(diff >= F.abs(mean_a - mean_b) - 1e-12).alias("hits"))
-    out = pairs.join(shards, "cmp").join(hits, "cmp")
+    out = pairs.join(totals, "cmp").join(hits, "cmp")
     return out.select(
         "category_a", "category_b", "n_a", "n_b", mean_a.alias("mean_a"), mean_b.alias("mean_b"),
         (mean_a - mean_b).alias("observed_mean_diff"), ((F.col("hits") + 1) / F.lit(n_perm + 1.0)).alias("p_value"),
@@ -194,17 +220,31 @@ def rarefaction_expected(sizes: DataFrame, samples: list[int]) -> DataFrame:
     return out.withColumn("total_clusters", clusters).withColumn("fraction", F.col("expected_clusters") / F.col("total_clusters"))
 
 
-def rarefaction_repeats(members: DataFrame, ident: str, cluster: str, samples: list[int], repeats: int, seed: int = 42) -> DataFrame:
+def rarefaction_repeats(sizes: DataFrame, samples: list[int], repeats: int, seed: int = 42) -> DataFrame:
     """(sample_size, mean, lo, hi): distinct clusters of repeated random samples.
 
-    In each repeat the rows are ranked by a seeded hash; a sample of size n is
-    the first n ranks, so all sizes share one ranking and a cluster is found
-    when its first rank is within n.
+    ``sizes`` is (cluster, members). A cluster owns as many ranks as it has members; a
+    repeat is a keyed shuffle of all ranks, a sample of size n its first n places, and a
+    cluster is found when its first place is within n. Rows are never repeated: pieces of
+    ranks give their least place in each repeat, and these are counted.
     """
-    rows = members.select(ident, cluster).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    rows = rows.withColumn("_key", hash_key(F.concat_ws("|", F.col(ident).cast("string"), F.col("_rep").cast("string")), seed))
-    ranked = rank_rows(rows, ["_key", ident], ["_rep"], "_rn", hash_shard(F.col("_key")))
-    seen = ranked.groupBy("_rep", cluster).agg(F.min("_rn").alias("_first"))
+    rows = cut_lineage(sizes.select(F.col("cluster").cast("string").alias("cluster"), "members"))
+    n = rows.agg(F.sum("members")).scalar()
+    pieces = _rank_pieces(rows.withColumn("_n", n), [], ["cluster"], "members")
+    spread = pieces.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit((repeats - 1) // SHUFFLES_AT_ONCE))))
+
+    def firsts(pdf: pd.DataFrame) -> pd.DataFrame:
+        blk, n = int(pdf["_blk"].iloc[0]), int(pdf["_n"].iloc[0])
+        reps = np.arange(blk * SHUFFLES_AT_ONCE, min((blk + 1) * SHUFFLES_AT_ONCE, repeats)) + 1
+        pdf = pdf.sort_values("_from")
+        ranks = np.concatenate([np.arange(a, b) for a, b in zip(pdf["_from"], pdf["_upto"])])
+        places = shuffled_ranks(ranks, n, shuffle_keys([f"{seed}|{r}" for r in reps], n))
+        starts = np.cumsum(pdf["_upto"] - pdf["_from"]) - (pdf["_upto"] - pdf["_from"])
+        least = np.minimum.reduceat(places, starts.to_numpy(), axis=1)
+        return pd.DataFrame({"cluster": np.tile(pdf["cluster"].to_numpy(), len(reps)), "_rep": np.repeat(reps, len(pdf)), "_first": least.ravel() + 1})
+
+    kernel = compute_partitions(spread, "_blk", "_piece").groupBy("_blk", "_piece").applyInPandas(firsts, "cluster string, _rep long, _first long")
+    seen = kernel.groupBy("_rep", "cluster").agg(F.min("_first").alias("_first"))
     grid = seen.withColumn("sample_size", _explode_sizes(samples))
     found = grid.groupBy("_rep", "sample_size").agg(F.count_if(F.col("_first") <= F.col("sample_size")).alias("_d"))
     return found.groupBy("sample_size").agg(  # one row per repeat

@@ -89,17 +89,31 @@ def test_block_quotas_sum():
     assert sum(q for _, q in sampling.block_quotas(1003, 250, 100)) == 250
 
 
-def test_permutation_against_enumeration(spark):
+def test_permutation_against_enumeration(spark, monkeypatch):
     a, b = [1.0, 2.0, 4.0, 7.0], [3.0, 8.0, 9.0, 9.0]
     df = spark.createDataFrame([("a", v) for v in a] + [("b", v) for v in b], "cat string, v double")
     pool, obs = a + b, abs(np.mean(a) - np.mean(b))
     hits = [abs(np.mean([pool[i] for i in s]) - np.mean([pool[i] for i in range(8) if i not in s])) >= obs - 1e-12 for s in itertools.combinations(range(8), 4)]
-    for shard in (50_000, 3):  # one shard, then several
-        got = statistics.permutation_test(df, "cat", "v", [("a", "b")], 4000, shard_values=shard).first()
+    first = None
+    for piece in (2048, 3):  # one piece of ranks, then several: the same shuffles
+        monkeypatch.setattr(statistics, "PIECE_RANKS", piece)
+        got = statistics.permutation_test(df, "cat", "v", [("a", "b"), ("a", "none")], 4000).collect()
+        assert len(got) == 1 and (first := first or got) == got
+        got = got[0]
         assert got["p_value"] == pytest.approx(np.mean(hits), abs=0.03)
         assert got["observed_mean_diff"] == pytest.approx(np.mean(a) - np.mean(b))
 
 
+def test_shuffles_are_bijections_and_even():
+    for n in (1, 2, 7, 100):
+        keys = statistics.shuffle_keys([f"s{i}" for i in range(400)], n)
+        places = statistics.shuffled_ranks(np.arange(n), n, keys)
+        assert (np.sort(places, axis=1) == np.arange(n)).all()
+    seen = np.bincount(places[:, 0], minlength=100)  # rank 0 goes everywhere: chi-square of 99 degrees
+    assert ((seen - 4) ** 2 / 4).sum() < 150
+    assert abs(np.corrcoef(places[:, 3], places[:, 4])[0, 1]) < 0.2
+
+
 def test_fisher_and_chi_square_tails(spark):
     df = spark.createDataFrame([(1, 0.01), (1, 0.2), (1, None), (2, None)], "g int, p double")
     got = {r["g"]: r["p_combined"] for r in statistics.fisher_combine(df, "p", ["g"]).collect()}
@@ -114,7 +128,7 @@ def test_rarefaction_forms_agree(spark):
     df = spark.createDataFrame([(i, f"c{int(math.sqrt(i))}") for i in range(120)], "id long, cluster string")
     sizes = df.groupBy("cluster").agg(F.count("*").alias("members"))
     exact = {r["sample_size"]: r["expected_clusters"] for r in statistics.rarefaction_expected(sizes, [10, 40, 120]).collect()}
-    drawn = {r["sample_size"]: r for r in statistics.rarefaction_repeats(df, "id", "cluster", [10, 40, 120], 200).collect()}
+    drawn = {r["sample_size"]: r for r in statistics.rarefaction_repeats(sizes, [10, 40, 120], 200).collect()}
     assert exact[120] == pytest.approx(11)
     for n in (10, 40, 120):
         assert drawn[n]["mean_clusters"] == pytest.approx(exact[n], abs=0.4) and drawn[n]["lo"] <= drawn[n]["mean_clusters"] <= drawn[n]["hi"]
