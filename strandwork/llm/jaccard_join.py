@@ -12,10 +12,9 @@ wrong a price: first the shingles of least hash, a share of each set that is
 larger than what similar sets may differ in, tell which sets have enough in
 common with others at all; shingles are counted among those sets alone.
 
-Texts with equal sets are one class. Inside a list, classes are first compared
-with a hub; of those that hubs have not joined, only sets that share one of their
-rarest shingles are compared, so a group of many near copies never is expanded
-into all of its pairs.
+Texts with equal sets are one class. Classes that lists connect are compared by
+their differences from what most of them hold, which are short, so a group of many
+near copies never is expanded into all of its pairs.
 """
 
 from __future__ import annotations
@@ -43,8 +42,6 @@ MOST_LIGHT = 32
 SCAN_COST = 4
 #: Row numbers that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
-#: Hubs go on while they join more than one in so many sets that they meet.
-FRUITFUL = 20
 
 
 @dataclass(frozen=True)
@@ -236,79 +233,116 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return _sided(possible, sets, ["set"]).mapInArrow(run, "a long, b long, shared long, n long, m long")
 
 
-def _links(lists: DataFrame, sets: DataFrame, rule: Rule, every: bool = False) -> list[DataFrame]:
-    """Links (a, b) between classes: enough to join all that are linked, or with ``every`` all of them.
+def _compared(left: DataFrame, sets: DataFrame, rule: Rule, every: bool = False) -> DataFrame:
+    """Links (a, b) between the rows of ``left`` (key, _row, place, slack, comp) that share a
+    list and, but with ``every``, lie in two components.
 
-    Two sets that meet in a list with the slack used up do not link there, if that is
-    the first shingle they share; so one of them has slack left, and lists of sets
-    without are not looked at. In a round every set meets one hub. Rounds go on while
-    hubs join many of those they meet; what is left is compared in full, each pair
-    once, at the first shingle that both look at.
+    Each pair meets once, at the first key that both look at, and only where slack is
+    left there; so one of the two has slack of its own.
     """
-    links: list[DataFrame] = []
-    turn, fruitful = 0, not every
-    while fruitful:
-        left = _open_lists(lists, links)
-        salted = F.xxhash64("_row", F.lit(turn))
-        hub = left.filter("slack >= 0").groupBy("key").agg(F.min_by(F.struct("_row", "comp", "slack"), salted).alias("hub"))
-        met = left.join(hub, "key").filter("comp <> hub.comp and slack + hub.slack >= 0")
-        pairs = cut_lineage(met.groupBy(F.col("_row").alias("b")).agg(F.min_by("hub._row", F.xxhash64("hub._row", F.lit(turn))).alias("a")).select("a", "b"))
-        found = cut_lineage(_verified(pairs, sets, rule).select("a", "b"))
-        fruitful = found.count() * FRUITFUL > pairs.count()
-        links.append(found)
-        free_shuffles(lists.sparkSession)
-        turn += 1
-    left = _open_lists(lists, links)
     earlier = F.collect_list("key").over(Window.partitionBy("_row").orderBy("place", "key").rowsBetween(Window.unboundedPreceding, -1))
-    left = cut_lineage(left.withColumn("earlier", earlier))  # one set's own shingles, as many as it looks at
+    left = cut_lineage(left.withColumn("earlier", earlier))  # one set's own keys, as many as it looks at
     one = left.filter("slack >= 0").select("key", *[F.col(c).alias(f"{c}_a") for c in ("_row", "comp", "slack", "earlier")])
     two = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("_row", "comp", "slack", "earlier")])
     once = F.expr("slack_a + slack_b >= 0 and (slack_b < 0 or _row_a < _row_b) and not arrays_overlap(earlier_a, earlier_b)")
     apart = F.col("_row_a") != F.col("_row_b") if every else F.col("comp_a") != F.col("comp_b")
     rest = one.join(two, (one["key"] == two["key"]) & apart & once)
     rest = rest.select(F.least("_row_a", "_row_b").alias("a"), F.greatest("_row_a", "_row_b").alias("b")).distinct()
-    links.append(cut_lineage(_verified(rest, sets, rule).select("a", "b")))
-    free_shuffles(lists.sparkSession)
-    return links
+    found = cut_lineage(_verified(rest, sets, rule).select("a", "b"))
+    drop_table(left)
+    return found
 
 
-def _rarest(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(key, _row, place, slack): inverted lists of the rarest shingles of ``sets`` (_row, set).
+def _links(lists: DataFrame, sets: DataFrame, rule: Rule) -> list[DataFrame]:
+    """Links (a, b) between classes, enough to join all that are linked.
 
-    A set of n links only if it shares ``rule.least(n)`` shingles, so one of its
-    n - least + 1 rarest is shared, and of both sets it is among the rarest. What
-    is found in one set alone stands first and never meets anything: a text
-    with many words of its own has no list left to be scanned.
-
-    If two sets share no rarer shingle, all that stands before this one in either is
-    part of their difference, and so is bounded by ``slack``: two sets link only
-    where theirs add up to 0 or more.
+    Sets that lists connect are one group. Inside it every set is written as its
+    difference from what most of the group hold. The difference of two sets is that of
+    their differences, so two that add up to no more than a link allows are linked
+    without a look, and the set with the most room to spare joins all of those. Any
+    other two that link share an element of their differences, which are short and
+    of rare elements where the sets are alike: these are the lists that are compared.
     """
+    rows = _differences(lists, sets)
+    spare = F.col("n") * (rule.den - rule.num) - F.col("size") * (rule.num + rule.den)
+    rows = cut_lineage(rows.withColumn("spare", spare))
+    first = rows.groupBy("g").agg(F.max_by(F.struct("_row", "spare"), F.struct("spare", -F.col("_row"))).alias("core"))
+    sure = cut_lineage(rows.join(_near_at_hand(first), "g").filter("_row <> core._row and spare + core.spare >= 0").select(F.col("core._row").alias("a"), F.col("_row").alias("b")))
+    reach = F.floor(F.col("n") * (rule.den - rule.num) / rule.num)
+    short = cut_lineage(_rarest(rows.select("_row", "n", "g", "set"), rule, reach))
+    rest = _compared(_open_lists(short, sure), sets, rule)
+    drop_table(rows, short)
+    return [sure, rest]
+
+
+def _cells(sets: DataFrame) -> DataFrame:
+    """(key, _row, n, g): one row per element; elements of two groups ``g`` are different keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                values = np.frombuffer(batch.column("set")[i].as_buffer(), np.int64)
-                n, row = len(values), batch.column("_row")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(values), *(pa.array(np.full(n, x, np.int64)) for x in (row, n))], ["key", "_row", "n"])
+                values, group = np.frombuffer(batch.column("set")[i].as_buffer(), np.uint64), batch.column("g")[i].as_py()
+                if group:
+                    values = mix(values ^ mix(np.array([group], np.int64).view(np.uint64)))
+                rest = (np.full(len(values), batch.column(c)[i].as_py(), np.int64) for c in ("_row", "n", "g"))
+                yield pa.RecordBatch.from_arrays([pa.array(as_long(values)), *map(pa.array, rest)], ["key", "_row", "n", "g"])
+
+    return sets.select("_row", "n", "g", "set").mapInArrow(run, "key long, _row long, n long, g long")
+
+
+def _differences(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(_row, n, g, size, set): the group of every set in a list, and its elements that most of
+    the group do not hold with those of the most that it does not hold."""
+    hub = lists.groupBy("key").agg(F.min("_row").alias("b"), F.max("_row").alias("top"), F.max("slack").alias("most")).filter("b <> top and most >= 0").select("key", "b")
+    group = components(lists.join(hub, "key").select(F.col("_row").alias("a"), "b").filter("a <> b").distinct())
+    # Group numbers are rows plus one: 0 stands for no group.
+    mine = cut_lineage(sets.join(group.select(F.col("node").alias("_row"), (F.col("comp") + 1).alias("g")), "_row"))
+    whole = mine.groupBy("g").agg(F.count("*").alias("members"))
+    held = mine.select("_row", "n", F.lit(0).cast("long").alias("g"), "set")
+    held = _cells(held).select("key", "_row").join(mine.select("_row", "g"), "_row").groupBy("g", "key").agg(F.count("*").alias("c"))
+    # No more than twice the mean size of a group's sets; one row per group.
+    most = cut_lineage(held.join(_near_at_hand(whole), "g").filter("2 * c > members").groupBy("g").agg(F.collect_list("key").alias("most")))
+    cells = most.agg(F.sum(F.size("most"))).first()[0] or 0
+    joined = mine.join(F.broadcast(most) if cells <= BROADCAST_ROWS else most, "g", "left")
 
-    cells = sets.select("_row", "set").mapInArrow(run, "key long, _row long, n long").repartition("key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                values, most = np.frombuffer(batch.column("set")[i].as_buffer(), np.uint64), batch.column("most")[i].values
+                most = np.zeros(0, np.uint64) if most is None else most.to_numpy(zero_copy_only=False).view(np.uint64)
+                out.append(np.setxor1d(values, most, assume_unique=True))
+            sizes = pa.array([len(x) for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_row", "n", "g")), sizes, pa.array([x.tobytes() for x in out], pa.binary())], ["_row", "n", "g", "size", "set"])
+
+    return joined.select("_row", "n", "g", "set", "most").mapInArrow(run, "_row long, n long, g long, size long, set binary")
+
+
+def _rarest(sets: DataFrame, rule: Rule, reach) -> DataFrame:
+    """(key, _row, place, slack): inverted lists of the rarest elements of ``sets`` (_row, n, g, set).
+
+    ``reach`` bounds how many elements of a set may stand before the first that it
+    shares with one it links to. Elements are looked at from the rarest on, so what is
+    found in one set alone stands first and never meets anything: a text with many words of
+    its own has no list left to be scanned.
+
+    If two sets share no rarer element, all that stands before this one in either is
+    part of their difference, and so is bounded by ``slack``: two sets link only
+    where theirs add up to 0 or more.
+    """
+    cells = _cells(sets).withColumn("held", F.count("*").over(Window.partitionBy("_row"))).repartition("key")
     often = cells.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     shared = cells.join(often, "key")
-    per_row = Window.partitionBy("_row")  # one text's own shingles
-    alone = F.col("n") - F.count("*").over(per_row)
-    budget = F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1 - alone
-    placed = shared.withColumns({"place": F.row_number().over(per_row.orderBy("df", "key")), "budget": budget})
-    before = F.col("place") - 1 + F.col("n") - F.count("*").over(per_row)
-    slack = F.col("n") * (rule.den - rule.num) - before * (rule.num + rule.den)
-    return placed.withColumn("slack", slack).filter("place <= budget").select("key", "_row", "place", "slack")
+    per_row = Window.partitionBy("_row")  # one text's own elements
+    before = F.row_number().over(per_row.orderBy("df", "key")) - 1 + F.col("held") - F.count("*").over(per_row)
+    placed = shared.withColumns({"before": before, "reach": reach}).filter("before <= reach")
+    slack = F.col("n") * (rule.den - rule.num) - F.col("before") * (rule.num + rule.den)
+    return placed.select("key", "_row", F.col("before").cast("int").alias("place"), slack.alias("slack"))
 
 
-def _open_lists(lists: DataFrame, links: list[DataFrame]) -> DataFrame:
+def _open_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
     """(key, _row, place, slack, comp) of the lists that may still join two components."""
-    if not links:
-        links = [lists.select(F.col("_row").alias("a"), F.col("_row").alias("b")).limit(0)]
-    comp = components(_union(links)).select(F.col("node").alias("_row"), "comp")
+    comp = components(links).select(F.col("node").alias("_row"), "comp")
     named = lists.join(comp, "_row", "left").select("key", "_row", "place", "slack", F.coalesce("comp", "_row").alias("comp"))
     mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("slack").alias("most")).filter("lo <> hi and most >= 0").select("key")
     return cut_lineage(named.join(mixed, "key", "left_semi"))
@@ -347,7 +381,8 @@ def _classes(numbered: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, lis
     both = cut_lineage(heavy.unionAll(light.select("_row")).distinct())
     sets = cut_lineage(_candidate_sets(numbered.select("_row", "text").join(_near_at_hand(both), "_row", "left_semi"), rule))
     free_shuffles(numbered.sparkSession)
-    lists = cut_lineage(_rarest(sets.join(_near_at_hand(heavy), "_row", "left_semi"), rule).unionAll(light))
+    long = sets.join(_near_at_hand(heavy), "_row", "left_semi").select("_row", "n", F.lit(0).cast("long").alias("g"), "set")
+    lists = cut_lineage(_rarest(long, rule, F.col("n") - F.ceil(F.col("n") * rule.num / rule.den)).unionAll(light))
     drop_table(met, heavy, both)
     return member, lists, sets
 
@@ -374,7 +409,7 @@ def jaccard_pairs(docs: DataFrame, rule: Rule, row: str = "_row") -> tuple[DataF
     between two classes' first rows. Copies are not expanded into pairs."""
     numbered = docs.select(F.col(row).alias("_row"), text_of("text").alias("text"))
     member, lists, sets = _classes(numbered, rule)
-    return member.withColumnRenamed("_row", row), _links(lists, sets, rule, every=True)[0]
+    return member.withColumnRenamed("_row", row), _compared(lists.withColumn("comp", F.col("_row")), sets, rule, every=True)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), ident: str = "doc_id", text: str = "text") -> DataFrame:
