@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_list, ratio
+from ..session import cut_lineage
 from . import checks
 
 
@@ -66,18 +67,39 @@ def anti_join(a: DataFrame, b: DataFrame, key) -> DataFrame:
     return a.join(b, key, "left_anti")
 
 
+#: Points of one bin that are matched by one task; fuller bins are dealt out.
+BIN_POINTS = 1_000_000
+#: Bins that can be dealt out at most, at each level: none holds less than this part of all points.
+HOT_PARTS = 1_000
+
+
 def interval_join(points: DataFrame, at: str, intervals: DataFrame, start: str, end: str, width: int, group=()) -> DataFrame:
-    """Points with start <= at < end, as an equi-join on buckets of ``width``.
+    """Points with start <= at < end, as an equi-join on nested bins.
 
-    An interval is copied once per bucket it touches; empty intervals touch
-    none and so own no point.
+    An interval lies in the bins of its own level, whose width is the least of ``width``
+    times a power of two that is no less than its length: two bins at most, however long
+    it is. A point asks its bin at each level that is in use. Bins that hold many
+    points are dealt out over salts, and their intervals go to each. Empty intervals own no point.
     """
     group = as_list(group)
-    spans = intervals.filter(F.col(start) < F.col(end)).withColumn(
-        "_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width)))
-    )
-    hits = points.withColumn("_b", F.floor(F.col(at) / width)).join(spans, [*group, "_b"])
-    return hits.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_b")
+    length = (F.col(end) - F.col(start)).cast("double") / F.lit(float(width))
+    spans = intervals.filter(F.col(start) < F.col(end)).withColumn("_l", F.greatest(F.ceil(F.log2(length)), F.lit(0)).cast("int"))
+    levels = sorted(r._l for r in spans.select("_l").distinct().collect())  # no more than bits in a number
+    size = F.pow(F.lit(2.0), F.col("_l")) * width
+    spans = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / size), F.ceil(F.col(end) / size) - 1)))
+    used = F.array(*[F.lit(x) for x in levels]).cast("array<int>")
+    probes = points.withColumn("_l", F.explode(used)).withColumn("_b", F.floor(F.col(at) / size))
+    keys = [*group, "_l", "_b"]
+    counts = cut_lineage(probes.groupBy(*keys).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = counts.filter(F.col("_n") > max(BIN_POINTS, total // HOT_PARTS)).withColumn("_s", F.ceil(F.col("_n") / BIN_POINTS).cast("int")).drop("_n")
+    if not hot.isEmpty():
+        hot = F.broadcast(hot)  # HOT_PARTS rows a level
+        probes = probes.join(hot, keys, "left").withColumn("_s", F.pmod(F.xxhash64(*points.columns), F.coalesce("_s", F.lit(1))).cast("int"))
+        spans = spans.join(hot, keys, "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1)))
+        keys = [*keys, "_s"]
+    hits = probes.join(spans, keys)
+    return hits.filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_l", "_b", "_s")
 
 
 def pair_join(df: DataFrame, ident: str, group=(), block_rows: int = 2000, columns=()) -> DataFrame:
@@ -116,27 +138,68 @@ def _distance(p: str, q: str) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(f"{p}{c}") - F.col(f"{q}{c}"), 2) for c in "xyz"]))
 
 
-def _grid_pairs(a: DataFrame, b: DataFrame, r: float, group: list[str]) -> DataFrame:
-    """Rows of ``a`` (a_*) with rows of ``b`` (b_*) in the 27 cells around them."""
-    shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(c) for c, s in zip("xyz", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    left = a.select(*group, *[F.col(c).alias(f"a_{c}") for c in a.columns if c not in group]).withColumn("_s", F.explode(shifts))
-    left = left.withColumns({f"_c{c}": _cell(F.col(f"a_{c}"), r) + F.col(f"_s.{c}") for c in "xyz"}).drop("_s")
-    right = b.select(*group, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in group])
-    right = right.withColumns({f"_c{c}": _cell(F.col(f"b_{c}"), r) for c in "xyz"})
-    met = left.join(right, [*group, "_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
+#: Rows of a cell that one task takes from either side.
+CELL_ROWS = 2_000
+#: Cells with more rows than that whose list is broadcast at most; more are joined by shuffle.
+BROADCAST_CELLS = 500_000
+_AXES = ["_cx", "_cy", "_cz"]
+# The neighbours of a cell; half of them, with the cell itself, reach every pair of cells once.
+AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+FORWARD = [s for s in AROUND if s >= (0, 0, 0)]
+
+
+def _in_blocks(points: DataFrame, r: float, group: list[str], ident: str) -> tuple[DataFrame, DataFrame]:
+    """(points with their cell and their block of it, (cell, blocks) of cells that have several)."""
+    placed = points.withColumns({a: _cell(F.col(c), r) for a, c in zip(_AXES, "xyz")})
+    full = placed.groupBy(*group, *_AXES).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("_n")).filter("_n > 1")
+    full = cut_lineage(full)
+    near = F.broadcast(full) if full.count() <= BROADCAST_CELLS else full
+    dealt = placed.join(near, [*group, *_AXES], "left")
+    return dealt.withColumn("_own", F.pmod(F.xxhash64(ident), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n"), near
+
+
+def _grid_pairs(a: DataFrame, b: DataFrame, r: float, group: list[str], shifts: list[tuple[int, int, int]], ident: str) -> DataFrame:
+    """Rows of ``a`` (a_*) with rows of ``b`` (b_*) within ``r`` in the cells at ``shifts`` from theirs.
+
+    A full cell is dealt into blocks, and a block of one cell meets a block of the other
+    under a key of its own, so a dense cell becomes many pieces of bounded size.
+    """
+    left, blocks_a = _in_blocks(a, r, group, ident)
+    right, blocks_b = (left, blocks_a) if a is b else _in_blocks(b, r, group, ident)
+    every = F.array(*[F.struct(*[F.lit(s).cast("long").alias(c) for c, s in zip(_AXES, shift)]) for shift in shifts])
+
+    def sided(rows: DataFrame, prefix: str, sign: int, others: DataFrame, own: str, other: str) -> DataFrame:
+        """Rows under (cell of ``a``, shift, block of either side)."""
+        cells = rows.select(*group, *_AXES, F.col("_own").alias(own), *[F.col(c).alias(f"{prefix}{c}") for c in rows.columns if c not in [*group, *_AXES, "_own"]])
+        cells = cells.withColumn("_s", F.explode(every)).withColumns({f"_t{c}": F.col(c) + sign * F.col(f"_s.{c}") for c in _AXES})
+        there = others.select(*group, *[F.col(c).alias(f"_t{c}") for c in _AXES], "_n")
+        cells = cells.join(there, [*group, *[f"_t{c}" for c in _AXES]], "left")
+        cells = cells.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+        home = _AXES if sign > 0 else [f"_t{c}" for c in _AXES]
+        return cells.withColumns({f"_k{c}": F.col(h) for c, h in zip(_AXES, home)}).drop(*_AXES, *[f"_t{c}" for c in _AXES])
+
+    one, two = sided(left, "a_", 1, blocks_b, "_ba", "_bb"), sided(right, "b_", -1, blocks_a, "_bb", "_ba")
+    keys = [*group, *[f"_k{c}" for c in _AXES], "_s", "_ba", "_bb"]
+    met = one.join(two, keys)
+    inside = F.forall(F.array(*[F.col("_s")[c] for c in _AXES]), lambda v: v == 0)
+    met = met.withColumn("_same", inside).drop(*keys[len(group):])
     return met.withColumn("dist", _distance("a_", "b_")).filter(F.col("dist") <= r)
 
 
 def contact_pairs(points: DataFrame, r: float, group=(), chain: str = "chain", index: str = "label_seq", backbone: int = 2, ident: str = "id") -> DataFrame:
-    """Pairs within ``r``; same-chain neighbours up to ``backbone`` apart leave."""
-    near = _grid_pairs(points, points, r, as_list(group)).filter(F.col(f"a_{ident}") < F.col(f"b_{ident}"))
+    """Pairs within ``r``; same-chain neighbours up to ``backbone`` apart leave.
+
+    A pair of cells meets once: each cell looks at itself and at half of its neighbours.
+    """
+    a, b = F.col(f"a_{ident}"), F.col(f"b_{ident}")
+    near = _grid_pairs(points, points, r, as_list(group), FORWARD, ident).filter(F.when(F.col("_same"), a < b).otherwise(a != b))
     close = (F.col(f"a_{chain}") == F.col(f"b_{chain}")) & (F.abs(F.col(f"a_{index}") - F.col(f"b_{index}")) <= backbone)
-    return near.filter(~close).select(*as_list(group), F.col(f"a_{ident}").alias("id1"), F.col(f"b_{ident}").alias("id2"), "dist")
+    return near.filter(~close).select(*as_list(group), F.least(a, b).alias("id1"), F.greatest(a, b).alias("id2"), "dist")
 
 
 def nearest_within(points: DataFrame, reference: DataFrame, r: float, group=(), ident: str = "id") -> DataFrame:
     """Smallest distance of each point to the reference set, if within ``r``."""
-    near = _grid_pairs(points, reference, r, as_list(group))
+    near = _grid_pairs(points, reference, r, as_list(group), AROUND, ident)
     return near.groupBy(*as_list(group), F.col(f"a_{ident}").alias(ident)).agg(F.min("dist").alias("dist"))
 
 
