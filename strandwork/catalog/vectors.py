@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import r6
 from ..functions.vectors import l2_normalize, pad_to_multiple
 from ..operators import encoding, neighbours
+from ..session import scratch_folder
 from .registry import query, table
 
 K = 20
@@ -144,6 +145,29 @@ def ivf_search_q(spark, d):
     return neighbours.search_cells(q, cells, centers, 10, PROBES).select("query_id", "rank", "ref_id", r6("sim").alias("sim"))
 
 
+def fitted_index(spark, d):
+    q, r = sides(spark, d)
+    path = scratch_folder(spark, "index")
+    neighbours.build_index(r, path, CELLS)
+    return q, r, neighbours.read_index_rows(spark, path, r), spark.read.parquet(f"{path}/cells")
+
+
+@query("index_search", f"WITH {knn_sql(10)} SELECT query_id, rank::INT AS rank, ref_id, round(sim, 6) AS sim FROM knn")
+def index_search_q(spark, d):
+    q, _, rows, cells = fitted_index(spark, d)
+    return neighbours.search_index(q, rows, cells, 10, 2).select("query_id", "rank", "ref_id", r6("sim").alias("sim"))
+
+
+@query("ivf_recall")
+def ivf_recall_q(spark, d):
+    """Recall of the nearest PROBES fitted cells alone, for every twentieth vector."""
+    q, r, rows, cells = fitted_index(spark, d)
+    asked = q.filter("query_id % 20 = 0")
+    centers = np.array([c.centre for c in cells.orderBy("cell").collect()])
+    found = neighbours.search_cells(asked, rows, centers, 10, PROBES)
+    return neighbours.recall_at_k(found, neighbours.exact_cosine_topk(asked, r, 10)).withColumn("recall", r6("recall"))
+
+
 # Encoder weights of the checkable form: W(i, j) = sin(7 i + 13 j), no bias,
 # centre 0.1, scale 2, clip to [-3, 3].
 D_IN, D_DICT, TOPK = 64, 96, 8

@@ -7,14 +7,19 @@ from pyspark.sql import DataFrame
 from ..operators import neighbours
 
 
-def transfer_labels(queries: DataFrame, refs: DataFrame, labels: DataFrame, k: int = 20, level: str = "sequence", nlist: int | None = None, nprobe: int = 8) -> DataFrame:
+def transfer_labels(queries: DataFrame, refs: DataFrame, labels: DataFrame, k: int = 20, level: str = "sequence", nlist: int | None = None, nprobe: int = 8, index: str | None = None) -> DataFrame:
     """(query_id, pred_label, confidence).
 
     ``queries`` is (query_id, vec), ``refs`` (ref_id, vec), ``labels`` (ref_id,
-    label). ``nlist`` asks for the cell index instead of the exact search;
-    ``level`` chooses the sequence or the token vote.
+    label). ``index`` is a folder that ``neighbours.build_index`` made of the same
+    references: it is searched exactly, without a fit. ``nlist`` fits cells for
+    this call and searches the nearest only. ``level`` chooses the sequence or the
+    token vote.
     """
-    if nlist:
+    if index:
+        spark = queries.sparkSession
+        found = neighbours.search_index(queries, neighbours.read_index_rows(spark, index, refs), spark.read.parquet(f"{index}/cells"), k, nprobe)
+    elif nlist:
         found = neighbours.ivf_search(queries, refs, k, nlist, nprobe)
     else:
         found = neighbours.exact_cosine_topk(queries, refs, k)
