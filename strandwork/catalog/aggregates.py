@@ -134,12 +134,12 @@ def relation_category_summary_q(spark, d):
 @query(
     "mean_matrix_pivot",
     f"""WITH {CPS_SQL}, s AS (SELECT cluster1 AS a, cluster2 AS b, raw_mean AS m FROM cps UNION SELECT cluster2, cluster1, raw_mean FROM cps)
-    SELECT a AS cluster, {', '.join(f"round(max(m) FILTER (b = {i}), 6) AS n{i}" for i in range(25))} FROM s GROUP BY a""",
+    SELECT x.c AS cluster, y.c::VARCHAR AS other, round(m, 6) AS mean FROM (SELECT DISTINCT a AS c FROM s) x CROSS JOIN (SELECT DISTINCT b AS c FROM s) y LEFT JOIN s ON s.a = x.c AND s.b = y.c""",
 )
 def mean_matrix_pivot_q(spark, d):
     p = structure_pairs(spark, d).groupBy(F.least("cluster1", "cluster2").alias("cluster1"), F.greatest("cluster1", "cluster2").alias("cluster2")).agg(F.avg("score").alias("mean"))
-    wide = aggregate.mean_matrix_pivot(p, list(range(25)))
-    return wide.select("cluster", *[r6(F.col(f"`{i}`")).alias(f"n{i}") for i in range(25)])
+    wide = aggregate.mean_matrix_pivot(p)  # columns: the clusters there are
+    return wide.unpivot("cluster", [F.col(f"`{c}`") for c in wide.columns if c != "cluster"], "other", "mean").withColumn("mean", r6("mean"))
 
 
 def shuffle_sql(name: str, n: str) -> str:
@@ -352,11 +352,14 @@ def sharing_degree_q(spark, d):
 
 @query(
     "sharing_matrix",
-    f"WITH {SHARE_SQL} SELECT degree, {', '.join(f'coalesce(sum(n_clusters) FILTER (sub = {chr(39)}n{i}{chr(39)}), 0)::BIGINT AS n{i}' for i in range(25))}, sum(n_clusters)::BIGINT AS total FROM sh WHERE degree BETWEEN 1 AND 6 GROUP BY degree",
+    f"""WITH {SHARE_SQL}, k AS (SELECT degree, sub, sum(n_clusters)::BIGINT AS n FROM sh WHERE degree BETWEEN 1 AND 6 GROUP BY 1, 2)
+    SELECT x.degree, y.sub, coalesce(n, 0)::BIGINT AS n_clusters, sum(coalesce(n, 0)) OVER (PARTITION BY x.degree)::BIGINT AS total
+    FROM (SELECT DISTINCT degree FROM k) x CROSS JOIN (SELECT DISTINCT sub FROM k) y LEFT JOIN k ON k.degree = x.degree AND k.sub = y.sub""",
 )
 def sharing_matrix_q(spark, d):
     rows = ecosystem.sharing_degree(members(spark, d), "cluster", "main", "sub")
-    return aggregate.sharing_matrix(rows, list(range(1, 7)), [f"n{i}" for i in range(25)])
+    wide = aggregate.sharing_matrix(rows, list(range(1, 7)))  # columns: the nations there are
+    return wide.unpivot(["degree", "total"], [F.col(f"`{c}`") for c in wide.columns if c not in ("degree", "total")], "sub", "n_clusters")
 
 
 @query(
@@ -399,12 +402,11 @@ def enrichment_q(spark, d):
 
 @query(
     "composition_percent",
-    f"""WITH {MEMBER_SQL}, c AS (SELECT fold, sub, count(*) AS n FROM mem GROUP BY 1, 2), g AS (SELECT f.fold, 'n' || i AS sub, coalesce(n, 0) AS n FROM (SELECT DISTINCT fold FROM mem) f CROSS JOIN range(25) r(i) LEFT JOIN c ON c.fold = f.fold AND c.sub = 'n' || i)
+    f"""WITH {MEMBER_SQL}, c AS (SELECT fold, sub, count(*) AS n FROM mem GROUP BY 1, 2), g AS (SELECT f.fold, r.sub, coalesce(n, 0) AS n FROM (SELECT DISTINCT fold FROM mem) f CROSS JOIN (SELECT DISTINCT sub FROM mem) r LEFT JOIN c ON c.fold = f.fold AND c.sub = r.sub)
     SELECT fold, sub, n, round(CASE WHEN sum(n) OVER (PARTITION BY sub) > 0 THEN n * 100.0 / sum(n) OVER (PARTITION BY sub) ELSE 0 END, 6) AS percent FROM g""",
 )
 def composition_percent_q(spark, d):
-    subs = [f"n{i}" for i in range(25)]
-    wide = members(spark, d).groupBy("fold").pivot("sub", subs).agg(F.count(F.lit(1))).fillna(0)
+    wide = members(spark, d).groupBy("fold").pivot("sub").agg(F.count(F.lit(1))).fillna(0)
     return rounded(ecosystem.composition_percent(wide, "fold", "sub", "n"), "percent")
 
 

@@ -382,8 +382,7 @@ def union_chunks_q(spark, d):
     path = scratch_folder(spark, "chunks")
     e = table(spark, d, "events").withColumnRenamed("event_type", "chunk_id")
     writers.parquet_sink(e, path, ["event_id", "value", "chunk_id"])
-    ids = ["click", "error", "purchase", "signup", "view"]
-    return readers.union_chunks(spark, path, ids, "event_id long, value double, chunk_id string")
+    return readers.union_chunks(spark, path, e.select("chunk_id").distinct(), "event_id long, value double, chunk_id string")
 
 
 @query(
@@ -433,15 +432,17 @@ def embedding_scan_q(spark, d):
 @query(
     "atom_scan",
     """WITH a AS (SELECT vec_id, label, 1 + vec_id % 2 AS entity, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS serial,
-      chr((65 + vec_id % 3)::INT) AS chain, embedding::DOUBLE[] AS v FROM embeddings)
-    SELECT printf('s%03d', label) AS pdb_id, entity::INT AS entity, chain, serial::INT AS label_seq, round(v[1], 3) AS x, round(v[2], 3) AS y, round(v[3], 3) AS z,
+      chr((65 + vec_id % 3)::INT) AS chain, """ + ", ".join(f"round(list_sum(list_transform(range({k + 1}, 65, 3), lambda i: embedding[i]::DOUBLE)) * 8, 6) AS {c}" for k, c in enumerate("xyz")) + """ FROM embeddings)
+    SELECT printf('s%03d', label) AS pdb_id, entity::INT AS entity, chain, serial::INT AS label_seq, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z,
     chain = first_value(chain) OVER (PARTITION BY label, entity ORDER BY serial) AS is_representative FROM a""",
 )
 def atom_scan_q(spark, d):
     path = scratch_folder(spark, "atoms")
     e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     e = rank_rows(e, ["vec_id"], ["label"], "serial", F.floor(F.col("vec_id") / 1_000_000))
-    xyz = [F.format_string("%.3f", F.round(F.col("embedding")[i].cast("double"), 3)) for i in range(3)]
+    # Every place of the vector counts for one coordinate, in order of its index.
+    place = lambda k: F.aggregate(F.expr(f"filter(embedding, (v, i) -> i % 3 = {k})"), F.lit(0.0), lambda a, v: a + v.cast("double"))
+    xyz = [F.format_string("%.3f", F.round(F.round(place(k) * 8, 6), 3)) for k in range(3)]
     chain = F.chr(F.lit(65) + F.col("vec_id") % 3)
     seq, ent = F.col("serial").cast("string"), (F.col("vec_id") % 2 + 1).cast("string")
     parts = [F.lit("ATOM"), seq, F.lit("C"), F.lit("CA"), F.lit("."), F.lit("ALA"), chain, ent, seq, F.lit("?"), *xyz]
@@ -464,7 +465,7 @@ def matrix_unpivot_q(spark, d):
     cells = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
     profile = cells.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("w"))
     pairs = pair_cosine(profile, "label", "dim", "w")
-    wide = pairs.groupBy(F.col("i").alias("cluster")).pivot("j", list(range(10))).agg(F.first("sim"))
+    wide = pairs.groupBy(F.col("i").alias("cluster")).pivot("j").agg(F.first("sim"))  # columns: the labels there are
     return readers.matrix_unpivot(wide).withColumn("sim", r6("sim"))
 
 

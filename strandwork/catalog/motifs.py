@@ -11,7 +11,7 @@ from ..operators.clean import category_map
 from ..operators.windows import cumulative_offsets
 from .ingest import mask_sql
 from .registry import query, table
-from .relational import by_id
+from .relational import POINT_SQL, by_id, points
 
 
 def tokens(spark, d):
@@ -190,7 +190,7 @@ def consensus_site_q(spark, d):
     return out.withColumn("consensus", r6("consensus"))
 
 
-PT = "(SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+PT = f"(WITH {POINT_SQL} SELECT id AS vec_id, chain AS label, x, y, z FROM pts)"
 
 
 @query(
@@ -201,7 +201,7 @@ PT = "(SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS
     SELECT vec_id, label, round((dist - lo) / greatest(hi - lo, 1e-6), 6) AS radial, round(cume_dist() OVER (PARTITION BY label ORDER BY round(dist, 9)), 6) AS percentile FROM e""",
 )
 def radial_fraction_q(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")])
+    e = points(spark, d).select(F.col("id").alias("vec_id"), F.col("chain").alias("label"), "x", "y", "z")
     return motifs.radial_fraction(e, "label").select("vec_id", "label", r6("radial").alias("radial"), r6("percentile").alias("percentile"))
 
 

@@ -130,8 +130,9 @@ def cluster_pair_summary(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def mean_matrix_pivot(pair_means: DataFrame, labels: list, row: str = "cluster1", col: str = "cluster2", value: str = "mean") -> DataFrame:
-    """Symmetric label x label matrix, null where a pair is absent."""
+def mean_matrix_pivot(pair_means: DataFrame, labels: list | None = None, row: str = "cluster1", col: str = "cluster2", value: str = "mean") -> DataFrame:
+    """Symmetric label x label matrix, null where a pair is absent. Columns are the given
+    labels, or all that there are."""
     mirrored = pair_means.select(row, col, value).unionByName(
         pair_means.filter(F.col(row) != F.col(col)).select(F.col(col).alias(row), F.col(row).alias(col), value)
     )
@@ -183,10 +184,11 @@ def geo_grid_pivot(df: DataFrame, lat: str, lon: str, category: str, categories:
     )
 
 
-def sharing_matrix(rows: DataFrame, degrees: list[int], columns: list[str], col: str = "sub", value: str = "n_clusters") -> DataFrame:
-    """Degree x column sums with row totals; other degrees are skipped."""
+def sharing_matrix(rows: DataFrame, degrees: list[int], columns: list[str] | None = None, col: str = "sub", value: str = "n_clusters") -> DataFrame:
+    """Degree x column sums with row totals; other degrees are skipped. Columns are the given
+    ones, or all that there are."""
     wide = rows.filter(F.col("degree").isin(degrees)).groupBy("degree").pivot(col, columns).agg(F.sum(value)).fillna(0)
-    return wide.withColumn("total", reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in columns]))
+    return wide.withColumn("total", reduce(lambda a, b: a + b, [F.col(f"`{c}`") for c in wide.columns if c != "degree"]))
 
 
 def cluster_sizes(df: DataFrame, cluster: str) -> DataFrame:

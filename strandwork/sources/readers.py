@@ -164,14 +164,17 @@ def matrix_unpivot(wide: DataFrame, row: str = "cluster") -> DataFrame:
     return wide.unpivot(row, [c for c in wide.columns if c != row], "j", "sim").withColumnRenamed(row, "i")
 
 
-def union_chunks(spark: SparkSession, base: str, chunk_ids: list[str], schema) -> DataFrame:
-    """Append the outputs of all chunks; a chunk without output is an error.
+def union_chunks(spark: SparkSession, base: str, expected: DataFrame, schema) -> DataFrame:
+    """Append the outputs of all chunks under ``<base>/chunk_id=<id>``.
 
-    Chunk folders are ``<base>/chunk_id=<id>``; the listing holds one short
-    name per chunk, the rows are read by the executors.
+    ``expected`` is (chunk_id); one of them without output is an error, raised
+    before rows are given out. Chunks are found by Spark's reader, not by a list.
     """
-    df = spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/chunk_id={c}" for c in chunk_ids])
-    return df
+    df = spark.read.schema(schema).parquet(base)
+    lost = missing_chunks(expected, df)
+    if not lost.isEmpty():
+        raise ValueError(f"chunks without output, among them {lost.first()[0]!r}")
+    return df.join(expected.select("chunk_id").distinct(), "chunk_id", "left_semi").select(*df.columns)
 
 
 def missing_chunks(expected: DataFrame, found: DataFrame) -> DataFrame:
