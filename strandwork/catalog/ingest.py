@@ -447,10 +447,16 @@ def atom_scan_q(spark, d):
     seq, ent = F.col("serial").cast("string"), (F.col("vec_id") % 2 + 1).cast("string")
     parts = [F.lit("ATOM"), seq, F.lit("C"), F.lit("CA"), F.lit("."), F.lit("ALA"), chain, ent, seq, F.lit("?"), *xyz]
     parts += [F.lit("1.00"), F.lit("0.00"), F.lit("?"), seq, F.lit("ALA"), chain, F.lit("CA"), F.lit("1")]
-    het = [F.lit("HETATM"), *parts[1:]]
-    lines = e.select(F.format_string("s%03d", "label").alias("pdb"), F.concat_ws(" ", *parts).alias("value"))
-    lines = lines.unionByName(e.select(F.format_string("s%03d", "label").alias("pdb"), F.concat_ws(" ", *het).alias("value")))
-    lines.write.partitionBy("pdb").text(path)
+    # Half of the files list their columns the other way round.
+    turned = F.col("label") % 2 == 1
+    line = lambda tag: F.array_join(F.when(turned, F.concat(F.array(F.lit(tag)), F.reverse(F.array(*parts[1:])))).otherwise(F.array(F.lit(tag), *parts[1:])), " ")
+    first, *others = readers.ATOM_COLUMNS
+    header = F.transform(F.concat(F.array(F.lit(first)), F.when(turned, F.reverse(F.array(*map(F.lit, others)))).otherwise(F.array(*map(F.lit, others)))), lambda n: F.concat(F.lit(readers.ATOM_LOOP), n))
+    pdb = F.format_string("s%03d", "label").alias("pdb")
+    heads = e.select("label").distinct().select(pdb, F.posexplode(header).alias("at", "value")).select("pdb", (F.col("at") - 100).cast("long").alias("at"), "value")
+    lines = [e.select(pdb, F.col("serial").cast("long").alias("at"), line(tag).alias("value")) for tag in ("ATOM", "HETATM")]
+    ordered = heads.unionByName(lines[0]).unionByName(lines[1]).repartition("pdb").sortWithinPartitions("pdb", "at")
+    ordered.select("pdb", "value").write.partitionBy("pdb").text(path)
     return readers.atom_scan(spark, path, r"pdb=([0-9A-Za-z]{4})/")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import mask_sequence
+from ..session import cut_lineage
 from ..operators.ordering import rank_rows
 
 
@@ -126,25 +127,36 @@ def embedding_scan(vectors: DataFrame, metadata: DataFrame, key: str) -> DataFra
     return vectors.join(metadata, key).filter(guard.isNull())
 
 
-# Fixed value: column order of an atom row in coordinate files.
-ATOM_FIELDS = (
-    "group serial element atom alt residue subchain entity label_seq ins x y z "
-    "occupancy b_factor charge auth_seq auth_residue chain auth_atom model"
-).split()
+# Columns of an atom loop by their names in its header, in the usual order
+# of a row, which stands for files without a header.
+ATOM_COLUMNS = {
+    "group_PDB": "group", "id": "serial", "type_symbol": "element", "label_atom_id": "atom", "label_alt_id": "alt", "label_comp_id": "residue",
+    "label_asym_id": "subchain", "label_entity_id": "entity", "label_seq_id": "label_seq", "pdbx_PDB_ins_code": "ins",
+    "Cartn_x": "x", "Cartn_y": "y", "Cartn_z": "z", "occupancy": "occupancy", "B_iso_or_equiv": "b_factor", "pdbx_formal_charge": "charge",
+    "auth_seq_id": "auth_seq", "auth_comp_id": "auth_residue", "auth_asym_id": "chain", "auth_atom_id": "auth_atom", "pdbx_PDB_model_num": "model",
+}
+ATOM_LOOP = "_atom_site."
+#: Files with a header whose column names are broadcast at most; more are joined by shuffle.
+BROADCAST_HEADERS = 50_000
 
 
 def atom_scan(spark: SparkSession, path: str | list[str], id_pattern: str = r"([0-9A-Za-z]{4})[^/]*$") -> DataFrame:
     """C-alpha rows of many coordinate files with the representative chain.
 
-    ``ATOM`` rows only (het residues carry another tag), first model, atom name
-    CA. The representative chain of an entity is the chain of its first atom.
+    Columns are found by the names in the file's loop header, in any order; they are
+    read once per file and joined to the rows of all its splits. A column that the
+    header lacks is null. ``ATOM`` rows only (het residues carry another tag), first
+    model, atom name CA. The representative chain of an entity is the chain of its first atom.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    cells = F.split(F.trim("value"), r"\s+")
-    rows = text.filter(F.col("value").startswith("ATOM ")).select(
-        F.regexp_extract("_file", id_pattern, 1).alias("pdb_id"),
-        *[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(ATOM_FIELDS)],
-    )
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    named = text.filter(F.col("value").startswith(ATOM_LOOP)).select("_file", F.struct("_start", F.monotonically_increasing_id().alias("at"), F.trim(F.substring("value", len(ATOM_LOOP) + 1, 64)).alias("name")).alias("h"))
+    headers = named.groupBy("_file").agg(F.array_sort(F.collect_list("h")).alias("h"))  # the columns of one file
+    headers = cut_lineage(headers.select("_file", F.transform("h", lambda x: x["name"]).alias("_names")))
+    near = F.broadcast(headers) if headers.limit(BROADCAST_HEADERS + 1).count() <= BROADCAST_HEADERS else headers
+    usual = F.array(*map(F.lit, ATOM_COLUMNS))
+    lines = text.filter(F.col("value").startswith("ATOM ")).join(near, "_file", "left").withColumns({"_names": F.coalesce("_names", usual), "_cells": F.split(F.trim("value"), r"\s+")})
+    cell = lambda name: F.get("_cells", F.array_position("_names", name).cast("int") - 1)
+    rows = lines.select(F.regexp_extract("_file", id_pattern, 1).alias("pdb_id"), *[cell(k).alias(v) for k, v in ATOM_COLUMNS.items() if v in ("atom", "model", "label_seq", "entity", "chain", "serial", "x", "y", "z")])
     ca = rows.filter((F.col("atom") == "CA") & (F.col("model") == "1") & F.col("label_seq").rlike(r"^\d+$")).select(
         "pdb_id",
         F.col("entity").cast("int").alias("entity"),
