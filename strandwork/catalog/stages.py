@@ -11,7 +11,8 @@ from ..operators import encoding, models, sampling
 from ..plans import screening, two_stage
 from ..session import scratch_folder
 from ..streaming import increment
-from .evaluation import scored
+from ..operators.evaluation import RULES
+from .evaluation import COUNTS, FOLD_SQL, pooled_sql, rates, scored
 from .registry import query, table
 from .vectors import STD_X, UNIT_X, head_sql, property_tasks, screening_heads, vectors
 
@@ -94,7 +95,27 @@ def sparse_probe_eval_q(spark, d):
     return models.sparse_probe_eval(rows, "row_id", ["label", "half"], floor=50, class_floor=20)
 
 
-@query("two_stage_evaluation")
+def limit_sql(score: str, rule: str, bound: float) -> str:
+    """(fold, threshold) that ``rule`` picks from the calibration rows of each fold."""
+    column, inside, outside = RULES[rule]
+    key = lambda k: f"-{k[1:]}" if k.startswith("-") else k
+    order = ", ".join(f"CASE WHEN inside THEN {key(i)} ELSE {key(o)} END DESC" for i, o in zip(inside, outside))
+    counted = f"(SELECT fold, threshold, {COUNTS.format(y='y', h=f'{score} >= threshold')} FROM (SELECT DISTINCT {score} AS threshold FROM cal), cal GROUP BY 1, 2)"
+    return f"""SELECT fold, threshold FROM (SELECT *, {column} {'<=' if column == 'fpr' else '>='} {bound}::DOUBLE AS inside FROM {rates(counted)})
+    QUALIFY row_number() OVER (PARTITION BY fold ORDER BY inside DESC, {order}) = 1"""
+
+
+MIN_RECALL, MAX_FPR = 0.9, 0.1
+TWO_STAGE_SQL = f"""WITH {FOLD_SQL}, cal AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, y ORDER BY md5(doc_id || '|42'), doc_id) AS rn, count(*) OVER (PARTITION BY fold, y) AS n FROM fo)
+    WHERE n > 1 AND rn <= least(n - 1, greatest(1, round_even(n * 0.2::DOUBLE, 0)))),
+    l1 AS ({limit_sql('s1', 'min_recall', MIN_RECALL)}), l2 AS ({limit_sql('s2', 'max_fpr', MAX_FPR)}),
+    pd AS (SELECT fo.*, s1 >= l1.threshold AS e, s2 >= l2.threshold AS l FROM fo JOIN l1 ON l1.fold = fo.fold JOIN l2 ON l2.fold = fo.fold)
+    """ + " UNION ALL ".join(pooled_sql(m, h).replace("FROM fo", "FROM pd") for m, h in (("early", "e"), ("late", "l"), ("cascade", "e AND l")))
+
+
+@query("two_stage_evaluation", TWO_STAGE_SQL)
 def two_stage_evaluation_q(spark, d):
     s = scored(spark, d).withColumnRenamed("doc_id", "id").drop("toxic")
-    return two_stage.two_stage_evaluation(s, min_recall=0.9, max_fpr=0.1)[1]
+    out = two_stage.two_stage_evaluation(s, min_recall=MIN_RECALL, max_fpr=MAX_FPR)[1]
+    keep = ["model", "tp", "fp", "tn", "fn"]
+    return out.select(*keep, *[r6(c).alias(c) for c in out.columns if c not in keep])
