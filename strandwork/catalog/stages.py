@@ -84,8 +84,8 @@ def probe_cross_validation_q(spark, d):
 
 @query("head_training")
 def head_training_q(spark, d):
-    _, classes, metrics = models.head_training(vectors(spark, d), "row_id", "label")
-    return spark.createDataFrame([(i, c, metrics["accuracy"]) for i, c in enumerate(classes)], "class_index int, class string, accuracy double")
+    curve = models.head_training(vectors(spark, d), "row_id", "label")[2]
+    return curve.withColumns({c: r6(c) for c in ("train_loss", "valid_accuracy")})
 
 
 @query("sparse_probe_eval")

@@ -5,11 +5,12 @@ import io
 import pathlib
 from contextlib import redirect_stdout
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandwork.operators import joins
+from strandwork.operators import joins, models
 from strandwork.plans import fasta_report, screening
 from strandwork.streaming import increment
 
@@ -87,6 +88,27 @@ def test_gate_statuses(spark):
         screening.check_mode("annotate", True, False)
 
 
+def test_head_training_keeps_the_best_epoch(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 1, (3, 6))
+    rows = [(i, (centres[i % 3] + rng.normal(0, 0.2, 6)).tolist(), "abc"[i % 3]) for i in range(150)] + [(900, [1.0] * 6, None), (901, [1.0] * 6, "rare")]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, label string").repartition(5)
+    head, classes, curve = models.head_training(df, "id", "label", epochs=12)
+    got = curve.orderBy("epoch").collect()
+    assert classes[:3] == ["a", "b", "c"] and len(got) == 12 and sum(r.chosen for r in got) == 1
+    best = max(r.valid_accuracy for r in got)
+    assert best >= 0.9 and next(r for r in got if r.valid_accuracy == best).chosen and got[-1].train_loss < got[0].train_loss
+    x, y = rng.normal(0, 1, (7, 6)), np.arange(7) % 3
+    flat = np.concatenate([w.ravel() for w in head.weights])
+    loss, gradient = head.gradient(x, y)
+    for i in (0, 5, len(flat) - 1):  # the gradient against a difference
+        other = flat.copy()
+        other[i] += 1e-6
+        head.weights = head.unpack(other)
+        assert (head.gradient(x, y)[0] - loss) / 1e-6 == pytest.approx(gradient[i], abs=1e-3)
+    assert models.head_training(df.limit(0), "id", "label")[2].count() == 0
+
+
 def test_report_chain(spark):
     records = spark.createDataFrame([(1, "alpha x", "AAAA"), (2, "beta", "CCCCA"), (3, "beta", "CAC")], "record_index long, header string, sequence string")
     manifest, _ = fasta_report.prepare(records)
