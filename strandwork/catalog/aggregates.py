@@ -57,7 +57,7 @@ def dense_mean_pool_q(spark, d):
     SELECT dim, round(avg(x / n), 6) AS mean FROM cells JOIN n ON n.vec_id = cells.vec_id GROUP BY dim""",
 )
 def normalized_mean_q(spark, d):
-    return rounded(aggregate.normalized_mean(cells(spark, d), "vec_id"), "mean")
+    return rounded(aggregate.normalized_mean(table(spark, d, "embeddings"), "embedding"), "mean")
 
 
 @query(
@@ -237,10 +237,10 @@ def empirical_z_p_q(spark, d):
     SELECT vec_id, cells.dim, CASE WHEN label < 7 THEN 'train' ELSE 'test' END AS part, round((x - m) / s, 6) AS z FROM cells JOIN f ON f.dim = cells.dim""",
 )
 def standardize_fit_apply_q(spark, d):
-    c = cells(spark, d)
-    fitted = aggregate.standardize_fit(c.filter("label < 7"))
-    out = aggregate.standardize_apply(c, fitted)
-    return out.select("vec_id", "dim", F.when(F.col("label") < 7, "train").otherwise("test").alias("part"), r6("z").alias("z"))
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
+    out = aggregate.standardize_apply(e, aggregate.standardize_fit(e.filter("label < 7")))
+    part = F.when(F.col("label") < 7, "train").otherwise("test").alias("part")
+    return out.select("vec_id", part, F.posexplode("vec").alias("dim", "z")).withColumn("z", r6("z"))
 
 
 @query(

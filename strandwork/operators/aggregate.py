@@ -6,10 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_list, ratio
+from ..functions import as_col, as_list, ratio
 from .ordering import compute_partitions, interpolated_quantiles, rank_rows, top_k
 
 # The quantiles of a distribution summary.
@@ -40,17 +42,19 @@ def long_cells(df: DataFrame, keys, vec: str = "vec") -> DataFrame:
     return df.select(*as_list(keys), F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
 
 
+def vector_mean(vec: str | Column) -> Column:
+    """Element-wise mean of a group's vectors; one buffer a group, no row per element."""
+    return vector_to_array(Summarizer.mean(array_to_vector(as_col(vec).cast("array<double>"))))
+
+
 def dense_mean_pool(tokens: DataFrame, seq: str, vec: str, mask: str | None = None, dims: int | None = None) -> DataFrame:
     """(seq, vec): element-wise mean of the (masked) token vectors of a sequence.
 
-    Partial aggregation runs per (sequence, dimension); only the finished means,
-    one vector per sequence, are collected. Sequences without a kept token get
+    Vectors are summed whole, first inside tasks. Sequences without a kept token get
     the zero vector when ``dims`` is given.
     """
     kept = tokens.filter(F.col(mask)) if mask else tokens
-    means = long_cells(kept, seq, vec).groupBy(seq, "dim").agg(F.avg("x").alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"])
-    pooled = means.groupBy(seq).agg(ordered.alias("vec"))
+    pooled = kept.filter(F.col(vec).isNotNull()).groupBy(seq).agg(vector_mean(vec).alias("vec"))
     if dims is None:
         return pooled
     everyone = tokens.select(seq).distinct()
@@ -61,10 +65,12 @@ def cls_and_mean(cls: Column, mean: Column) -> Column:
     return F.concat(cls.cast("array<double>"), mean)
 
 
-def normalized_mean(cells: DataFrame, row: str) -> DataFrame:
-    """(dim, mean): mean of the L2-normalised rows given as long cells."""
-    norms = cells.groupBy(row).agg(F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1e-9)).alias("_n"))
-    return cells.join(norms, row).groupBy("dim").agg(F.avg(F.col("x") / F.col("_n")).alias("mean"))
+def normalized_mean(df: DataFrame, vec: str = "vec") -> DataFrame:
+    """(dim, mean): mean of the L2-normalised vectors."""
+    x = F.col(vec).cast("array<double>")
+    norm = F.greatest(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)), F.lit(1e-9))
+    unit = df.filter(F.col(vec).isNotNull()).withColumn("_n", norm).select(F.transform(x, lambda v: v / F.col("_n")).alias("_u"))
+    return unit.agg(vector_mean("_u").alias("m")).select(F.posexplode("m").alias("dim", "mean"))
 
 
 def weighted_top_label(tokens: DataFrame, manifest: DataFrame, seq: str, label: str, conf: str, pos: str) -> DataFrame:
@@ -208,15 +214,24 @@ def largest_clusters(df: DataFrame, cluster: str, k: int = 10) -> DataFrame:
 # ---- scaling and vector statistics ----------------------------------------------
 
 
-def standardize_fit(cells: DataFrame, keys=(), floor: float = 1e-6) -> DataFrame:
-    """(keys, dim, mean, std): population std, under ``floor`` becomes 1."""
-    return cells.groupBy(*as_list(keys), "dim").agg(
-        F.avg("x").alias("mean"), F.when(F.stddev_pop("x") < floor, 1.0).otherwise(F.stddev_pop("x")).alias("std")
-    )
+def standardize_fit(df: DataFrame, keys=(), vec: str = "vec", floor: float = 1e-6) -> DataFrame:
+    """(keys, mean, std): arrays by dimension; population std, under ``floor`` 1."""
+    measured = Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.col(vec).cast("array<double>")))
+    got = df.filter(F.col(vec).isNotNull()).groupBy(*as_list(keys)).agg(measured.alias("m"))
+    n = F.col("m.count").cast("double")
+    std = F.transform(vector_to_array("m.variance"), lambda v: F.sqrt(v * (n - 1) / n))
+    return got.select(*as_list(keys), vector_to_array("m.mean").alias("mean"), F.transform(std, lambda v: F.when(v < floor, 1.0).otherwise(v)).alias("std"))
 
 
-def standardize_apply(cells: DataFrame, fitted: DataFrame, keys=()) -> DataFrame:
-    return cells.join(fitted, [*as_list(keys), "dim"]).withColumn("z", (F.col("x") - F.col("mean")) / F.col("std"))
+def standardize_apply(df: DataFrame, fitted: DataFrame, keys=(), vec: str = "vec") -> DataFrame:
+    """``vec`` as z-scores of the fitted means and stds, one row of arrays per key."""
+    keys = as_list(keys)
+    if keys:
+        rows = df.join(fitted, keys)
+    else:
+        rows = df.withColumn("_f", fitted.select(F.struct("mean", "std").alias("f")).scalar()).select("*", "_f.mean", "_f.std").drop("_f")
+    moved = F.zip_with(F.col(vec).cast("array<double>"), "mean", lambda x, m: x - m)
+    return rows.withColumn(vec, F.zip_with(moved, "std", lambda x, d: x / d)).drop("mean", "std")
 
 
 def robust_stats(cells: DataFrame, clip: float = 5.0, approximate: bool = False) -> DataFrame:

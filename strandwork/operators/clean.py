@@ -169,24 +169,29 @@ def stage_status(valid: Column, screened: Column, candidate: Column, embedded: C
 
 
 def vector_profile(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """NaN, Inf and all-zero counts, mean, std, min, max and a pass flag."""
-    v = F.col(vec)
-    cells = df.select(F.explode(v.cast("array<double>")).alias("x"))
-    finite = F.when(~F.isnan("x") & (F.abs("x") != float("inf")), F.col("x"))
-    stats = cells.agg(
-        F.count_if(F.isnan("x")).alias("n_nan"),
-        F.count_if(F.abs("x") == float("inf")).alias("n_inf"),
-        F.avg(finite).alias("mean"),
-        F.stddev_pop(finite).alias("std"),
-        F.min(finite).alias("min"),
-        F.max(finite).alias("max"),
+    """NaN, Inf and all-zero counts, mean, std, min, max and a pass flag.
+
+    Each vector is summed in its own row; the spread of all values is that inside the
+    vectors and that of their means. Null vectors count as rows only.
+    """
+    v = F.coalesce(F.col(vec).cast("array<double>"), F.array().cast("array<double>"))
+    finite = F.filter(v, lambda x: ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = df.select(F.col(vec).alias("_v"), v.alias("_x"), finite.alias("_f"))
+    rows = rows.withColumns({"_k": F.size("_f").cast("double"), "_m": F.try_divide(F.aggregate("_f", F.lit(0.0), lambda a, x: a + x), F.size("_f").cast("double"))})
+    rows = rows.withColumn("_q", F.aggregate("_f", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m"))))
+    got = rows.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(F.forall("_v", lambda x: x == 0)).alias("n_zero_rows"),
+        F.coalesce(F.sum(F.size(F.filter("_x", F.isnan))), F.lit(0)).cast("long").alias("n_nan"),
+        F.coalesce(F.sum(F.size(F.filter("_x", lambda x: F.abs(x) == float("inf")))), F.lit(0)).cast("long").alias("n_inf"),
+        F.sum("_k").alias("_n"), F.sum(F.col("_k") * F.col("_m")).alias("_s"), F.sum("_q").alias("_in"), F.sum(F.col("_k") * F.col("_m") * F.col("_m")).alias("_sq"),
+        F.min(F.array_min("_f")).alias("min"), F.max(F.array_max("_f")).alias("max"),
     )
-    rows = df.agg(F.struct(F.count("*").alias("n_rows"), F.count_if(F.forall(v, lambda x: x == 0)).alias("n_zero_rows")).alias("r"))
-    return stats.withColumn("_r", rows.scalar()).select(
-        F.col("_r.n_rows"),
-        F.col("_r.n_zero_rows"),
-        *stats.columns,
-        ((F.col("n_nan") == 0) & (F.col("n_inf") == 0) & (F.col("_r.n_zero_rows") == 0)).alias("passed"),
+    mean = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))
+    std = F.sqrt(F.greatest((F.col("_in") + F.col("_sq") - F.col("_s") * F.col("_s") / F.col("_n")) / F.col("_n"), F.lit(0.0)))
+    return got.select(
+        "n_rows", "n_zero_rows", "n_nan", "n_inf", mean.alias("mean"), F.when(F.col("_n") > 0, std).alias("std"), "min", "max",
+        ((F.col("n_nan") == 0) & (F.col("n_inf") == 0) & (F.col("n_zero_rows") == 0)).alias("passed"),
     )
 
 

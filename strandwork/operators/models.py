@@ -12,22 +12,22 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize, standardize
 from ..session import cut_lineage, drop_table
-from .aggregate import long_cells
 from .clean import label_eligibility
 from .sampling import train_test_split
 
 
 def fold_scalers(df: DataFrame, fold: str, vec: str = "vec") -> DataFrame:
     """(fold, mean, std): per-feature train mean and population std of every
-    fold at once; train = all other folds, from sums per fold."""
-    cells = long_cells(df, fold, vec).groupBy(fold, "dim").agg(
-        F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")
-    )
+    fold at once; train = all other folds, from the sums of each fold."""
+    sums = Summarizer.metrics("count", "sum", "normL2").summary(array_to_vector(F.col(vec).cast("array<double>")))
+    per_fold = df.groupBy(fold).agg(sums.alias("m")).select(fold, F.col("m.count").alias("n"), F.posexplode(F.arrays_zip(vector_to_array("m.sum").alias("s"), vector_to_array("m.normL2").alias("l"))).alias("dim", "x"))
+    cells = per_fold.select(fold, "dim", "n", F.col("x.s").alias("s"), (F.col("x.l") * F.col("x.l")).alias("q"))  # folds x dimensions
     total = cells.groupBy("dim").agg(*[F.sum(c).alias(f"t{c}") for c in "nsq"])
     rest = cells.join(total, "dim").select(fold, "dim", *[(F.col(f"t{c}") - F.col(c)).alias(c) for c in "nsq"])
     mean = F.col("s") / F.col("n")
@@ -46,11 +46,12 @@ def probe_cross_validation(df: DataFrame, ident: str, label: str, fold: str = "f
     n / (2 * n_c). Labels are 0, 1, 2 ... Only the model fits loop over folds.
     """
     base = cut_lineage(df.select(ident, label, fold, vec))
-    scalers = {r[fold]: (r["mean"], r["std"]) for r in fold_scalers(base, fold, vec).collect()}  # folds x dimensions numbers
+    scalers = cut_lineage(fold_scalers(base, fold, vec))
     out = []
-    for f, (mean, std) in sorted(scalers.items()):
-        m, s = F.array(*[F.lit(float(x)) for x in mean]), F.array(*[F.lit(float(x)) for x in std])
-        rows = base.select(ident, F.col(label).cast("double").alias("label"), fold, array_to_vector(standardize(vec, m, s)).alias("features"))
+    for f in sorted(r[fold] for r in scalers.select(fold).collect()):
+        scaler = scalers.filter(F.col(fold) == f).select(F.struct("mean", "std").alias("s")).scalar()
+        scaled = base.withColumn("_s", scaler)
+        rows = scaled.select(ident, F.col(label).cast("double").alias("label"), fold, array_to_vector(standardize(vec, F.col("_s.mean"), F.col("_s.std"))).alias("features"))
         train = rows.filter(F.col(fold) != f)
         model_args = {}
         if balanced:

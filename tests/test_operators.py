@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandwork.catalog import aggregates, graphs
 from strandwork.functions.stats import chi2_sf_even
-from strandwork.operators import encoding, graph, joins, neighbours, nulls, sampling, statistics
+from strandwork.operators import aggregate, clean, encoding, graph, joins, models, neighbours, nulls, sampling, statistics
 from strandwork.operators.aggregate import pair_cosine
 
 
@@ -339,3 +339,22 @@ def test_pair_join_blocks(spark):
     got = sorted((r["g"], r["id1"], r["id2"]) for r in joins.pair_join(df, "id", ["g"], block_rows=7).collect())
     want = sorted((int(a >= 40), a, b) for a, b in itertools.combinations(range(50), 2) if (a >= 40) == (b >= 40))
     assert got == want
+
+
+def test_vector_statistics(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (0, [3.0, -2.0]), (1, [0.0, 0.0]), (1, None), (2, [nan, inf]), (2, [nan, 5.0])]
+    df = spark.createDataFrame(rows, "g int, vec array<double>")
+    got = clean.vector_profile(df).first()
+    x = [1, 2, 3, -2, 0, 0, 5]
+    assert (got.n_rows, got.n_zero_rows, got.n_nan, got.n_inf, got.min, got.max, got.passed) == (6, 1, 2, 1, -2, 5, False)
+    assert (got["mean"], got["std"]) == pytest.approx((np.mean(x), np.std(x)))
+    none = clean.vector_profile(df.limit(0)).first()
+    assert none.n_rows == 0 and none["mean"] is None and none["std"] is None
+    fine = df.filter("g < 2")
+    pooled = {r.g: r.vec for r in aggregate.dense_mean_pool(fine, "g", "vec").collect()}
+    assert pooled == {0: [2.0, 0.0], 1: [0.0, 0.0]}
+    z = aggregate.standardize_apply(fine.filter("g = 0"), aggregate.standardize_fit(fine.filter("g = 0"))).collect()
+    assert sorted(r.vec for r in z) == [[-1.0, 1.0], [1.0, -1.0]]
+    folds = {r.g: r["mean"] + r["std"] for r in models.fold_scalers(fine.filter("vec is not null"), "g").collect()}
+    assert folds[1] == pytest.approx([2.0, 0.0, 1.0, 2.0]) and folds[0] == pytest.approx([0.0, 0.0, 1.0, 1.0])
