@@ -17,7 +17,7 @@ from .words import _BYTE, _MULTIPLIER, _SPACE, mix, powers
 
 #: Chunks that a worker remembers; beyond it the memory starts afresh. It bounds
 #: memory and changes no result.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 _CHECK = mix(_BYTE ^ np.uint64(0xA5A5A5A5A5A5A5A5))
 
 
