@@ -56,12 +56,31 @@ def wrap_lines(seq: Column | str, width: int = 80) -> Column:
     return F.regexp_replace(as_col(seq), f"(.{{{width}}})(?=.)", "$1\n")
 
 
+def fixed_digits(x: Column, digits: int) -> Column:
+    """``x`` with ``digits`` decimals as C's printf and Python write it: the binary
+    value itself is rounded, its exact halves to the even digit.
+
+    ``format_string`` rounds the shortest decimal form half up instead: 2.25 would
+    give 2.3, and 1.15, which lies below its decimal form, 1.2. The product with
+    the power of ten is kept exactly as the sum of two doubles.
+    """
+    scale = F.lit(float(10**digits))
+    big = x * 134217729.0  # 2**27 + 1: the upper half of the digits
+    high = big - (big - x)
+    low = F.floor(x * scale).cast("double")
+    over = (high * scale - (low + 0.5)) + (x - high) * scale
+    up = (over > 0) | ((over == 0) & (low % 2 != 0))
+    even = (low + F.when(up, 1.0).otherwise(0.0)) / scale
+    plain = F.abs(x) < float(2**53) / 10**digits  # larger ones have no decimals
+    return F.format_string(f"%.{digits}f", F.when(plain, even).otherwise(x))
+
+
 def compact_number(n: Column | str) -> Column:
     """1234567 -> 1.23M, 1234 -> 1.2K, smaller as they are."""
     x = as_col(n).cast("double")
     return (
-        F.when(x >= 1e6, F.format_string("%.2fM", x / 1e6))
-        .when(x >= 1e3, F.format_string("%.1fK", x / 1e3))
+        F.when(x >= 1e6, F.concat(fixed_digits(x / 1e6, 2), F.lit("M")))
+        .when(x >= 1e3, F.concat(fixed_digits(x / 1e3, 1), F.lit("K")))
         .otherwise(F.format_string("%d", x.cast("long")))
     )
 
@@ -70,10 +89,26 @@ def compact_number_bands(n: Column | str) -> Column:
     """Four-band variant: one decimal M, whole k from 10 000, one decimal k, plain."""
     x = as_col(n).cast("double")
     return (
-        F.when(x >= 1e6, F.format_string("%.1fM", x / 1e6))
-        .when(x >= 1e4, F.format_string("%.0fk", x / 1e3))
-        .when(x >= 1e3, F.format_string("%.1fk", x / 1e3))
-        .otherwise(F.format_string("%.0f", x))
+        F.when(x >= 1e6, F.concat(fixed_digits(x / 1e6, 1), F.lit("M")))
+        .when(x >= 1e4, F.concat(fixed_digits(x / 1e3, 0), F.lit("k")))
+        .when(x >= 1e3, F.concat(fixed_digits(x / 1e3, 1), F.lit("k")))
+        .otherwise(fixed_digits(x, 0))
+    )
+
+
+def number_text(x: Column | str) -> Column:
+    """A double in its shortest decimal form as Python and SQL engines write it:
+    ``-0.0`` keeps its sign, an exponent is written below 1e-4 and from 1e16 on."""
+    x = as_col(x).cast("double")
+    size = F.abs(x)
+    plain = F.regexp_replace(F.format_string("%.20f", x), r"(\.\d+?)0+$", "$1")
+    text = F.regexp_replace(x.cast("string"), r"(\.0)?E(-?)(\d)$", "E$20$3")
+    text = F.regexp_replace(F.regexp_replace(text, r"(\.0)?E-", "e-"), r"(\.0)?E", "e+")
+    return (
+        F.when(F.isnan(x), "nan")
+        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .when((size >= 1e-4) & (size < 1e-3) | (size >= 1e7) & (size < 1e16), plain)
+        .otherwise(text)
     )
 
 
