@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import number_text
 from .clean import keys_text
 
 
+def _six(x: Column) -> Column:
+    """``x`` to six places as text; what rounds to zero from below keeps its sign."""
+    r = F.round(x, 6)
+    return number_text(F.when((r == 0) & x.cast("string").startswith("-"), F.lit(-0.0)).otherwise(r))
+
+
 def _rows(df: DataFrame, check: str, key, detail) -> DataFrame:
     return df.select(F.lit(check).alias("check"), key.alias("key"), detail.cast("string").alias("detail"))
 
@@ -50,12 +57,12 @@ def parts_sum(df: DataFrame, keys, parts: list[str], total: float = 100.0, tol:
 def out_of_range(df: DataFrame, keys, col: str, lo: float, hi: float, name: str = "out_of_range") -> DataFrame:
     x = F.col(col).cast("double")
     bad = df.filter(x.isNull() | F.isnan(x) | (x < lo) | (x > hi))
-    return _rows(bad, name, keys_text(keys), F.round(x, 6))
+    return _rows(bad, name, keys_text(keys), _six(x))
 
 
 def not_positive(df: DataFrame, keys, col: str, name: str = "not_positive") -> DataFrame:
     x = F.col(col).cast("double")
-    return _rows(df.filter(x.isNull() | F.isnan(x) | (x <= 0)), name, keys_text(keys), F.round(x, 6))
+    return _rows(df.filter(x.isNull() | F.isnan(x) | (x <= 0)), name, keys_text(keys), _six(x))
 
 
 def violations(parts: list[DataFrame]) -> DataFrame:
