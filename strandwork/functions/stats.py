@@ -84,6 +84,28 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0)
 
 
+def _stirling(x: Column) -> Column:
+    """What is left of log gamma(x + 1) after Stirling's main terms, for x >= 16."""
+    y = 1.0 / (x * x)
+    return (1.0 / 12 - y * (1.0 / 360 - y * (1.0 / 1260 - y / 1680))) / x
+
+
+def log_miss(total: Column, members: Column, sample: Column) -> Column:
+    """log of C(total - members, sample) / C(total, sample): no member is drawn.
+
+    The main terms of the four factorials are joined before they are taken, so no term
+    is larger than the number of members; single factorials would lose what the size
+    of their logs takes. They are used only where few rows are in neither part, and
+    there the ratio is nought or the numbers are small.
+    """
+    n, m, z = total.cast("double"), members.cast("double"), sample.cast("double")
+    rest = n - m - z
+    main = (n - m + 0.5) * F.log1p(-m / n) - (rest + 0.5) * F.log1p(-m / (n - z)) + m * F.log1p(-z / n)
+    return F.when(rest >= 16, main + _stirling(n - m) + _stirling(n - z) - _stirling(n) - _stirling(rest)).otherwise(
+        log_choose(total - members, sample) - log_choose(total, sample)
+    )
+
+
 def significance_stars(p: Column | str) -> Column:
     p = as_col(p)
     return (

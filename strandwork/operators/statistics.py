@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import as_list, ratio
-from ..functions.stats import chi2_sf_even, log_choose
+from ..functions.stats import chi2_sf_even, log_miss
 from ..session import cut_lineage
 from .ordering import compute_partitions, ordered_scan
 
@@ -214,9 +214,9 @@ def rarefaction_expected(sizes: DataFrame, samples: list[int]) -> DataFrame:
     grid = by_size.withColumn("_N", total).withColumn("sample_size", _explode_sizes(samples))
     grid = grid.filter(F.col("sample_size") <= F.col("_N"))
     N, m, n = F.col("_N"), F.col("_m"), F.col("sample_size")
-    miss = F.when(N - m < n, F.lit(0.0)).otherwise(F.exp(log_choose(N - m, n) - log_choose(N, n)))
+    found = F.when(N - m < n, F.lit(1.0)).otherwise(-F.expm1(log_miss(N, m, n)))
     clusters = sizes.agg(F.count("*")).scalar()
-    out = grid.groupBy("sample_size").agg(F.sum(F.col("_c") * (1.0 - miss)).alias("expected_clusters"))
+    out = grid.groupBy("sample_size").agg(F.sum(F.col("_c") * found).alias("expected_clusters"))
     return out.withColumn("total_clusters", clusters).withColumn("fraction", F.col("expected_clusters") / F.col("total_clusters"))
 
 
