@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import as_col, as_list, ratio
-from .ordering import compute_partitions, interpolated_quantiles, rank_rows, top_k
+from .ordering import compute_partitions, interpolated_quantiles, rank_rows, top_k, value_cells
 
 # The quantiles of a distribution summary.
 SUMMARY_QUANTILES = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q75": 0.75, "q90": 0.9}
@@ -104,6 +104,21 @@ def weighted_top_label(tokens: DataFrame, manifest: DataFrame, seq: str, label:
 # ---- distributions and pair summaries ----------------------------------------
 
 
+def recounted_summary(df: DataFrame, value: str, group, bounds: tuple[float, float]) -> DataFrame:
+    """``distribution_summary`` of a table whose rows are computed twice and not shuffled:
+    once into counts and moments of value cells along ``bounds``, once for the values
+    next to the wanted ranks. Exact for any values; few should lie beyond the bounds."""
+    group = as_list(group)
+    cells = value_cells(df, value, group, bounds)
+    mean = cells.groupBy(*group).agg(
+        F.sum("_c").alias("n"), (F.sum(F.col("_c") * F.col("_mean")) / F.sum("_c")).alias("mean"), F.min("_min").alias("min"), F.max("_max").alias("max")
+    )
+    apart = F.col("_mean") - F.col("mean")
+    var = cells.join(mean.select(*group, "mean"), group).groupBy(*group).agg((F.sum(F.col("_c") * (F.col("_var") + apart * apart)) / F.sum("_c")).alias("_var"))
+    base = mean.join(var, group).select(*group, "n", "mean", F.sqrt("_var").alias("std"), "min", "max")
+    return base.join(interpolated_quantiles(df, value, SUMMARY_QUANTILES, group, bounds, cells), group)
+
+
 def distribution_summary(df: DataFrame, value: str, group=()) -> DataFrame:
     """n, mean, median, population std, extremes and linear quantiles, exact."""
     group = as_list(group)
@@ -121,13 +136,14 @@ def distribution_summary(df: DataFrame, value: str, group=()) -> DataFrame:
     return base.withColumn("_q", q).select(*base.columns, *[F.col(f"_q.{c}").alias(c) for c in SUMMARY_QUANTILES])
 
 
-def cluster_pair_summary(pairs: DataFrame, catalog: DataFrame) -> DataFrame:
+def cluster_pair_summary(pairs: DataFrame, catalog: DataFrame, bounds: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Scores by unordered cluster pair with flags and structure counts.
 
-    ``pairs`` is (cluster1, cluster2, score); ``catalog`` is (id, cluster, group).
+    ``pairs`` is (cluster1, cluster2, score); ``catalog`` is (id, cluster, group);
+    most scores lie within ``bounds``. Pairs are computed twice and never shuffled.
     """
     keyed = pairs.select(F.least("cluster1", "cluster2").alias("cluster1"), F.greatest("cluster1", "cluster2").alias("cluster2"), "score")
-    stats = distribution_summary(keyed, "score", ["cluster1", "cluster2"])
+    stats = recounted_summary(keyed, "score", ["cluster1", "cluster2"], bounds)
     info = catalog.groupBy("cluster").agg(F.max("group").alias("group"), F.count("*").alias("n_structures"))
     for side in ("1", "2"):
         stats = stats.join(info.select(*[F.col(c).alias(c + side) for c in info.columns]), f"cluster{side}")

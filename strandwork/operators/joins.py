@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import as_list, ratio
 from ..session import cut_lineage
 from . import checks
+from .ordering import compute_partitions
 
 
 def inner_key_join(a: DataFrame, b: DataFrame, key) -> DataFrame:
@@ -106,7 +107,8 @@ def pair_join(df: DataFrame, ident: str, group=(), block_rows: int = 2000, colum
     """Every unordered pair (id1 < id2), optionally only inside a group.
 
     Ids are hashed into blocks per group and every block pair is its own join
-    key, so a large group becomes many bounded pieces.
+    key, so a large group becomes many bounded pieces. They keep their partitions:
+    the rows are few for the pairs they make, and adaptive execution would merge them.
     """
     group = as_list(group)
     carried = [ident, *as_list(columns)]
@@ -121,7 +123,8 @@ def pair_join(df: DataFrame, ident: str, group=(), block_rows: int = 2000, colum
         *group, "_lo", F.col("_blk").alias("_hi"), *[F.col(c).alias(f"_r_{c}") for c in carried]
     )
     a, b = F.col(f"_l_{ident}"), F.col(f"_r_{ident}")
-    met = left.join(right, [*group, "_lo", "_hi"]).filter(F.when(F.col("_lo") == F.col("_hi"), a < b).otherwise(a != b))
+    keys = [*group, "_lo", "_hi"]
+    met = compute_partitions(left, *keys).join(compute_partitions(right, *keys), keys).filter(F.when(F.col("_lo") == F.col("_hi"), a < b).otherwise(a != b))
     first = a < b
     out = []
     for c in carried:
