@@ -28,11 +28,11 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     """
     rows = docs.select(F.col(ident).alias("id"), text_of(text).alias("t")).withColumn("len", F.octet_length("t"))
     prefix = F.xxhash64(F.substring("t", 1, PREFIX_CHARS))
-    by_length = _shared(rows.select("len"), ["len"]).withColumn("by_len", F.lit(True))
-    first = rows.join(by_length, "len", "left").withColumn("prefix", F.when(F.col("by_len"), prefix))
-    narrow = rows.select("len", prefix.alias("prefix")).join(by_length.select("len"), "len", "left_semi")
+    by_length = _shared(rows.select("len"), ["len"])
+    narrow = rows.select("len", prefix.alias("prefix")).join(by_length, "len", "left_semi")
     by_prefix = _shared(narrow, ["len", "prefix"]).withColumn("by_prefix", F.lit(True))
-    second = first.join(by_prefix, ["len", "prefix"], "left")
+    # Lengths and prefixes are settled on narrow rows; the texts are moved once.
+    second = rows.withColumn("prefix", prefix).join(by_prefix.hint("merge"), ["len", "prefix"], "left")
     # The full text is read only here, and only where length and prefix are shared.
     hashed = cut_lineage(second.select("id", F.when(F.col("by_prefix"), F.sha2("t", 256)).alias("content")))
     many = hashed.filter("content is not null")
