@@ -5,6 +5,9 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
+from strandwork.operators import neighbours
 from strandwork.operators.neighbours import _block_kernel
 
 
@@ -30,3 +33,25 @@ def test_ties_at_the_last_rank_go_to_the_least_ids():
             got = _block_kernel(k, metric)(side(x, "query_id"), side(x, "ref_id"))
             for i, part in got.groupby("query_id"):
                 assert sorted(part["ref_id"]) == sorted(np.argsort(-np.round(s[i], 9), kind="stable")[:k])
+
+
+def test_columns_in_runs_give_the_same_best(monkeypatch):
+    """Later runs hold better rows than the first, so bounds rise; ties lie in several runs."""
+    monkeypatch.setattr(neighbours, "KERNEL_CELLS", 2000)
+    monkeypatch.setattr(neighbours, "FIRST_COLUMNS", 8)
+    x = np.sort(np.random.default_rng(3).integers(0, 40, size=(500, 1)), axis=0).astype("float64")
+    q = np.ones((30, 1))
+    for k in (1, 5, 499, 600):
+        got = _block_kernel(k, "dot")(side(q, "query_id"), side(x, "ref_id"))
+        want = sorted(np.argsort(-x[:, 0], kind="stable")[:k])
+        for _, part in got.groupby("query_id"):
+            assert sorted(part["ref_id"]) == want
+
+
+def test_a_row_is_sent_to_a_fixed_number_of_blocks(spark):
+    """Six times the rows make no more blocks: what is moved grows with the rows."""
+    one = spark.range(600_000).select(F.array(*[F.lit(0.0)] * 64).alias("vec"))
+    assert one.agg(neighbours._blocks(None)).first()[0] == neighbours.SIDE_BLOCKS
+    assert one.limit(100_000).agg(neighbours._blocks(None)).first()[0] == neighbours.SIDE_BLOCKS
+    wide = spark.range(50_000).select(F.array_repeat(F.lit(0.0), 4096).alias("vec"))
+    assert wide.agg(neighbours._blocks(None)).first()[0] == 25  # a block holds 64 MB
