@@ -196,6 +196,21 @@ def test_communities_settle_and_are_connected(spark):
             assert gain <= graph.SETTLED
 
 
+@pytest.mark.parametrize("arcs", [1 << 16, 400])  # 400: several blocks, and communities that fill more than one
+def test_communities_settle_in_few_tables(spark, monkeypatch, arcs):
+    """Every round of single moves used to write three tables."""
+    rng = np.random.default_rng(6)
+    edges = [(i, j, 1.0) for i in range(90) for j in range(i + 1, 90) if rng.random() < (0.6 if i // 30 == j // 30 else 0.02)]
+    e = spark.createDataFrame(edges, "src long, dst long, weight double").cache()
+    written = []
+    monkeypatch.setattr(graph, "BLOCK_ARCS", arcs, raising=False)
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, cut=graph.cut_lineage: written.append(1) or cut(df))
+    of = {r.vertex: r.community for r in graph.community_detection(e).collect()}
+    assert sorted(of) == list(range(90)) and len(set(of.values())) == 3
+    assert all(len({of[c * 30 + i] for i in range(30)}) == 1 for c in range(3))
+    assert len(written) < (25 if arcs > 400 else 1000)
+
+
 def test_communities_without_edges(spark):
     none = spark.createDataFrame([], "src long, dst long, weight double")
     assert graph.community_detection(none).count() == 0
