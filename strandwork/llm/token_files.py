@@ -37,6 +37,8 @@ from .words import text_slices
 BLOCK = 128
 #: Texts that the tokenizers library codes in one call.
 TEXTS_AT_ONCE = 4096
+#: Chunks that a worker remembers of one tokenizer.
+REMEMBERED = 900_000
 # Fixed values of the coding: ids per word and bits per id, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 60])
@@ -48,53 +50,46 @@ FILE_SCHEMA = "part int, chunk long, docs array<long>, sizes array<long>, words
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of every block, escapes) of unsigned ids below 2^64.
 
-    All blocks are packed side by side: a round takes one word from each, trying
-    longer and longer runs until an id is too wide for the run.
+    The longest run that fits a word is found for every place at once, ids beyond the
+    block counting as none; then all blocks go from word to word side by side.
     """
     ids = ids.astype(np.uint64)
     n = len(ids)
-    bits = np.zeros(n + 61, np.int64)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     big = ids >> np.uint64(32)
-    high = np.where(big > 0, np.frexp(big.astype(np.float64))[1] + 32, np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
-    bits[:n] = high
+    bits = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    if big.any():
+        bits = np.where(big > 0, np.frexp(big.astype(np.float64))[1] + 32, bits)
     at = np.arange(0, n, BLOCK)
     ends = np.minimum(at + BLOCK, n)
-    blocks = np.arange(len(at))
-    steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    rows = np.zeros((len(at), BLOCK + 59), np.int8)
+    rows[:, :BLOCK] = np.append(bits.astype(np.int8), np.zeros(len(at) * BLOCK - n, np.int8)).reshape(-1, BLOCK)
+    widest, best = rows[:, :BLOCK].copy(), np.full((len(at), BLOCK), ESCAPE, np.int8)
+    for run in range(1, 61):
+        np.maximum(widest, rows[:, run - 1 : run - 1 + BLOCK], out=widest)
+        selector = _SELECTOR_OF.get(run)
+        if selector is not None:
+            best[widest <= WIDTHS[selector]] = selector
+    best = best.reshape(-1)
+    upto = np.arange(len(best)) + COUNTS[best]
+    steps = []
     while len(at):
-        best = np.full(len(at), ESCAPE)
-        open_ = np.arange(len(at))
-        widest = np.zeros(len(at), np.int64)
-        for run in range(1, 61):
-            place = at[open_] + run - 1
-            inside = place < ends[open_]
-            widest[open_] = np.maximum(widest[open_], np.where(inside, bits[place], 0))
-            selector = _SELECTOR_OF.get(run)
-            if selector is not None:
-                fits = widest[open_] <= WIDTHS[selector]
-                best[open_[fits]] = selector
-            # A longer run is narrower; stop where not even the next one can fit.
-            open_ = open_[widest[open_] <= 60 // run]
-            if not len(open_):
-                break
-        count = np.minimum(COUNTS[best], ends - at)
-        steps.append((blocks, at, best))
-        at = at + count
+        steps.append(at)
+        at = upto[at]
         more = at < ends
-        at, ends, blocks = at[more], ends[more], blocks[more]
-    if not steps:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    block, start, selector = (np.concatenate(x) for x in zip(*steps))
-    order = np.argsort(start)
-    block, start, selector = block[order], start[order], selector[order]
+        at, ends = at[more], ends[more]
+    start = np.sort(np.concatenate(steps))
+    selector = best[start].astype(np.int64)
     words = selector.astype(np.uint64) << np.uint64(60)
-    count = np.diff(np.append(start, n))
+    count, width = np.diff(np.append(start, n)), WIDTHS[selector]
+    live = np.flatnonzero(selector != ESCAPE)
     for k in range(int(count.max())):
-        has = (count > k) & (selector != ESCAPE)
-        words[has] |= ids[start[has] + k] << (WIDTHS[selector[has]] * k).astype(np.uint64)
+        live = live[count[live] > k]
+        words[live] |= ids[start[live] + k] << (width[live] * k).astype(np.uint64)
     wide = np.flatnonzero(selector == ESCAPE)
     words[wide] |= np.arange(len(wide)).astype(np.uint64)
-    return words, np.searchsorted(block, np.arange(-(-n // BLOCK))), ids[start[wide]]
+    return words, np.searchsorted(start, np.arange(0, n, BLOCK)), ids[start[wide]]
 
 
 def unpack(words: np.ndarray, blocks: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -134,7 +129,7 @@ class LibraryCoder:
         self.library = Tokenizer.from_str(config)
         self.library.encode_special_tokens = plain
         self.names = [] if plain else [t["content"].encode() for t in json.loads(config)["added_tokens"]]
-        self.chunks = ChunkCoder(self._code)
+        self.chunks = ChunkCoder(self._code, remembered=REMEMBERED)
 
     def _code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # The library's own record of a text is far larger than its ids.

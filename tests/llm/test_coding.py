@@ -268,3 +268,18 @@ def test_pipeline_stages_take_effect(spark):
     got = {r.doc_id: r.ids for r in ids.collect()}
     assert got == {i: want.encode_ordinary(t) for i, t in texts.items()}
     assert ids.filter("not round_trip").count() == 0
+
+
+def test_chunks_are_remembered_beyond_300000():
+    coded = []
+
+    def code(texts):
+        coded.append(len(texts))
+        return np.array([int(t.strip()[1:]) for t in texts], np.int32), np.ones(len(texts), np.int64)
+
+    coder = chunks.ChunkCoder(code, remembered=token_files.REMEMBERED)
+    for at in (0, 200_000, 0):  # met, met anew and met before
+        raw = "".join(f" w{i}" for i in range(at, at + 200_000)).encode()
+        ids, upto = coder.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert (ids == np.arange(at, at + 200_000)).all() and upto.tolist() == [200_000]
+    assert coded == [200_000, 200_000]
