@@ -304,6 +304,23 @@ def test_clusters_equal_the_serial_choice(spark, monkeypatch, productive):
         assert got == want and 5 < len(set(want.values())) < 90
 
 
+def test_pairs_do_not_carry_their_kmers(spark, monkeypatch):
+    """Candidates took the k-mers of both with them through a shuffle; several ranges and parts count the same."""
+    monkeypatch.setattr(graph, "CELLS_AT_ONCE", 400, raising=False)
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 50, raising=False)
+    rng = np.random.default_rng(13)
+    base = "".join(rng.choice(list("ACDE"), 80))
+    rows = [(i, base[: 80 - int(rng.integers(0, 16))] + "".join(rng.choice(list("FGHI"), 40))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, s string").withColumns({"u": F.col("id"), "len": F.length("s"), "km": graph.kmer_hashes(F.col("s"), 5)})
+    cells = graph._Cells(df.select("u", "len", "km"), 0.3, 0.8)
+    links = cells.links(cells.rows, cells.rows)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan
+    kmers = {i: {s[j : j + 5] for j in range(len(s) - 4)} for i, s in rows}
+    want = {(a, b) for a, s in rows for b, t in rows if (len(t), -b) > (len(s), -a) and len(s) >= 0.8 * len(t) and len(kmers[a] & kmers[b]) >= 0.3 * len(kmers[a])}
+    assert {(r.u, r.v) for r in links.collect()} == want and len(want) > 100
+
+
 def test_null_sets_respect_core(spark):
     pos = [("s", i, (i % 17) / 17, 20 <= i < 25 or 60 <= i < 63) for i in range(1, 121)]
     df = spark.createDataFrame(pos, "item string, pos long, radial double, core boolean")
