@@ -211,6 +211,18 @@ def test_communities_settle_in_few_tables(spark, monkeypatch, arcs):
     assert len(written) < (25 if arcs > 400 else 1000)
 
 
+def test_a_level_of_many_arcs_is_one_block(spark, monkeypatch):
+    """190,000 arcs used to be three blocks, which met in dozens of rounds of jobs."""
+    edges = spark.range(10_000).selectExpr("id AS src", "explode(sequence(id - id % 20, id)) AS dst", "1D AS weight").filter("dst < src")
+
+    def sweep(self, state):
+        raise AssertionError("several blocks")
+
+    monkeypatch.setattr(graph._Level, "sweep", sweep)
+    found = graph.community_detection(edges)
+    assert found.count() == 10_000 and found.filter("community <> vertex - vertex % 20").isEmpty()
+
+
 def test_communities_without_edges(spark):
     none = spark.createDataFrame([], "src long, dst long, weight double")
     assert graph.community_detection(none).count() == 0
