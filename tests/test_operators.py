@@ -333,6 +333,27 @@ def test_pairs_do_not_carry_their_kmers(spark, monkeypatch):
     assert {(r.u, r.v) for r in links.collect()} == want and len(want) > 100
 
 
+def test_clusters_write_no_kmers(spark, monkeypatch):
+    """A row of every shared k-mer used to be written; blocks of a few sequences find the same."""
+    monkeypatch.setattr(graph, "BLOCK_SEQUENCES", 7, raising=False)
+    monkeypatch.setattr(graph, "CELLS_AT_ONCE", 500)
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 20)
+    rng = np.random.default_rng(14)
+    base = ["".join(rng.choice(list("ACDE"), 300)) for _ in range(12)]
+    rows = [(i, base[i % 12][: 300 - int(rng.integers(0, 70))]) for i in range(48)]
+    written = []
+
+    def cut(df, cut=graph.cut_lineage):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut_lineage", cut)
+    got = {r[0]: r[1] for r in graph.identity_clusters(spark.createDataFrame(rows, "id long, s string"), "id", "s", 0.3, 0.8, 9).collect()}
+    assert got == serial_clusters(rows, 0.3, 0.8, 9) and len(set(got.values())) < 30
+    assert sum(written) < 30 * len(rows)
+
+
 def test_null_sets_respect_core(spark):
     pos = [("s", i, (i % 17) / 17, 20 <= i < 25 or 60 <= i < 63) for i in range(1, 121)]
     df = spark.createDataFrame(pos, "item string, pos long, radial double, core boolean")
