@@ -143,7 +143,11 @@ def cluster_pair_summary(pairs: DataFrame, catalog: DataFrame, bounds: tuple[flo
     most scores lie within ``bounds``. Pairs are computed twice and never shuffled.
     """
     keyed = pairs.select(F.least("cluster1", "cluster2").alias("cluster1"), F.greatest("cluster1", "cluster2").alias("cluster2"), "score")
-    stats = recounted_summary(keyed, "score", ["cluster1", "cluster2"], bounds)
+    return with_cluster_info(recounted_summary(keyed, "score", ["cluster1", "cluster2"], bounds), catalog)
+
+
+def with_cluster_info(stats: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``stats`` by (cluster1, cluster2) with groups, structure counts and flags of ``catalog`` (id, cluster, group)."""
     info = catalog.groupBy("cluster").agg(F.max("group").alias("group"), F.count("*").alias("n_structures"))
     for side in ("1", "2"):
         stats = stats.join(info.select(*[F.col(c).alias(c + side) for c in info.columns]), f"cluster{side}")
